@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_ctes(sql)
+            ORACLE[name] = sql
         return fn
 
     return register
@@ -37,3 +37,7 @@ def with_ctes(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in needed)
     return f"WITH RECURSIVE {ctes}\n{body}"
+
+
+def oracle() -> dict[str, str]:
+    return {name: with_ctes(body) for name, body in ORACLE.items()}

@@ -54,12 +54,13 @@ FROM c_docs d JOIN c_sec s USING (doc_id) GROUP BY d.pr_id"""
 
 def _code() -> str:
     w = "coalesce(nullif(regexp_extract(x, '([a-z]{3,})', 1), ''), 'w')"
+    near = "(doc_id + (i-1) % 2)"
     return f"""(CASE (i-1) % 9
- WHEN 0 THEN 'import {{ ' || {w} || ', ' || {w} || '_x as y' || (i-1) || ' }} from "./f' || (doc_id+1) || '"'
- WHEN 1 THEN 'export function ' || {w} || '_fn(a) {{'
- WHEN 2 THEN '    return ' || {w} || '_fn(a);'
+ WHEN 0 THEN 'import {{ f' || {near} || '_fn, ' || {w} || '_x as y' || (i-1) || ' }} from "./f' || {near} || '"'
+ WHEN 1 THEN 'export function f' || doc_id || '_fn(a) {{'
+ WHEN 2 THEN '    return f' || doc_id || '_fn(a);'
  WHEN 3 THEN 'import ' || {w} || ' from "' || {w} || '/lib"'
- WHEN 4 THEN 'const ' || {w} || ' = require("@/' || {w} || '")'
+ WHEN 4 THEN 'const ' || {w} || ' = require("@/' || source || '/f' || {near} || '")'
  WHEN 5 THEN '# ' || {w} || ' note'
  WHEN 6 THEN 'def ' || {w} || '_py(x):'
  WHEN 7 THEN '    ' || {w} || '_py(x)[' || {w} || ']'
@@ -105,7 +106,7 @@ CTES["c_craw"] = _raw("c_cprs")
 CTES["c_clines"] = _lines("c_craw")
 
 CTES["c_find"] = f"""SELECT e.pr_id, e.event_id AS ord, {doc_file('d.doc_id', 'd.source')} AS file,
- CASE WHEN e.event_id % 17 <> 0 THEN (e.event_id % 40 + 1)::INT END AS line,
+ CASE WHEN e.event_id % 17 <> 0 THEN (e.event_id // 3 % 40 + 1)::INT END AS line,
  {pick(K.TITLES, 'k')} AS title, {pick(K.DETAILS, 'k')} AS description,
  CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type IN ('purchase','signup') THEN 'WARNING' ELSE 'INFO' END AS severity,
  ((e.event_id * 37) % 100)::DOUBLE / 100.0::DOUBLE AS confidence,
@@ -162,9 +163,22 @@ FTEXT = """lower(concat_ws(' ', nullif(title, ''), nullif(description, ''), null
  nullif(array_to_string(evidence, ' '), '')))"""
 CTES["c_marks"] = r"""SELECT pr_id, file, new_line AS line, bool_or(kind = 'add') AS is_added,
  min_by((t = '*' OR starts_with(t, '# ') OR starts_with(t, '#!') OR starts_with(t, '//') OR starts_with(t, '* ') OR starts_with(t, '/*')), pos) AS is_comment
-FROM (SELECT *, regexp_replace(text, '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g') AS t FROM c_lines WHERE kind IN ('add','ctx'))
+FROM (SELECT *, regexp_replace(text, '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g') AS t FROM c_clines WHERE kind IN ('add','ctx'))
 GROUP BY 1, 2, 3"""
 CTES["c_gate"] = f"""SELECT f.* FROM c_find f LEFT JOIN c_marks m USING (pr_id, file, line)
 WHERE severity <> 'INFO' AND ((evidence_source = 'CONTEXT' AND coalesce(len(evidence), 0) > 0)
  OR (evidence_source <> 'CONTEXT' AND (f.line IS NULL OR (m.is_comment IS NOT NULL AND NOT m.is_comment))))
 QUALIFY row_number() OVER (PARTITION BY f.pr_id, f.file, f.line, title ORDER BY {RANK}, confidence DESC, ord) = 1"""
+
+CTES["c_files"] = f"""SELECT 'r' || pr_id AS repo, pr_id, doc_id, {doc_file()} AS file,
+ array_to_string(list_transform(rows_, lambda x, i: {_code()}), chr(10)) AS content FROM c_docs"""
+CTES["c_deps"] = """SELECT 'r' || pr_id AS repo, package, max_by(section, i) AS section FROM (
+ SELECT pr_id, unnest([min_by(w, doc_id), 'react', max_by(w, doc_id), 'react']) AS package,
+  unnest(['dependencies', 'dependencies', 'devDependencies', 'devDependencies']) AS section, unnest([0, 0, 1, 1]) AS i
+ FROM (SELECT pr_id, doc_id, coalesce(nullif(regexp_extract(text, '([a-z]{3,})', 1), ''), 'w') AS w FROM c_docs WHERE pr_id % 7 <> 0)
+ GROUP BY pr_id) GROUP BY 1, 2"""
+CTES["c_rules"] = """SELECT 'r' || pr_id AS repo, CASE WHEN pr_id % 5 = 2 THEN 'src' ELSE '.' END AS base_url, r.ord, r.prefix, r.suffix, r.targets
+FROM (SELECT DISTINCT pr_id FROM c_docs WHERE pr_id % 5 <> 0), LATERAL (SELECT unnest(CASE pr_id % 5
+ WHEN 1 THEN [{'ord': NULL::INT, 'prefix': NULL, 'suffix': NULL, 'targets': NULL}]
+ WHEN 2 THEN [{'ord': 0, 'prefix': '@/', 'suffix': '', 'targets': 'lib/*,*'}, {'ord': 1, 'prefix': '~/x', 'suffix': '', 'targets': 'y'}]
+ ELSE [{'ord': 0, 'prefix': '@/', 'suffix': '', 'targets': 'src/*'}] END) AS r)"""

@@ -48,7 +48,7 @@ def f(spark, sf):
 
 
 def gated(spark, sf):
-    return O.publication_gate(K.findings(spark, sf), lines_of(spark, sf))
+    return O.publication_gate(K.findings(spark, sf), lines_of(spark, sf, True))
 
 
 def decided(spark, sf):
@@ -57,7 +57,7 @@ def decided(spark, sf):
 
 @query("flt_comment_line", "SELECT f.ord FROM c_find f JOIN c_marks m USING (pr_id, file, line) WHERE m.is_comment")
 def _(spark, sf):
-    return O.comment_findings(f(spark, sf), D.diff_lines(K.prs(spark, sf).select("pr_id", "diff"))).select("ord")
+    return O.comment_findings(f(spark, sf), lines_of(spark, sf, True)).select("ord")
 
 
 @query("flt_evidence_match", """SELECT DISTINCT f.ord FROM (SELECT pr_id, file, ord, unnest(evidence) AS e FROM c_find) f
@@ -68,7 +68,7 @@ def _(spark, sf):
 
 @query("flt_line_in_diff", "SELECT f.ord FROM c_find f LEFT JOIN c_marks m USING (pr_id, file, line) WHERE f.line IS NULL OR m.line IS NOT NULL")
 def _(spark, sf):
-    return O.in_diff(f(spark, sf), lines_of(spark, sf)).select("ord")
+    return O.in_diff(f(spark, sf), lines_of(spark, sf, True)).select("ord")
 
 
 @query("gate_publication", "SELECT pr_id, ord, file, line, title, severity, confidence FROM c_gate")
@@ -79,10 +79,10 @@ def _(spark, sf):
 @query("gate_strict", f"""SELECT f.ord FROM c_find f LEFT JOIN c_marks m USING (pr_id, file, line)
 WHERE severity <> 'INFO' AND ((evidence_source = 'CONTEXT' AND coalesce(len(evidence), 0) > 0)
  OR (evidence_source <> 'CONTEXT' AND (f.line IS NULL OR (m.is_comment IS NOT NULL AND NOT m.is_comment AND m.is_added))
-   AND EXISTS (SELECT 1 FROM (SELECT unnest(f.evidence) AS e) x JOIN c_lines l ON l.pr_id = f.pr_id AND l.file = f.file AND l.kind = 'add' AND contains(l.text, ltrim(x.e, '+')))))
+   AND EXISTS (SELECT 1 FROM (SELECT unnest(f.evidence) AS e) x JOIN c_clines l ON l.pr_id = f.pr_id AND l.file = f.file AND l.kind = 'add' AND contains(l.text, ltrim(x.e, '+')))))
 QUALIFY row_number() OVER (PARTITION BY f.pr_id, f.file, f.line, title ORDER BY {T.RANK}, confidence DESC, ord) = 1""")
 def _(spark, sf):
-    return O.publication_gate(K.findings(spark, sf), lines_of(spark, sf), strict=True).select("ord")
+    return O.publication_gate(K.findings(spark, sf), lines_of(spark, sf, True), strict=True).select("ord")
 
 
 @query("flt_severity", "SELECT ord FROM c_find WHERE severity IN ('ERROR', 'WARNING')")
@@ -213,10 +213,10 @@ def _(spark, sf):
         .otherwise("LOW").alias("risk_level"))
     return repo_stats(reviews).select(
         "repo", "total_reviews", "total_issues_found", "avg_duration_ms", "n_high", "n_medium", "n_low",
-        F.unix_micros("last_review_at").alias("last_review_us"))
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', last_review_at)").alias("last_review_us"))
 
 
 @query("join_inline_position", """SELECT f.ord, m.position AS inline_position, m.position IS NULL AS is_fallback FROM c_gate f
-LEFT JOIN c_lines m ON m.pr_id = f.pr_id AND m.file = f.file AND m.new_line = f.line AND m.kind = 'add'""")
+LEFT JOIN c_clines m ON m.pr_id = f.pr_id AND m.file = f.file AND m.new_line = f.line AND m.kind = 'add'""")
 def _(spark, sf):
-    return O.inline_split(gated(spark, sf), D.position_map(lines_of(spark, sf))).select("ord", "inline_position", "is_fallback")
+    return O.inline_split(gated(spark, sf), D.position_map(lines_of(spark, sf, True))).select("ord", "inline_position", "is_fallback")

@@ -1 +1,254 @@
+"""Call graph queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from patchlight.catalog.base import CTES, query
+from patchlight.catalog.q_diff import lines_of
+from patchlight.functions import columns as X
+from patchlight.operators import diff as D
+from patchlight.operators import findings as O
+from patchlight.operators import graph as G
+from patchlight.operators import names as N
+from patchlight.plans import review as R
+from patchlight.sources import carriers as K
+
+CTES["c_chnodes"] = """SELECT DISTINCT n.* FROM c_fnodes n JOIN c_clines l ON l.pr_id = n.pr_id AND l.file = n.file AND l.kind = 'add'
+ AND l.new_line BETWEEN n.start_line AND n.end_line"""
+CTES["c_names"] = """SELECT c.pr_id, n.name FROM c_changed c JOIN c_nodes n ON n.id = c.id * 3 + 1 UNION
+ SELECT c.pr_id, n.name FROM c_changed c JOIN c_nodes n ON n.id = c.id"""
+CTES["c_half"] = "SELECT pr_id, id FROM c_changed WHERE pr_id % 2 = 0"
+CTES["c_seed"] = """SELECT s.pr_id, s.id, n.file, n.name, n.start_line, true AS from_diff_line FROM (SELECT DISTINCT * FROM c_half) s JOIN c_nodes n USING (id)
+UNION ALL
+SELECT DISTINCT m.pr_id, n.id, n.file, n.name, n.start_line, false FROM c_names m JOIN c_nodes n ON n.name = m.name
+WHERE NOT EXISTS (SELECT 1 FROM c_half h JOIN c_nodes x ON x.id = h.id WHERE h.pr_id = m.pr_id AND x.name = m.name)
+ AND NOT EXISTS (SELECT 1 FROM c_half h WHERE h.pr_id = m.pr_id AND h.id = n.id)"""
+CTES["c_res"] = """SELECT caller_id, callee_name, callee_short_name, coalesce(i1, i2, i3, i4, i5, i6) AS callee_id,
+ CASE WHEN i1 IS NOT NULL OR i2 IS NOT NULL THEN 'in_file' WHEN i3 IS NOT NULL THEN 'import' WHEN i4 IS NOT NULL THEN 'prefix'
+  WHEN i5 IS NOT NULL THEN 'unique' WHEN i6 IS NOT NULL THEN 'unique_short' END AS resolution
+FROM (SELECT c.caller_id, c.callee_name, c.callee_short_name, a.i AS i1, b.i AS i2, m.i AS i3, p.i AS i4, u.i AS i5, v.i AS i6
+ FROM c_calls c JOIN c_nodes k ON k.id = c.caller_id
+ LEFT JOIN (SELECT file, name, max(id) AS i FROM c_nodes GROUP BY 1, 2) a ON a.file = k.file AND a.name = c.callee_name
+ LEFT JOIN (SELECT file, name, max(id) AS i FROM c_nodes GROUP BY 1, 2) b ON b.file = k.file AND b.name = c.callee_short_name
+ LEFT JOIN (SELECT i.file, i.name, min(n.id) AS i FROM c_imports i JOIN c_nodes n ON n.file = i.source_file AND n.name = i.name GROUP BY 1, 2) m
+  ON m.file = k.file AND m.name = c.callee_name
+ LEFT JOIN (SELECT i.file, i.name AS prefix, n.name, min(n.id) AS i FROM (SELECT file, name, min(source_file) AS source_file FROM c_imports GROUP BY 1, 2) i
+   JOIN c_nodes n ON n.file = i.source_file GROUP BY 1, 2, 3 HAVING count(*) = 1) p
+  ON p.file = k.file AND p.prefix = nullif(regexp_extract(c.callee_name, '^(.*)\\.[^.]*$', 1), '') AND p.name = c.callee_short_name
+ LEFT JOIN (SELECT name, min(id) AS i FROM c_nodes GROUP BY 1 HAVING count(*) = 1) u ON u.name = c.callee_name
+ LEFT JOIN (SELECT name, min(id) AS i FROM c_nodes GROUP BY 1 HAVING count(*) = 1) v ON v.name = c.callee_short_name)"""
+CTES["c_l1"] = "SELECT DISTINCT s.id AS root, e.caller_id AS id FROM c_seed s JOIN c_edges e ON e.callee_id = s.id WHERE e.caller_id <> s.id"
+CTES["c_l1r"] = """SELECT l.root, l.id, row_number() OVER (PARTITION BY l.root ORDER BY n.file, n.start_line, n.name, n.id) AS rk, n.file, n.start_line, n.name
+FROM c_l1 l JOIN c_nodes n USING (id)"""
+CTES["c_l2"] = """SELECT l.root, e.caller_id AS id, min(l.rk) AS prk FROM c_l1r l JOIN c_edges e ON e.callee_id = l.id
+WHERE e.caller_id <> l.root AND NOT EXISTS (SELECT 1 FROM c_l1 v WHERE v.root = l.root AND v.id = e.caller_id) GROUP BY 1, 2"""
+CTES["c_bfs"] = "SELECT root, id, 1 AS depth, rk AS prk FROM c_l1r UNION ALL SELECT root, id, 2, prk FROM c_l2"
+CTES["c_budget"] = "SELECT pr_id, length(diff) // 4 // 2 AS budget FROM c_prs"
+CTES["c_brows"] = """SELECT s.pr_id, dense_rank() OVER (PARTITION BY s.pr_id ORDER BY NOT s.from_diff_line, CASE WHEN s.from_diff_line THEN '' ELSE s.name END, s.file, s.start_line, s.name, s.id) AS g,
+ s.id AS root, s.file || ':' || s.name AS changed_fn, s.from_diff_line, b.id AS caller_id, b.depth,
+ row_number() OVER (PARTITION BY s.pr_id, s.id ORDER BY b.depth, b.prk, n.file, n.start_line, n.name, n.id) AS o, length(n.code) // 4 AS tokens
+FROM c_seed s JOIN c_bfs b ON b.root = s.id JOIN c_nodes n ON n.id = b.id"""
+CTES["c_blast"] = """SELECT pr_id, root, changed_fn, from_diff_line, caller_id, depth, o FROM (
+WITH RECURSIVE base AS (SELECT *, sum(tokens) OVER (PARTITION BY pr_id, g ORDER BY o)::BIGINT AS cum FROM c_brows),
+ small AS (SELECT b.*, u.budget, row_number() OVER (PARTITION BY b.pr_id ORDER BY g, o) AS seq FROM base b JOIN c_budget u USING (pr_id) WHERE cum <= u.budget + 100000 AND (cum <= u.budget OR cum - tokens <= u.budget)),
+ walk AS (SELECT pr_id, root, changed_fn, from_diff_line, caller_id, depth, o, g, seq, budget, tokens <= budget AS took, CASE WHEN tokens <= budget THEN tokens ELSE 0 END AS used,
+   tokens > budget AS gstop, false AS stop FROM small WHERE seq = 1
+  UNION ALL
+  SELECT s.pr_id, s.root, s.changed_fn, s.from_diff_line, s.caller_id, s.depth, s.o, s.g, s.seq, s.budget, t.took, CASE WHEN t.took THEN w.used + s.tokens ELSE w.used END,
+   NOT t.took, t.st
+  FROM walk w JOIN small s ON s.pr_id = w.pr_id AND s.seq = w.seq + 1,
+   LATERAL (SELECT w.stop OR (s.g <> w.g AND w.used >= w.budget) AS st,
+    NOT (w.stop OR (s.g <> w.g AND w.used >= w.budget)) AND NOT (s.g = w.g AND w.gstop) AND w.used + s.tokens <= s.budget AS took) t)
+SELECT * FROM walk WHERE took)"""
+
+
+def names_of(spark, sf):
+    ch, n = K.changed(spark, sf), K.nodes(spark, sf)
+    a = ch.select("pr_id", (F.col("id") * 3 + 1).alias("id")).join(n.select("id", "name"), "id")
+    b = ch.join(n.select("id", "name"), "id")
+    return a.select("pr_id", "name").unionByName(b.select("pr_id", "name")).distinct()
+
+
+def seed(spark, sf):
+    half = K.changed(spark, sf).where("pr_id % 2 = 0")
+    return G.changed_seed(half, names_of(spark, sf), K.nodes(spark, sf))
+
+
+def budgets(spark, sf):
+    return K.prs(spark, sf).select("pr_id", F.floor(X.tokens(F.col("diff")) / 2).cast("bigint").alias("budget"))
+
+
+def resolved(spark, sf):
+    return G.resolve_calls(K.raw_calls(spark, sf), K.nodes(spark, sf), K.imports(spark, sf))
+
+
+def blast(spark, sf):
+    return G.blast_radius(seed(spark, sf), K.edges(spark, sf), K.nodes(spark, sf), budgets(spark, sf))
+
+
+@query("join_changed_nodes", "SELECT pr_id, id, file, name FROM c_chnodes")
+def _(spark, sf):
+    added = D.position_map(lines_of(spark, sf, True))
+    return G.changed_nodes(added, K.file_nodes(spark, sf)).select("pr_id", "id", "file", "name")
+
+
+@query("join_changed_seed", "SELECT pr_id, id, file, name, from_diff_line FROM c_seed")
+def _(spark, sf):
+    return seed(spark, sf).select("pr_id", "id", "file", "name", "from_diff_line")
+
+
+@query("join_callers", """SELECT e.callee_id AS id, e.caller_id, n.file AS caller_file, n.name AS caller_name, n.start_line AS caller_start
+FROM c_edges e JOIN (SELECT DISTINCT id FROM c_changed) t ON t.id = e.callee_id JOIN c_nodes n ON n.id = e.caller_id""")
+def _(spark, sf):
+    return G.callers_of(K.changed(spark, sf), K.edges(spark, sf), K.nodes(spark, sf)).select(
+        "id", "caller_id", "caller_file", "caller_name", "caller_start")
+
+
+@query("join_unverified_count", "SELECT callee_name, count(*) AS n FROM c_res WHERE callee_id IS NULL GROUP BY 1")
+def _(spark, sf):
+    return G.unresolved_counts(resolved(spark, sf))
+
+
+def _step(key: str, labels: list[str]):
+    inside = ", ".join(f"'{v}'" for v in labels)
+
+    @query(key, f"SELECT caller_id, callee_name, callee_id FROM c_res WHERE resolution IN ({inside})")
+    def _(spark, sf):
+        return resolved(spark, sf).where(F.col("resolution").isin(labels)).select("caller_id", "callee_name", "callee_id")
+
+
+_step("callee_in_file", ["in_file"])
+_step("callee_by_import", ["import"])
+_step("callee_by_prefix", ["prefix"])
+_step("callee_by_unique_name", ["unique", "unique_short"])
+
+
+@query("callee_resolve", "SELECT caller_id, callee_name, callee_id, resolution FROM c_res")
+def _(spark, sf):
+    return resolved(spark, sf).select("caller_id", "callee_name", "callee_id", "resolution")
+
+
+@query("bfs_callers", "SELECT root, depth, count(*) AS callers, sum(id)::BIGINT AS id_sum FROM c_bfs GROUP BY 1, 2")
+def _(spark, sf):
+    b = G.bfs_callers(seed(spark, sf), K.edges(spark, sf), K.nodes(spark, sf))
+    return b.groupBy("root", "depth").agg(F.count("*").alias("callers"), F.sum("id").alias("id_sum"))
+
+
+@query("blast_radius", "SELECT pr_id, root, changed_fn, from_diff_line, caller_id, depth FROM c_blast")
+def _(spark, sf):
+    return blast(spark, sf).select("pr_id", "root", "changed_fn", "from_diff_line", "caller_id", "depth")
+
+
+@query("budget_break", "SELECT pr_id, count(*) AS taken, count(DISTINCT root) AS groups, sum(length(n.code) // 4)::BIGINT AS used FROM c_blast b JOIN c_nodes n ON n.id = b.caller_id GROUP BY 1")
+def _(spark, sf):
+    code = K.nodes(spark, sf).select(F.col("id").alias("caller_id"), X.tokens(F.col("code")).alias("t"))
+    return blast(spark, sf).join(code, "caller_id").groupBy("pr_id").agg(
+        F.count("*").alias("taken"), F.countDistinct("root").alias("groups"), F.sum("t").alias("used"))
+
+
+@query("call_site", """SELECT id, CASE WHEN length(code) <= 600 THEN code ELSE array_to_string(string_split(rtrim(code, chr(10)), chr(10))[1:6], chr(10)) END AS snippet FROM c_nodes""")
+def _(spark, sf):
+    return K.nodes(spark, sf).select("id", G.call_site(F.col("code"), F.substring_index("name", "_", 1)).alias("snippet"))
+
+
+_DEF3 = r"(?:async\s+)?def\s+(\w+)\s*\(|(?:async\s+)?function\s+(\w+)\s*\(|(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\("
+CTES["c_newdefs"] = f"""SELECT pr_id, file, pos, new_line, text, list_filter(list_concat(regexp_extract_all(text, '{_DEF3}', 1),
+ regexp_extract_all(text, '{_DEF3}', 2), regexp_extract_all(text, '{_DEF3}', 3)), lambda x: x <> '') AS defs FROM c_clines WHERE kind = 'add'"""
+CTES["c_newcallers"] = r"""SELECT c.pr_id, c.name, CASE WHEN d.f IS NULL THEN c.name ELSE d.f || ':' || c.name END AS changed_fn, c.file AS caller_file,
+ c.new_line AS caller_start, '<call at line ' || c.new_line || '>' AS caller_name, rtrim(c.text) AS code
+FROM (SELECT *, unnest(list_distinct(regexp_extract_all(text, '\b(\w+)\s*\(', 1))) AS name FROM c_newdefs) c
+JOIN c_newfns n ON n.pr_id = c.pr_id AND n.name = c.name
+LEFT JOIN (SELECT pr_id, name, min_by(file, pos) AS f FROM (SELECT pr_id, file, pos, unnest(defs) AS name FROM c_newdefs) GROUP BY 1, 2) d
+ ON d.pr_id = c.pr_id AND d.name = c.name WHERE NOT list_contains(c.defs, c.name)"""
+
+
+def diff_groups(spark, sf):
+    lines = lines_of(spark, sf, True)
+    return G.new_callers(lines, N.new_functions(lines))
+
+
+@query("join_new_callers", "SELECT pr_id, name, changed_fn, caller_file, caller_start, caller_name, code FROM c_newcallers")
+def _(spark, sf):
+    return diff_groups(spark, sf)
+
+
+@query("join_caller_supplement", """SELECT pr_id, changed_fn, caller_file, caller_start, false AS from_diff FROM c_newcallers WHERE caller_start < 20
+UNION ALL SELECT pr_id, changed_fn, caller_file, caller_start, true FROM c_newcallers n WHERE NOT EXISTS (SELECT 1 FROM c_newcallers g
+ WHERE g.caller_start < 20 AND g.pr_id = n.pr_id AND string_split(g.changed_fn, ':')[-1] = string_split(n.changed_fn, ':')[-1])""")
+def _(spark, sf):
+    g = diff_groups(spark, sf)
+    return G.supplement(g.where("caller_start < 20"), g).select("pr_id", "changed_fn", "caller_file", "caller_start", "from_diff")
+
+
+CTES["c_top3"] = """SELECT *, regexp_extract(changed_fn, '^(.*):[^:]*$', 1) AS ffile FROM c_newcallers
+QUALIFY row_number() OVER (PARTITION BY pr_id, changed_fn ORDER BY caller_file, caller_start) <= 3"""
+
+
+@query("join_finding_callers", """SELECT f.pr_id, f.ord, t.changed_fn, t.caller_file, t.caller_start FROM c_gate f JOIN c_top3 t ON t.pr_id = f.pr_id AND t.ffile = f.file""")
+def _(spark, sf):
+    gated = O.publication_gate(K.findings(spark, sf), lines_of(spark, sf, True))
+    return G.finding_callers(gated, diff_groups(spark, sf), ["caller_file", "caller_start"]).select(
+        "pr_id", "ord", "changed_fn", "caller_file", "caller_start")
+
+
+_UNSAFE = " OR ".join("regexp_matches(body, '" + p.replace("'", "''") + "')" for p in G.UNSAFE)
+CTES["c_sinks"] = f"""SELECT pr_id, file FROM (SELECT pr_id, file, string_agg(text, chr(10) ORDER BY pos) AS body FROM c_clines WHERE kind = 'add' GROUP BY 1, 2)
+WHERE NOT regexp_matches(body, '{G.GUARD}') AND ({_UNSAFE})"""
+
+
+@query("flt_unsafe_sink", "SELECT pr_id, file FROM c_sinks")
+def _(spark, sf):
+    return D.split_files(K.prs(spark, sf, True)).where(G.unsafe_sink(F.col("chunk"))).select("pr_id", "file")
+
+
+@query("join_caller_check", """SELECT t.pr_id, t.changed_fn, t.caller_file, t.caller_start FROM c_top3 t JOIN (SELECT pr_id, changed_fn FROM (
+ SELECT DISTINCT n.pr_id, n.changed_fn FROM c_newcallers n JOIN c_sinks s ON s.pr_id = n.pr_id AND s.file = regexp_extract(n.changed_fn, '^(.*):[^:]*$', 1))
+ QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY string_split(changed_fn, ':')[-1], changed_fn) <= 5) c USING (pr_id, changed_fn)""")
+def _(spark, sf):
+    groups = diff_groups(spark, sf).withColumn("group_ord", F.col("name"))
+    return G.caller_check(groups, D.split_files(K.prs(spark, sf, True)), ["caller_file", "caller_start"]).select(
+        "pr_id", "changed_fn", "caller_file", "caller_start")
+
+
+@query("blast_stage", """SELECT p.pr_id, CASE WHEN p.head_sha IS NULL THEN 'no_head_sha' WHEN s.pr_id IS NULL AND n.pr_id IS NULL THEN 'no_changed_functions' END AS skip_reason,
+ CASE WHEN p.head_sha IS NULL THEN 0 ELSE coalesce(b.groups, 0) + coalesce(x.groups, 0) END AS groups,
+ CASE WHEN p.head_sha IS NULL THEN 0 ELSE coalesce(b.callers, 0) + coalesce(x.callers, 0) END AS callers
+FROM c_prs p LEFT JOIN (SELECT DISTINCT pr_id FROM c_seed) s USING (pr_id) LEFT JOIN (SELECT DISTINCT pr_id FROM c_newfns) n USING (pr_id)
+LEFT JOIN (SELECT pr_id, count(DISTINCT changed_fn) AS groups, count(*) AS callers FROM c_blast GROUP BY 1) b USING (pr_id)
+LEFT JOIN (SELECT pr_id, count(DISTINCT changed_fn) AS groups, count(*) AS callers FROM c_newcallers n WHERE NOT EXISTS (SELECT 1 FROM c_blast b
+  WHERE b.pr_id = n.pr_id AND string_split(b.changed_fn, ':')[-1] = n.name) GROUP BY 1) x USING (pr_id)""")
+def _(spark, sf):
+    lines = lines_of(spark, sf, True)
+    return R.blast_stage(K.prs(spark, sf), seed(spark, sf), N.new_functions(lines), blast(spark, sf), diff_groups(spark, sf))
+
+
+CTES["c_known"] = "SELECT 'r' || d.pr_id AS repo, d.doc_id, CASE WHEN l.quality = 0 THEN text || '!' ELSE text END AS content FROM c_docs d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 10 <> 3"
+
+
+@query("inc_changed_files", """SELECT 'r' || d.pr_id AS repo, 'f' || d.doc_id AS file, left(sha256(d.text), 16) AS hash FROM c_docs d
+LEFT JOIN c_known k USING (doc_id) WHERE k.content IS NULL OR k.content <> d.text""")
+def _(spark, sf):
+    docs = K.table(spark, sf, "documents").select(
+        F.concat(F.lit("r"), F.floor(F.col("doc_id") / 4).cast("string")).alias("repo"), "doc_id", "text",
+        F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file"))
+    labels = K.table(spark, sf, "labels").select("doc_id", "quality")
+    known = docs.join(labels, "doc_id", "left").where("doc_id % 10 <> 3").withColumn(
+        "text", F.when(F.col("quality") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    stamp = X.file_hash(F.col("text")).alias("hash")
+    return G.changed_files(docs.select("repo", "file", stamp), known.select("repo", "file", stamp))
+
+
+@query("inc_replace_graph", """SELECT id, file, name, start_line + CASE WHEN file IN (SELECT file FROM c_nodes WHERE id % 100 = 0) THEN 1 ELSE 0 END AS start_line FROM c_nodes""")
+def _(spark, sf):
+    nodes = K.nodes(spark, sf)
+    changed = nodes.where("id % 100 = 0").select("repo", "file").distinct()
+    fresh = nodes.join(changed, ["repo", "file"], "left_semi").withColumn("start_line", F.col("start_line") + 1)
+    return G.replace_rows(nodes, fresh.select(*nodes.columns), changed).select("id", "file", "name", "start_line")
+
+
+@query("inc_stale_edges", """SELECT e.caller_id, e.callee_id FROM c_edges e JOIN c_nodes n ON n.id = e.callee_id
+WHERE n.file IN (SELECT file FROM c_nodes WHERE id % 100 = 0)""")
+def _(spark, sf):
+    nodes = K.nodes(spark, sf)
+    return G.stale_edges(K.edges(spark, sf), nodes, nodes.where("id % 100 = 0")).select("caller_id", "callee_id")

@@ -42,18 +42,18 @@ def doc_file(doc_id: str = "doc_id", source: str = "source") -> Column:
                     pick(EXTENSIONS, F.col(doc_id)))
 
 
-def code_line(x: Column, i: Column, doc: Column) -> Column:
+def code_line(x: Column, i: Column, doc: Column, source: Column) -> Column:
     """A source-like row built around the first plain word of a text row."""
     w = F.coalesce(F.nullif(F.regexp_extract(x, "([a-z]{3,})", 1), F.lit("")), F.lit("w"))
-    n = i.cast("string")
+    n, own, near = i.cast("string"), doc.cast("string"), (doc + i % 2).cast("string")
     kind = i % 9
     return (
-        F.when(kind == 0, F.concat(F.lit("import { "), w, F.lit(", "), w, F.lit("_x as y"), n,
-                                   F.lit(' } from "./f'), (doc + 1).cast("string"), F.lit('"')))
-        .when(kind == 1, F.concat(F.lit("export function "), w, F.lit("_fn(a) {")))
-        .when(kind == 2, F.concat(F.lit("    return "), w, F.lit("_fn(a);")))
+        F.when(kind == 0, F.concat(F.lit("import { f"), near, F.lit("_fn, "), w, F.lit("_x as y"), n,
+                                   F.lit(' } from "./f'), near, F.lit('"')))
+        .when(kind == 1, F.concat(F.lit("export function f"), own, F.lit("_fn(a) {")))
+        .when(kind == 2, F.concat(F.lit("    return f"), own, F.lit("_fn(a);")))
         .when(kind == 3, F.concat(F.lit("import "), w, F.lit(' from "'), w, F.lit('/lib"')))
-        .when(kind == 4, F.concat(F.lit("const "), w, F.lit(' = require("@/'), w, F.lit('")')))
+        .when(kind == 4, F.concat(F.lit("const "), w, F.lit(' = require("@/'), source, F.lit("/f"), near, F.lit('")')))
         .when(kind == 5, F.concat(F.lit("# "), w, F.lit(" note")))
         .when(kind == 6, F.concat(F.lit("def "), w, F.lit("_py(x):")))
         .when(kind == 7, F.concat(F.lit("    "), w, F.lit("_py(x)["), w, F.lit("]")))
@@ -65,7 +65,7 @@ def _sections(docs: DataFrame, code: bool) -> DataFrame:
     f = doc_file()
     def row(x: Column, i: Column) -> Column:
         k = i % 5
-        text = code_line(x, i, F.col("doc_id")) if code else x
+        text = code_line(x, i, F.col("doc_id"), F.col("source")) if code else x
         return F.concat(
             F.when(i % 10 == 0, F.concat(F.lit("@@ -"), (i + 1).cast("string"), F.lit(",10 +"),
                                          (2 * i + 1).cast("string"), F.lit(",10 @@\n"))).otherwise(""),
@@ -117,7 +117,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     word = F.element_at("words", (F.col("event_id") % F.size("words")).cast("int") + 1)
     return j.select(
         "pr_id", F.col("event_id").alias("ord"), doc_file().alias("file"),
-        F.when(F.col("event_id") % 17 != 0, (F.col("event_id") % 40 + 1).cast("int")).alias("line"),
+        F.when(F.col("event_id") % 17 != 0, (F.floor(F.col("event_id") / 3) % 40 + 1).cast("int")).alias("line"),
         pick(TITLES, F.col("k")).alias("title"),
         pick(DETAILS, F.col("k")).alias("description"),
         F.when(F.col("event_type") == "error", "ERROR")
@@ -255,3 +255,35 @@ def pr_events(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.col("event_id") / 2).cast("string").alias("delivery_id"), "ts", kind.alias("event"),
         payload.alias("payload"), F.col("event_id").alias("seq"),
     )
+
+
+def source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files, one small repository per change."""
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("r"), F.floor(F.col("doc_id") / 4).cast("string")).alias("repo"),
+        F.floor(F.col("doc_id") / 4).alias("pr_id"), "doc_id", doc_file().alias("file"),
+        F.array_join(F.transform(F.split("text", "\n"), lambda x, i: code_line(x, i, F.col("doc_id"), F.col("source"))), "\n").alias("content"),
+    )
+
+
+def manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """package.json per repository: the first word of each of its files; some have none."""
+    w = F.coalesce(F.nullif(F.regexp_extract("text", "([a-z]{3,})", 1), F.lit("")), F.lit("w"))
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("pr_id"), "doc_id", w.alias("w")).where("pr_id % 7 <> 0")
+    return d.groupBy("pr_id").agg(
+        F.min_by("w", "doc_id").alias("a"), F.max_by("w", "doc_id").alias("b")
+    ).select(
+        F.concat(F.lit("r"), F.col("pr_id").cast("string")).alias("repo"),
+        F.concat(F.lit('{"name":"x","dependencies":{"'), "a", F.lit('":"1","react":"^18"},"devDependencies":{"'), "b",
+                 F.lit('":"2","react":"17"}}')).alias("content"))
+
+
+def alias_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """tsconfig.json per repository; some have none, some no usable rule."""
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("pr_id")).where("pr_id % 5 <> 0").distinct()
+    p = F.col("pr_id")
+    return d.select(
+        F.concat(F.lit("r"), p.cast("string")).alias("repo"), F.lit("tsconfig.json").alias("path"),
+        F.when(p % 5 == 1, F.lit('{"compilerOptions":{"paths":{}}}'))
+        .when(p % 5 == 2, F.lit('{"compilerOptions":{"baseUrl":"src","paths":{"@/*":["lib/*","*"],"~/x":["y"],"a*b*":["z"]}}}'))
+        .otherwise(F.lit('{"compilerOptions":{"baseUrl":".","paths":{"@/*":["src/*"]}}}')).alias("content"))
