@@ -63,7 +63,7 @@ def _code() -> str:
  WHEN 4 THEN 'const ' || {w} || ' = require("@/' || source || '/f' || {near} || '")'
  WHEN 5 THEN '# ' || {w} || ' note'
  WHEN 6 THEN 'def ' || {w} || '_py(x):'
- WHEN 7 THEN '    ' || {w} || '_py(x)[' || {w} || ']'
+ WHEN 7 THEN '    ' || {w} || '_py(x, ' || {w} || '[x])'
  ELSE 'from ' || {w} || ' import ' || {w} || '_a, ' || {w} || '_b as z' END)"""
 
 

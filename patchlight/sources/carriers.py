@@ -56,7 +56,7 @@ def code_line(x: Column, i: Column, doc: Column, source: Column) -> Column:
         .when(kind == 4, F.concat(F.lit("const "), w, F.lit(' = require("@/'), source, F.lit("/f"), near, F.lit('")')))
         .when(kind == 5, F.concat(F.lit("# "), w, F.lit(" note")))
         .when(kind == 6, F.concat(F.lit("def "), w, F.lit("_py(x):")))
-        .when(kind == 7, F.concat(F.lit("    "), w, F.lit("_py(x)["), w, F.lit("]")))
+        .when(kind == 7, F.concat(F.lit("    "), w, F.lit("_py(x, "), w, F.lit("[x])")))
         .otherwise(F.concat(F.lit("from "), w, F.lit(" import "), w, F.lit("_a, "), w, F.lit("_b as z")))
     )
 
