@@ -283,9 +283,7 @@ LEFT JOIN (SELECT pr_id, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS
  CASE WHEN after_gate = 0 THEN 'APPROVE' WHEN n_error > 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS merge_recommendation FROM c_asm""")
 def _(spark, sf):
     lines = lines_of(spark, sf, True)
-    j = judged(spark, sf)
-    cross = impacts(O.publication_gate(j, lines), spark, sf)
-    return R.assemble(K.prs(spark, sf), lines, j, cross)[1]
+    return R.assemble(K.prs(spark, sf), lines, judged(spark, sf), lambda found: impacts(found, spark, sf))[1]
 
 
 CTES["c_defs"] = r"""SELECT s.pr_id, s.symbol, s.ord, d.file, d.line, d.snippet, length(d.snippet) // 4 AS tokens, b.budget, row_number() OVER (PARTITION BY s.pr_id ORDER BY s.ord, s.symbol) AS seq

@@ -11,6 +11,7 @@ from patchlight.functions import columns as X
 from patchlight.operators import diff as D
 from patchlight.operators import scoring as S
 from patchlight.operators.similar import similar_sets
+from patchlight.session import cut_lineage
 from patchlight.sources import carriers as K
 
 CTES["c_hr"] = r"""SELECT pr_id, file, hunk, s AS start_line, s + greatest(n - 1, 0) AS end_line FROM (
@@ -105,7 +106,7 @@ def goldens(spark, sf):
 
 
 def said(spark, sf):
-    return gated(spark, sf).select("pr_id", "ord", F.concat("title", F.lit(" "), "description").alias("text"))
+    return cut_lineage(gated(spark, sf).select("pr_id", "ord", F.concat("title", F.lit(" "), "description").alias("text")))
 
 
 def pr_scores(spark, sf):

@@ -37,6 +37,16 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return cond
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row; a plain alias would be inlined at every use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def holds(value: Column, predicate) -> Column:
+    """let for a predicate."""
+    return F.exists(F.array(value), predicate)
+
+
 def ends_with_any(text: Column, suffixes: list[str]) -> Column:
     cond = F.lit(False)
     for suffix in suffixes:
@@ -46,10 +56,8 @@ def ends_with_any(text: Column, suffixes: list[str]) -> Column:
 
 def any_keyword(text: Column, keywords: Column) -> Column:
     """Case-insensitive; an empty or missing keyword list matches everything."""
-    low = F.lower(text)
-    return (
-        F.coalesce(F.size(keywords), F.lit(0)) <= 0
-    ) | F.exists(keywords, lambda k: low.contains(F.lower(k)))
+    return (F.coalesce(F.size(keywords), F.lit(0)) <= 0) | holds(
+        F.lower(text), lambda low: F.exists(keywords, lambda k: low.contains(F.lower(k))))
 
 
 def finding_text(prefix: str = "") -> Column:

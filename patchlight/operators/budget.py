@@ -43,7 +43,7 @@ def budget_break(rows: DataFrame, budgets: DataFrame, group: list[str], order: l
     budget is used up. Per group only the distinct running totals up to the budget matter, at most
     budget + 1 integers, so the fold per change is small whatever the number of rows.
     """
-    cum = running_total(rows, ["pr_id", *group], order, "tokens").join(budgets, "pr_id")
+    cum = cut_lineage(running_total(rows, ["pr_id", *group], order, "tokens").join(budgets, "pr_id"))
     steps = cum.groupBy("pr_id", *group).agg(
         F.max("budget").alias("budget"),
         F.array_sort(F.collect_set(F.when(F.col("cum") <= F.col("budget"), F.col("cum")))).alias("steps"),

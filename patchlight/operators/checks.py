@@ -25,22 +25,26 @@ def package_checks(refs: DataFrame, deps: DataFrame, manifests: DataFrame) -> Da
         "target_file", F.lit(None).cast("string")).drop("_package", "section", "_has")
 
 
-def _resolve(tried: DataFrame, repo_files: DataFrame, keys: list[str]) -> DataFrame:
-    """First candidate path that exists, per key: an equi-join on (repo, path), then min_by."""
-    return (
-        tried.join(repo_files.select("repo", F.col("file").alias("_cand")), ["repo", "_cand"])
-        .groupBy(*keys).agg(F.min_by("_cand", "_n").alias("target_file"))
-    )
+def _first_existing(tried: DataFrame, repo_files: DataFrame, keys: list[str], kept: list[Column]) -> DataFrame:
+    """First candidate path that exists per key: one outer equi-join on (repo, path) and one aggregation."""
+    there = repo_files.select("repo", F.col("file").alias("_cand"), F.lit(True).alias("_hit"))
+    return tried.join(there, ["repo", "_cand"], "left").groupBy(*keys).agg(
+        F.min_by("_cand", F.when(F.col("_hit"), F.col("_n"))).alias("target_file"), *kept)
 
 
 def relative_targets(pairs: DataFrame, repo_files: DataFrame) -> DataFrame:
     """pairs: distinct repo, file, module. Adds target_file, status and detail."""
     based = pairs.withColumn("_base", X.normal_path(F.concat(X.parent_path(F.col("file")), "module")))
-    tried = based.where("_base is not null").select(
-        "repo", "file", "module", F.posexplode(N.candidate_paths(F.col("_base"), C.CHECK_EXTENSIONS)).alias("_n", "_cand"))
-    hit = _resolve(tried, repo_files, ["repo", "file", "module"])
-    return based.join(hit, ["repo", "file", "module"], "left").select(
-        "repo", "file", "module", "target_file", *_outcome(F.col("_base").isNull(), "relative import resolves outside repository"))
+    tried = based.select(
+        "repo", "file", "module", F.col("_base").isNull().alias("_out"),
+        F.posexplode_outer(F.when(F.col("_base").isNotNull(), N.candidate_paths(F.col("_base"), C.CHECK_EXTENSIONS))).alias("_n", "_cand"))
+    found = _first_existing(tried, repo_files, ["repo", "file", "module"], [F.max("_out").alias("_out")])
+    hit = F.col("target_file").isNotNull()
+    return found.select(
+        "repo", "file", "module", "target_file",
+        F.when(F.col("_out"), "unknown").when(hit, "pass").otherwise("fail").alias("status"),
+        F.when(F.col("_out"), "relative import resolves outside repository").when(hit, F.col("target_file"))
+        .otherwise(F.concat("module", F.lit(" not found from "), "file")).alias("detail"))
 
 
 def alias_targets(pairs: DataFrame, rules: DataFrame, repo_files: DataFrame) -> DataFrame:
@@ -52,43 +56,33 @@ def alias_targets(pairs: DataFrame, rules: DataFrame, repo_files: DataFrame) ->
     per_repo = rules.groupBy("repo").agg(
         F.first("base_url").alias("base_url"),
         F.sort_array(F.collect_list(F.when(F.col("prefix").isNotNull(), F.struct("ord", "prefix", "suffix", "targets")))).alias("rules"),
-    )
+    ).withColumn("_base", X.normal_path(F.col("base_url")))
     joined = pairs.join(per_repo, "repo", "left")
-    base = X.normal_path(F.col("base_url"))
     hits = F.filter("rules", lambda r: F.col("module").startswith(r["prefix"]) & F.col("module").endswith(r["suffix"]))
 
     def paths(r: Column) -> Column:
         rest = F.substring(
             F.col("module"), F.length(r["prefix"]) + 1,
             F.greatest(F.length("module") - F.length(r["prefix"]) - F.length(r["suffix"]), F.lit(0)))
-        return F.transform(r["targets"], lambda t: X.normal_path(
-            F.when(base == "", F.replace(t, F.lit("*"), rest)).otherwise(F.concat(base, F.lit("/"), F.replace(t, F.lit("*"), rest)))))
-
-    opened = joined.withColumn("_bases", F.filter(F.flatten(F.transform(hits, paths)), lambda b: b.isNotNull()))
-    tried = opened.select("repo", "file", "module", F.posexplode(F.flatten(
-        F.transform("_bases", lambda b: N.candidate_paths(b, C.CHECK_EXTENSIONS)))).alias("_n", "_cand"))
-    hit = _resolve(tried, repo_files, ["repo", "file", "module"])
-    unset = F.coalesce(F.size("rules"), F.lit(0)) <= 0
-    done = opened.join(hit, ["repo", "file", "module"], "left")
-    status = (
-        F.when(unset | base.isNull(), "unknown").when(F.col("target_file").isNotNull(), "pass").otherwise("fail"))
+        lead = F.when(F.col("_base") == "", F.lit("")).otherwise(F.concat("_base", F.lit("/")))
+        return F.transform(r["targets"], lambda t: X.normal_path(F.concat(lead, F.replace(t, F.lit("*"), rest))))
+
+    bases = F.filter(F.flatten(F.transform(hits, paths)), lambda b: b.isNotNull())
+    tried = joined.select(
+        "repo", "file", "module", (F.coalesce(F.size("rules"), F.lit(0)) <= 0).alias("_unset"),
+        F.col("_base").isNull().alias("_out"),
+        F.posexplode_outer(F.flatten(F.transform(bases, lambda b: N.candidate_paths(b, C.CHECK_EXTENSIONS)))).alias("_n", "_cand"))
+    found = _first_existing(tried, repo_files, ["repo", "file", "module"],
+                            [F.max("_unset").alias("_unset"), F.max("_out").alias("_out")])
+    hit = F.col("target_file").isNotNull()
+    status = F.when(F.col("_unset") | F.col("_out"), "unknown").when(hit, "pass").otherwise("fail")
     detail = (
-        F.when(unset, F.concat(F.lit("path alias for "), "module", F.lit(" is not configured")))
-        .when(base.isNull(), "path alias baseUrl resolves outside repository")
-        .when(F.col("target_file").isNotNull(), F.col("target_file"))
+        F.when(F.col("_unset"), F.concat(F.lit("path alias for "), "module", F.lit(" is not configured")))
+        .when(F.col("_out"), "path alias baseUrl resolves outside repository").when(hit, F.col("target_file"))
         .otherwise(F.concat("module", F.lit(" not found from "), "file"))
     )
-    return done.select("repo", "file", "module", F.when(status == "pass", F.col("target_file")).alias("target_file"),
-                       status.alias("status"), detail.alias("detail"))
-
-
-def _outcome(outside: Column, why: str) -> tuple[Column, Column]:
-    hit = F.col("target_file").isNotNull()
-    return (
-        F.when(outside, "unknown").when(hit, "pass").otherwise("fail").alias("status"),
-        F.when(outside, why).when(hit, F.col("target_file"))
-        .otherwise(F.concat("module", F.lit(" not found from "), "file")).alias("detail"),
-    )
+    return found.select("repo", "file", "module", F.when(status == "pass", F.col("target_file")).alias("target_file"),
+                        status.alias("status"), detail.alias("detail"))
 
 
 def module_targets(refs: DataFrame, rules: DataFrame, repo_files: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.functions import columns as X
+from patchlight.session import cut_lineage
 
 FINDING_KEY = ["pr_id", "file", "line", "title"]
 
@@ -119,21 +120,21 @@ def publication_gate(findings: DataFrame, lines: DataFrame, strict: bool = False
 
 def frontend_guess() -> Column:
     path = F.concat(F.lit("/"), F.lower("file"))
-    text = X.finding_text()
     return (
         (F.col("category") == "security")
-        & (X.ends_with_any(path, C.FRONTEND_SUFFIXES) | X.contains_any(path, C.FRONTEND_PATHS))
-        & X.contains_any(text, C.GUESS_WORDS)
-        & X.contains_any(text, C.CLIENT_WORDS)
-        & ~X.contains_any(text, C.SERVER_WORDS)
+        & X.holds(path, lambda p: X.ends_with_any(p, C.FRONTEND_SUFFIXES) | X.contains_any(p, C.FRONTEND_PATHS))
+        & X.holds(
+            X.finding_text(),
+            lambda t: X.contains_any(t, C.GUESS_WORDS) & X.contains_any(t, C.CLIENT_WORDS)
+            & ~X.contains_any(t, C.SERVER_WORDS),
+        )
     )
 
 
 def weak_performance() -> Column:
-    text = X.finding_text()
     return (
         (F.col("category") == "performance") & (F.col("severity") == "WARNING")
-        & X.contains_any(text, C.MICRO_WORDS) & ~X.contains_any(text, C.HARD_WORDS)
+        & X.holds(X.finding_text(), lambda t: X.contains_any(t, C.MICRO_WORDS) & ~X.contains_any(t, C.HARD_WORDS))
     )
 
 
@@ -159,18 +160,22 @@ def min_confidence(findings: DataFrame, value: float = C.MIN_CONFIDENCE) -> Data
 
 def guessed_category() -> Column:
     """Category with most keyword hits if it differs from the present one; ties keep the fixed order."""
+    def scores(text: Column) -> Column:
+        def hits(words: list[str]) -> Column:
+            total = F.lit(0)
+            for w in words:
+                total = total + text.contains(w).cast("int")
+            return total
+
+        # The larger count wins; of equal counts the earlier category, hence the negated place.
+        return F.array(*[
+            F.struct(hits(words).alias("n"), F.lit(-i).alias("i"), F.lit(cat).alias("cat"))
+            for i, (cat, words) in enumerate(C.CATEGORY_WORDS.items())
+        ])
+
     text = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("description")))
-    score = {}
-    for cat, words in C.CATEGORY_WORDS.items():
-        total = F.lit(0)
-        for w in words:
-            total = total + text.contains(w).cast("int")
-        score[cat] = total
-    top = F.greatest(*score.values())
-    best = F.lit(None).cast("string")
-    for cat in reversed(list(score)):
-        best = F.when(score[cat] == top, F.lit(cat)).otherwise(best)
-    return F.when((top > 0) & (best != F.col("category")), best)
+    return X.let(X.let(text, lambda t: F.array_max(scores(t))), lambda best: F.when(
+        (best["n"] > 0) & (best["cat"] != F.col("category")), best["cat"]))
 
 
 def recategorize(findings: DataFrame) -> DataFrame:
@@ -190,13 +195,15 @@ def semantic_dedup(findings: DataFrame, threshold: float = 0.8, reach: int = 3)
     )
     words = F.array_sort(X.word_set(F.concat_ws(" ", "title", F.left("description", F.lit(100)))))
     ready = findings.withColumn("_w", words).withColumn("_o", order)
-    plain = F.col("line").isNull() | (F.size("_w") == 0)
-    reps = ready.where(~plain).groupBy("pr_id", "file", "line", "_w").agg(
-        F.min_by(F.struct(*findings.columns), "_o").alias("_f"), F.min("_o").alias("_o")
+    alone = F.when(F.col("line").isNull() | (F.size("_w") == 0), F.col("ord"))
+    reps = cut_lineage(
+        ready.withColumn("_a", alone).groupBy("pr_id", "file", "line", "_w", "_a").agg(
+            F.min_by(F.struct(*findings.columns), "_o").alias("_f"), F.min("_o").alias("_o")
+        )
     )
     n = F.size("_w")
     prefix = F.slice("_w", F.lit(1), (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1))
-    keyed = reps.select(
+    keyed = reps.where("_a is null").select(
         "pr_id", "file", "line", "_w", "_o", F.explode(prefix).alias("k"),
     )
     width = reach + 1
@@ -212,10 +219,9 @@ def semantic_dedup(findings: DataFrame, threshold: float = 0.8, reach: int = 3)
         .where(X.jaccard(F.col("_w"), F.col("_w2")) >= threshold)
         .select("pr_id", F.col("_o.o").alias("ord")).distinct()
     )
-    kept = reps.select(*[F.col(f"_f.{c}").alias(c) for c in findings.columns]).join(
+    return reps.select(*[F.col(f"_f.{c}").alias(c) for c in findings.columns]).join(
         beaten, ["pr_id", "ord"], "left_anti"
-    )
-    return kept.select(*findings.columns).unionByName(ready.where(plain).select(*findings.columns))
+    ).select(*findings.columns)
 
 
 def _drop_claims(findings: DataFrame, checks: DataFrame, name: str, claims: list[str]) -> DataFrame:
@@ -227,10 +233,10 @@ def _drop_claims(findings: DataFrame, checks: DataFrame, name: str, claims: list
     passed = checks.where(F.col("status") == "pass").groupBy("pr_id", "file").agg(
         F.collect_set(F.col(name)).alias("_passed")
     )
-    text = X.finding_text()
-    joined = findings.join(passed, ["pr_id", "file"], "left").withColumn("_t", text)
-    hit = F.exists(F.coalesce("_passed", F.array().cast("array<string>")), lambda m: F.col("_t").contains(m))
-    return joined.where(~(X.contains_any(F.col("_t"), claims) & hit)).select(*findings.columns)
+    joined = findings.join(passed, ["pr_id", "file"], "left")
+    disproved = F.col("_passed").isNotNull() & X.holds(
+        X.finding_text(), lambda t: X.contains_any(t, claims) & F.exists("_passed", lambda m: t.contains(m)))
+    return joined.where(~disproved).select(*findings.columns)
 
 
 def drop_import_claims(findings: DataFrame, import_checks: DataFrame) -> DataFrame:

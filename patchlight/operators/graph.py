@@ -68,7 +68,7 @@ def bfs_callers(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int
     """root, id, depth, path for callers within depth hops; path orders them as a queue would.
 
     Each hop is one equi-join of the frontier on callee_id. A node met again keeps its first
-    visit. cut_off (root) lists roots that need no further hop. Hops beyond two are checkpointed.
+    visit. cut_off (root) lists roots that need no further hop. Each hop but the last is checkpointed.
     """
     info = nodes.select("id", F.struct("file", "start_line", "name", F.col("id").alias("nid")).alias("_k"))
     steps = (
@@ -91,7 +91,7 @@ def bfs_callers(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int
             .join(visited, ["root", "id"], "left_anti")
             .select("root", "id", F.concat("_p", F.array("_k")).alias("path"))
         )
-        if d >= 2 and depth > 2:
+        if d < depth:  # read again as frontier, visited set and result
             reached = cut_lineage(reached)
         level = reached.withColumn("depth", F.lit(d))
         levels = level if levels is None else levels.unionByName(level)
@@ -109,6 +109,7 @@ def blast_radius(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, budgets:
     hop, so that hop is not computed for it.
     """
     code = nodes.select("id", X.tokens(F.col("code")).alias("tokens"))
+    seeds = cut_lineage(seeds)
     first = (
         edges.where(F.col("callee_id").isNotNull())
         .join(seeds.select(F.col("id").alias("callee_id")).distinct(), "callee_id", "left_semi")
@@ -151,7 +152,7 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> Dat
     """
     node_file = nodes.select(F.col("id").alias("caller_id"), "file")
     placed = calls.join(node_file, "caller_id")
-    asked = placed.select("file", "callee_name", "callee_short_name").distinct()
+    asked = cut_lineage(placed.select("file", "callee_name", "callee_short_name").distinct())
     bound = (
         asked.select(
             "file", "callee_name", "callee_short_name",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patchlight.functions import columns as X
 from patchlight.operators.similar import salted_first, similar_sets
+from patchlight.session import cut_lineage
 
 HUNK_BUCKET = 64
 
@@ -43,7 +44,7 @@ def with_hunks(issues: DataFrame, expected: DataFrame, hunks: DataFrame) -> tupl
     points = issues.select("pr_id", "file", "line").unionByName(
         expected.select("pr_id", "file", F.col("line_start").alias("line"))
     ).unionByName(expected.select("pr_id", "file", F.col("line_end").alias("line")))
-    at = hunk_index(points, hunks)
+    at = cut_lineage(hunk_index(points, hunks))
     files = hunks.select("pr_id", "file", F.lit(True).alias("_h")).distinct()
     left = issues.join(at.withColumnRenamed("hunk", "issue_hunk"), ["pr_id", "file", "line"], "left")
     s = at.select("pr_id", "file", F.col("line").alias("line_start"), F.col("hunk").alias("_hs"))
@@ -122,8 +123,8 @@ def score_samples(samples: DataFrame, issues: DataFrame, expected: DataFrame, hu
 
     samples has pr_id and may have error.
     """
-    pairs = issue_pairs(issues, expected, hunks)
-    match = match_constrained(pairs)
+    pairs = cut_lineage(issue_pairs(issues, expected, hunks))
+    match = cut_lineage(match_constrained(pairs))
     taken = match.select("pr_id", F.explode("matched").alias("expected_ord"))
     matched_issues = pairs.where("is_match").select("pr_id", "issue_ord").distinct()
     loose = pairs.where("is_review").join(matched_issues, ["pr_id", "issue_ord"], "left_anti").join(

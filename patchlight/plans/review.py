@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.functions import columns as X
-from patchlight.operators import checks as K
 from patchlight.operators import findings as O
 from patchlight.operators import graph as G
+from patchlight.session import cut_lineage
 
 
 def union_sources(*parts: DataFrame) -> DataFrame:
@@ -77,10 +79,16 @@ def caller_findings(callers: DataFrame, reason: Column, arg: Column | None = Non
     )
 
 
-def assemble(prs: DataFrame, lines: DataFrame, judged: DataFrame, cross_file: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Published issues and one summary row per change. Issues stay rows; no per-change array is built."""
-    gated = O.publication_gate(judged, lines)
-    issues = gated if cross_file is None else gated.unionByName(cross_file, allowMissingColumns=True)
+def assemble(prs: DataFrame, lines: DataFrame, judged: DataFrame,
+             cross_file: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Published issues and one summary row per change. Issues stay rows; no per-change array is built.
+
+    cross_file turns published findings into further findings at callers. Judged and published
+    findings are each read more than once, so each is written once.
+    """
+    judged = cut_lineage(judged)
+    gated = cut_lineage(O.publication_gate(judged, lines))
+    issues = gated if cross_file is None else gated.unionByName(cross_file(gated), allowMissingColumns=True)
     before = judged.groupBy("pr_id").agg(F.count("*").alias("before_gate"))
     decided = O.decisions(prs, issues)
     merged = prs.select("pr_id", "title", F.size("files").cast("bigint").alias("files_changed")).join(decided, "pr_id").join(before, "pr_id", "left")
@@ -90,7 +98,3 @@ def assemble(prs: DataFrame, lines: DataFrame, judged: DataFrame, cross_file: Da
         F.col("n").alias("after_gate"), (F.coalesce("before_gate", F.lit(0)) - F.col("n")).alias("filtered"),
     )
     return issues, summary
-
-
-def check_inputs(imports: DataFrame, exports: DataFrame) -> DataFrame:
-    return K.check_findings(imports, exports)
