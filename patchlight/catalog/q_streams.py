@@ -1 +1,113 @@
+"""Event queries: batch twins with oracles, and two that run a stream to its end."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from patchlight.catalog.base import CTES, query
+from patchlight.session import CHECKPOINT_KEY
+from patchlight.sources import carriers as K
+from patchlight.streaming import events as E
+from patchlight.streaming import jobs as J
+from patchlight.streaming import limits as L
+
+TRIGGER = "@review-bot"
+US = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+
+CTES["c_ev"] = """SELECT event_id, ts, epoch_us(ts) AS us, user_id, CASE WHEN event_type IN ('click','view') THEN 'pull_request' WHEN event_type = 'error' THEN 'issue_comment' ELSE 'push' END AS event,
+ 'https://github.com/org/repo' || (user_id % 8) || '/pull/' || (event_id % 50) AS url, (event_id // 2)::VARCHAR AS delivery_id FROM events"""
+CTES["c_jobs"] = """SELECT event_id, delivery_id, CASE WHEN event = 'pull_request' AND event_id % 4 <= 1 THEN CASE WHEN event_id % 41 = 0 THEN 'rejected' ELSE 'job' END
+ WHEN event = 'issue_comment' AND (event_id + user_id) % 2 = 0 AND event_id % 3 = 0 AND event_id % 5 <> 0 THEN 'job' ELSE 'ignored' END AS status,
+ url, event || '.' || CASE WHEN event = 'pull_request' THEN (['opened','synchronize','labeled','closed'])[event_id % 4 + 1] ELSE 'created' END AS job_event, user_id FROM c_ev"""
+
+
+@query("st_events", """SELECT event_id AS seq, delivery_id, status, CASE WHEN status = 'job' THEN url END AS pr_url, CASE WHEN status = 'job' THEN job_event END AS job_event FROM c_jobs""")
+def _(spark, sf):
+    return E.classify(K.pr_events(spark, sf), TRIGGER).select("seq", "delivery_id", "status", "pr_url", "job_event")
+
+
+@query("st_rejects", "SELECT delivery_id FROM c_jobs WHERE status = 'rejected'")
+def _(spark, sf):
+    return E.rejected(K.pr_events(spark, sf), TRIGGER).select("delivery_id")
+
+
+def timed(spark, sf):
+    return K.table(spark, sf, "events").select("event_id", "user_id", F.expr(US).alias("us"))
+
+
+def _chain(key: str, seconds: int) -> str:
+    return f"""SELECT event_id, k, us, opened FROM (
+WITH RECURSIVE e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
+ w AS (SELECT event_id, k, us, rn, us AS opened FROM e WHERE rn = 1
+  UNION ALL SELECT e.event_id, e.k, e.us, e.rn, CASE WHEN e.us >= w.opened + {seconds} * 1000000 THEN e.us ELSE w.opened END FROM w JOIN e ON e.k = w.k AND e.rn = w.rn + 1)
+SELECT * FROM w)"""
+
+
+CTES["c_hookwin"] = _chain("user_id % 5", 600)
+CTES["c_lockwin"] = _chain("user_id", 1200)
+
+
+@query("st_rate_limit", "SELECT event_id, k AS inst, row_number() OVER (PARTITION BY k, opened ORDER BY us, event_id) > 2 AS limited FROM c_hookwin")
+def _(spark, sf):
+    e = timed(spark, sf).select("event_id", (F.col("user_id") % 5).alias("inst"), "us")
+    return L.rate_limited(e, ["inst"], "us", "event_id", 600, 2).select("event_id", "inst", "limited")
+
+
+@query("st_review_lock", "SELECT min_by(event_id, (us, event_id)) AS event_id, k AS sha FROM c_lockwin GROUP BY k, opened")
+def _(spark, sf):
+    e = timed(spark, sf).select("event_id", F.col("user_id").alias("sha"), "us")
+    return L.first_per_ttl(e, ["sha"], "us", "event_id", 1200).select("event_id", "sha")
+
+
+@query("st_rate_tumbling", "SELECT user_id, epoch_us(time_bucket(INTERVAL 60 SECOND, ts)) AS window_us, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    t = L.tumbling_counts(K.table(spark, sf, "events"), "user_id")
+    return t.select("user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', window_start)").alias("window_us"), "n")
+
+
+@query("st_api_window", """SELECT event_id, n, n <= 3 AS allowed, greatest(3 - n, 0) AS remaining, f + 3600000000 AS reset_at FROM (SELECT event_id,
+ count(*) OVER w AS n, min(epoch_us(ts)) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id % 10 ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))""")
+def _(spark, sf):
+    e = timed(spark, sf).withColumn("client", F.col("user_id") % 10)
+    return L.api_quota(e, "client", "us", "event_id", 3).select("event_id", "n", "allowed", "remaining", "reset_at")
+
+
+@query("st_supersede", """SELECT event_id AS review_id, bot AND (ts < mts OR (ts = mts AND event_id < mid)) AS superseded FROM (SELECT event_id, ts, event_type <> 'view' AS bot, event_id % 50 AS pr_id FROM events) e
+LEFT JOIN (SELECT event_id % 50 AS pr_id, max(ts) AS mts, max_by(event_id, (ts, event_id)) AS mid FROM events WHERE event_type <> 'view' GROUP BY 1) m USING (pr_id)""")
+def _(spark, sf):
+    r = K.table(spark, sf, "events").select((F.col("event_id") % 50).alias("pr_id"), F.col("event_id").alias("review_id"), "ts",
+                                            (F.col("event_type") != "view").alias("by_bot"))
+    return J.superseded(r).select("review_id", "superseded")
+
+
+def _stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _run(spark, df, mode):
+    """Run a stream over all present files and return its result table."""
+    name = "q_" + uuid.uuid4().hex
+    base = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="patchlight-stream-")
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("st_dedup_delivery", "SELECT DISTINCT event_id // 2 AS delivery FROM events")
+def _(spark, sf):
+    s = _stream(spark, sf).select(F.expr("event_id div 2").alias("delivery"), F.col("ts").cast("timestamp").alias("ts"))
+    return _run(spark, L.dedup_stream(s, ["delivery"]), "append").select("delivery")
+
+
+@query("st_repo_stats", """SELECT 'org/repo' || (user_id % 8) AS repo, count(*) AS total_reviews, sum(event_id % 5)::BIGINT AS total_issues_found,
+ round(avg(value), 2) AS avg_duration_ms, count(*) FILTER (event_type = 'error') AS n_high FROM events GROUP BY 1""")
+def _(spark, sf):
+    s = _stream(spark, sf).select(
+        F.concat(F.lit("org/repo"), (F.col("user_id") % 8).cast("string")).alias("repo"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("value").alias("duration_ms"), (F.col("event_id") % 5).alias("issue_count"),
+        F.when(F.col("event_type") == "error", "HIGH").otherwise("LOW").alias("risk_level"))
+    return _run(spark, J.repo_stats(s), "complete").select("repo", "total_reviews", "total_issues_found", "avg_duration_ms", "n_high")

@@ -19,3 +19,23 @@ def repo_stats(reviews: DataFrame) -> DataFrame:
         F.count_if(risk == "LOW").alias("n_low"),
         F.max("ts").alias("last_review_at"),
     )
+
+
+def superseded(reviews: DataFrame) -> DataFrame:
+    """reviews: pr_id, review_id, ts, by_bot. Older bot reviews of a change are superseded by its newest."""
+    newest = reviews.where("by_bot").groupBy("pr_id").agg(F.max(F.struct("ts", "review_id")).alias("_n"))
+    return reviews.join(newest, "pr_id", "left").withColumn(
+        "superseded", F.col("by_bot") & F.coalesce(F.struct("ts", "review_id") < F.col("_n"), F.lit(False))).drop("_n")
+
+
+def start_review_job(jobs: DataFrame, review, out: str, checkpoint: str, once: bool = False):
+    """Review each micro-batch of jobs with a batch plan and write one folder per batch.
+
+    review takes the batch of jobs and returns result rows with repo. A batch that runs again after
+    a lost executor or driver overwrites its own folder, so results appear once.
+    """
+    def run(batch: DataFrame, epoch: int) -> None:
+        review(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    w = jobs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
