@@ -158,3 +158,26 @@ def dataset_items(samples: DataFrame, expected: DataFrame) -> DataFrame:
     items = samples.select("id", F.to_json(F.struct(*has)).alias("input"))
     out = expected.select(F.col("sample_id").alias("id"), F.to_json(F.struct(*[c for c in expected.columns if c != "sample_id"])).alias("expected_output"))
     return items.join(out, "id", "left")
+
+
+def run_rows(results: DataFrame, goldens: DataFrame) -> DataFrame:
+    """results: url, title, issue_count, risk_level, before_gate, after_gate, elapsed, error. A failed run keeps error and time only."""
+    n = goldens.groupBy("url").agg(F.count("*").alias("golden_count"))
+    ok = F.col("error").isNull()
+
+    def when_ok(c: str):
+        return F.when(ok, F.col(c)).alias(c)
+
+    return results.join(n, "url", "left").withColumn("golden_count", F.coalesce("golden_count", F.lit(0))).select(
+        "url", F.when(ok, F.left("title", F.lit(80))).alias("pr_title"), when_ok("golden_count"), when_ok("issue_count"), when_ok("risk_level"),
+        when_ok("before_gate"), when_ok("after_gate"), F.round("elapsed", 1).alias("elapsed"), "error")
+
+
+def without_errors(runs: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+    ok = runs.where("error is null")
+    return ok.orderBy(order).limit(limit) if limit else ok
+
+
+def context_summary(prs: DataFrame) -> DataFrame:
+    return prs.select("pr_id", "title", F.coalesce("head_sha", F.lit("")).alias("head_sha"), F.array_join("files", ",").alias("files"),
+                      F.length("diff").cast("bigint").alias("diff_len"), F.lit(False).alias("diff_truncated"))
