@@ -69,7 +69,7 @@ def _(spark, sf):
 
 @query("diff_split_files", "SELECT pr_id, file, part::INT AS part, chunk FROM c_chunks")
 def _(spark, sf):
-    return D.split_files(K.prs(spark, sf))
+    return D.split_files(K.prs(spark, sf)).select("pr_id", "file", "part", "chunk")
 
 
 @query("diff_chunk", f"""SELECT pr_id, file, chunk_no::INT AS chunk_no, chunk FROM (

@@ -156,4 +156,4 @@ def parent_path(path: Column) -> Column:
 
 def python_strip(text: Column) -> Column:
     """Strip blanks of the ASCII kind on both sides."""
-    return F.regexp_replace(text, r"^[ \t\r\n\f\u000B]+|[ \t\r\n\f\u000B]+$", "")
+    return F.btrim(text, F.lit(" \t\r\n\f\u000b"))

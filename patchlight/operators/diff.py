@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 from patchlight import constants as C
 from patchlight.functions import columns as X
 
-# A section starts at a git header, at "--- x" directly followed by "+++ y", or at "+++ b/".
-SECTION_SPLIT = r"(?dm)^(?=diff --git |--- [^\n]*\n\+\+\+ |\+\+\+ b/)"
 HUNK_SPLIT = r"(?dm)^(?=@@)"
 FILE_SPLIT = r"(?dm)^(?=diff --git)"
-HEADER = r"^(?:diff --git [^\n]*\n?|--- [^\n]*\n?(?:\+\+\+ [^\n]*\n?)?|\+\+\+ b/[^\n]*\n?)"
 IMPORT_LINE = r"^\s*(import |from .+ import |require\(|const .+ = require)"
 
 
@@ -25,37 +22,41 @@ def _sql(text: str) -> Column:
     return F.expr(text)
 
 
-def line_count(text: Column) -> Column:
-    """Lines of a block, where a final newline ends the last line."""
-    return F.when(text == "", 0).otherwise(
-        F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-        + F.when(text.endswith("\n"), 0).otherwise(1)
-    )
-
-
 def _running(sizes: Column) -> Column:
-    """Offsets before each element; the array holds blocks, not lines, so it stays short."""
+    """Offsets before each element; the array holds hunks, not lines, so it stays short."""
     return F.aggregate(
         sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
     )
 
 
 def diff_sections(prs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
-    """keys, section, file (null outside a new-side file), text, line offset."""
-    parts = prs.select(*keys, F.split(F.col(diff), SECTION_SPLIT).alias("parts"))
-    offsets = parts.withColumn("offs", _running(F.transform("parts", line_count)))
-    rows = offsets.select(
-        *keys,
-        F.posexplode(
-            F.transform("parts", lambda t, i: F.struct(t.alias("text"), F.col("offs")[i].alias("off")))
-        ).alias("section", "s"),
+    """keys, section, file (null outside a new-side file), off (first row's number), head (header rows), rows.
+
+    A section starts at a git header, at "--- x" directly followed by "+++ y", or at "+++ b/". The
+    text is split once on newlines; sections are slices of that array.
+    """
+    rows = prs.select(*keys, F.split(F.col(diff), "\n").alias("_r")).select(
+        *keys, _sql("if(element_at(_r, -1) = '', slice(_r, 1, size(_r) - 1), _r)").alias("_r"))
+    marks = rows.withColumn(
+        "_m",
+        _sql(
+            """filter(transform(_r, (x, i) -> named_struct('i', i, 'hd', case
+                 when startswith(x, 'diff --git ') or startswith(x, '+++ b/') then 1
+                 when startswith(x, '--- ') and startswith(get(_r, i + 1), '+++ b/') then 1
+                 when startswith(x, '--- ') and startswith(get(_r, i + 1), '+++ ') then 2
+                 when i = 0 then 0 end)), m -> m.hd is not null)"""
+        ),
     )
-    return rows.select(
+    return marks.select(
+        *keys,
+        _sql(
+            """posexplode(transform(_m, (m, k) -> named_struct('off', m.i, 'head', m.hd,
+                 'rows', slice(_r, m.i + 1, coalesce(get(_m, k + 1).i, size(_r)) - m.i)))) as (section, s)"""
+        ),
+    ).select(
         *keys, "section",
-        F.when(
-            F.col("s.text").startswith("+++ b/"), F.regexp_extract("s.text", r"^\+\+\+ b/([^\n]*)", 1)
-        ).alias("file"),
-        F.col("s.text").alias("text"), F.col("s.off").alias("off"),
+        _sql("if(startswith(get(s.rows, 0), '+++ b/'), substr(get(s.rows, 0), 7), null)").alias("file"),
+        F.col("s.off").alias("off"), F.col("s.head").alias("head"), F.col("s.rows").alias("rows"),
     )
 
 
@@ -67,66 +68,40 @@ def diff_lines(prs: DataFrame, keys: list[str] | None = None, diff: str = "diff"
     @@, added, removed and context rows of the file section from 1.
     """
     keys = keys or ["pr_id"]
-    sections = diff_sections(prs, keys, diff)
     hunks = (
-        sections.select(
-            *keys, "section", "file", "off",
-            F.length("text").alias("_len"),
-            F.regexp_replace("text", HEADER, "").alias("body"), "text",
+        diff_sections(prs, keys, diff)
+        .withColumn(
+            "_h",
+            _sql(
+                """filter(transform(rows, (x, i) -> if(i >= head and (startswith(x, '@@') or i = head), i, null)),
+                     i -> i is not null)"""
+            ),
         )
-        .withColumn("head_lines", line_count(F.expr("left(text, length(text) - length(body))")))
         .withColumn(
             "hs",
-            F.transform(
-                F.split("body", HUNK_SPLIT),
-                lambda t: F.struct(
-                    F.when(t.startswith("@@"), F.substring_index(t, "\n", 1)).alias("head"),
-                    F.regexp_replace(
-                        F.when(t.startswith("@@"), F.regexp_replace(t, r"^[^\n]*\n?", "")).otherwise(t),
-                        r"\n\z", "",
-                    ).alias("body"),
-                    line_count(t).alias("n"),
-                ),
+            _sql(
+                """transform(transform(_h, (h, k) -> named_struct('at', h,
+                     'head', if(startswith(get(rows, h), '@@'), get(rows, h), null),
+                     'stop', coalesce(get(_h, k + 1), size(rows)))),
+                   h -> named_struct('head', h.head, 'loff', off + h.at,
+                     'rows', if(h.head is null, slice(rows, h.at + 1, h.stop - h.at),
+                                slice(rows, h.at + 2, h.stop - h.at - 1))))"""
             ),
         )
-        .select(
-            *keys, "section", "file", (F.col("off") + F.col("head_lines")).alias("off"),
-            F.transform(
-                "hs",
-                lambda h: F.struct(
-                    h["head"].alias("head"), h["n"].alias("n"),
-                    F.when(h["body"] == "", F.array().cast("array<string>"))
-                    .otherwise(F.split(h["body"], "\n")).alias("rows"),
-                ),
-            ).alias("hs"),
-        )
-        .withColumn("loffs", _running(F.transform("hs", lambda h: h["n"])))
         .withColumn(
             "poffs",
-            _running(
-                F.transform(
-                    "hs",
-                    lambda h: F.when(h["head"].isNull(), 0).otherwise(1)
-                    + F.size(F.filter(h["rows"], lambda x: x.substr(1, 1).isin("+", "-", " "))),
-                )
-            ),
+            _running(F.transform("hs", lambda h: F.when(h["head"].isNull(), 0).otherwise(1) + F.size(
+                F.filter(h["rows"], lambda x: x.substr(1, 1).isin("+", "-", " "))))),
         )
         .select(
             *keys, "section", "file",
-            F.posexplode(
-                F.transform(
-                    "hs",
-                    lambda h, i: F.struct(
-                        h["head"].alias("head"), h["rows"].alias("rows"),
-                        (F.col("off") + F.col("loffs")[i]).alias("loff"),
-                        F.col("poffs")[i].alias("poff"),
-                    ),
-                )
-            ).alias("hunk", "h"),
+            _sql(
+                """posexplode(transform(hs, (h, k) -> named_struct('head', h.head, 'rows', h.rows,
+                     'loff', h.loff, 'poff', get(poffs, k)))) as (hunk, h)"""
+            ),
         )
         .select(
-            *keys, "section", "file", "hunk", F.col("h.head").alias("head"),
-            F.col("h.rows").alias("rows"),
+            *keys, "section", "file", "hunk", F.col("h.head").alias("head"), F.col("h.rows").alias("rows"),
             F.when(F.col("h.head").isNull(), F.lit(1))
             .otherwise(_sql(r"try_cast(regexp_extract(h.head, '\\+([0-9]+)', 1) as int)")).alias("start"),
             F.when(F.col("h.head").isNull(), 0).otherwise(1).alias("hd"),
@@ -143,7 +118,7 @@ def diff_lines(prs: DataFrame, keys: list[str] | None = None, diff: str = "diff"
             " (s, n) -> named_struct('i', s.i, 'c', s.c, 'x', s.x, 'n', n))"
         ),
     )
-    rows = marked.select(
+    return marked.select(
         *keys, "section", "file", "hunk",
         _sql(
             """inline(concat(
@@ -164,7 +139,6 @@ def diff_lines(prs: DataFrame, keys: list[str] | None = None, diff: str = "diff"
                  'new_line_lenient', start + s.n, 'position', cast(null as int), 'text', s.x))))"""
         ),
     )
-    return rows
 
 
 def position_map(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -198,9 +172,7 @@ def hunk_ranges(prs: DataFrame, keys: list[str] | None = None, diff: str = "diff
     sections = diff_sections(prs, keys, diff).where(F.col("file").isNotNull())
     heads = sections.select(
         *keys, "file", "section",
-        F.posexplode(
-            F.regexp_extract_all("text", F.lit(r"(?dm)^(@@ [^\n]*\+[0-9][^\n]*)"), F.lit(1))
-        ).alias("hunk", "head"),
+        _sql(r"posexplode(filter(rows, x -> startswith(x, '@@ ') and x rlike '\\+[0-9]')) as (hunk, head)"),
     )
     start = _sql(r"cast(regexp_extract(head, '\\+([0-9]+)', 1) as int)")
     count = _sql(r"coalesce(try_cast(nullif(regexp_extract(head, '\\+[0-9]+,([0-9]+)', 1), '') as int), 1)")
@@ -211,18 +183,32 @@ def hunk_ranges(prs: DataFrame, keys: list[str] | None = None, diff: str = "diff
 
 
 def split_files(prs: DataFrame, keys: list[str] | None = None, diff: str = "diff") -> DataFrame:
-    """One chunk per file, cut at git headers; a later chunk of the same name wins."""
+    """keys, file, part, chunk: one chunk per file, cut at git headers; of equal names the last chunk
+    counts, at the place of the first. All inside the row: texts are not shuffled."""
     keys = keys or ["pr_id"]
-    parts = prs.select(*keys, F.posexplode(F.split(F.col(diff), FILE_SPLIT)).alias("part", "text"))
-    named = parts.select(
-        *keys, "part",
-        F.try_element_at(
-            F.regexp_extract_all("text", F.lit(r"(?dm)^\+\+\+ b/([^\n]*)"), F.lit(1)), F.lit(-1)
-        ).alias("file"),
-        F.regexp_replace("text", r"\n\z", "").alias("chunk"),
-    ).where(F.col("file").isNotNull())
-    return named.groupBy(*keys, "file").agg(
-        F.min("part").alias("part"), F.max_by("chunk", "part").alias("chunk")
+    parts = prs.select(
+        *keys,
+        F.filter(
+            F.transform(
+                F.split(F.col(diff), FILE_SPLIT),
+                lambda t: F.struct(
+                    F.try_element_at(
+                        F.regexp_extract_all(t, F.lit(r"(?dm)^\+\+\+ b/([^\n]*)"), F.lit(1)), F.lit(-1)
+                    ).alias("file"),
+                    F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t).alias("chunk"),
+                ),
+            ),
+            lambda c: c["file"].isNotNull(),
+        ).alias("_c"),
+    ).withColumn("_n", F.transform("_c", lambda c: c["file"]))
+    return parts.select(
+        *keys,
+        _sql(
+            """inline(transform(filter(transform(_c, (c, k) -> named_struct('file', c.file,
+                 'part', cast(array_position(_n, c.file) - 1 as int), 'chunk', c.chunk, 'k', k)),
+                 c -> not array_contains(slice(_n, c.k + 2, size(_n)), c.file)),
+               c -> named_struct('file', c.file, 'part', c.part, 'chunk', c.chunk)))"""
+        ),
     )
 
 
