@@ -88,6 +88,10 @@ def export_checks(spark, sf):
     return CK.export_checks(symbol_refs(spark, sf), exports(spark, sf), rules(spark, sf), repo_files(spark, sf))
 
 
+def both_checks(spark, sf):
+    return CK.verify_changes(refs(spark, sf), symbol_refs(spark, sf), deps(spark, sf), K.manifests(spark, sf), rules(spark, sf), exports(spark, sf), repo_files(spark, sf))
+
+
 OUT = ["pr_id", "file", "line", "module", "status", "detail"]
 
 
@@ -124,8 +128,9 @@ def _(spark, sf):
 @query("verify_diff_imports", """SELECT 'import' AS check_kind, pr_id, file, line, module, NULL AS symbol, status, detail FROM c_ichecks
 UNION ALL SELECT 'export', pr_id, file, line, module, symbol, status, detail FROM c_exp_checks""")
 def _(spark, sf):
-    a = import_checks(spark, sf).select(F.lit("import").alias("check_kind"), "pr_id", "file", "line", "module", F.lit(None).cast("string").alias("symbol"), "status", "detail")
-    b = export_checks(spark, sf).select(F.lit("export").alias("check_kind"), "pr_id", "file", "line", "module", "symbol", "status", "detail")
+    imp, exp = both_checks(spark, sf)
+    a = imp.select(F.lit("import").alias("check_kind"), "pr_id", "file", "line", "module", F.lit(None).cast("string").alias("symbol"), "status", "detail")
+    b = exp.select(F.lit("export").alias("check_kind"), "pr_id", "file", "line", "module", "symbol", "status", "detail")
     return a.unionByName(b)
 
 
@@ -136,7 +141,7 @@ SELECT pr_id, file, line, 'Missing named export', trim('The symbol `' || symbol
 
 
 def check_findings(spark, sf):
-    return CK.check_findings(import_checks(spark, sf), export_checks(spark, sf))
+    return CK.check_findings(*both_checks(spark, sf))
 
 
 @query("fn_verif_findings", "SELECT pr_id, file, line, title, description, impact_statement, 'ERROR' AS severity, 1.0::DOUBLE AS confidence, statement AS evidence FROM c_vfind")

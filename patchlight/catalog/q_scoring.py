@@ -113,14 +113,14 @@ def pr_scores(spark, sf):
     return S.score_prs(K.prs(spark, sf), goldens(spark, sf), said(spark, sf))
 
 
-def best(spark, sf):
-    g, f = goldens(spark, sf), said(spark, sf)
+def best(g, f):
     return S.match_best_confidence(S.confidence_candidates(g, f), g)
 
 
 def semantic(spark, sf):
     samples = K.prs(spark, sf).select("pr_id", "repo")
-    return S.score_semantic(samples, goldens(spark, sf), said(spark, sf), best(spark, sf))
+    g, f = cut_lineage(goldens(spark, sf)), said(spark, sf)
+    return S.score_semantic(samples, g, f, best(g, f))
 
 
 @query("pairs_issue_expected", "SELECT pr_id, file, issue_ord, expected_ord, is_match, is_review FROM c_pairs")
@@ -226,7 +226,7 @@ def _(spark, sf):
 
 @query("match_best_conf", "SELECT pr_id, golden_ord, finding_ord, conf FROM c_best")
 def _(spark, sf):
-    return best(spark, sf)
+    return best(goldens(spark, sf), said(spark, sf))
 
 
 @query("sc_semantic", "SELECT * FROM c_scsem")

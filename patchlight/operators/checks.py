@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchlight import constants as C
 from patchlight.functions import columns as X
 from patchlight.operators import names as N
+from patchlight.session import cut_lineage
 
 
 def package_checks(refs: DataFrame, deps: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -94,18 +95,21 @@ def module_targets(refs: DataFrame, rules: DataFrame, repo_files: DataFrame) ->
 
 
 def import_checks(imports: DataFrame, deps: DataFrame, manifests: DataFrame, rules: DataFrame,
-                  repo_files: DataFrame) -> DataFrame:
-    """imports: repo, pr_id, file, line, module, statement."""
+                  repo_files: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """imports: repo, pr_id, file, line, module, statement. targets: module_targets, if already at hand."""
     local = N.is_relative(F.col("module")) | N.is_alias(F.col("module"))
-    targets = module_targets(imports.where(local), rules, repo_files)
+    if targets is None:
+        targets = module_targets(imports.where(local), rules, repo_files)
     by_path = imports.where(local).join(targets, ["repo", "file", "module"])
     by_package = package_checks(imports.where(~local), deps, manifests)
     return by_path.unionByName(by_package)
 
 
-def export_checks(symbols: DataFrame, exports: DataFrame, rules: DataFrame, repo_files: DataFrame) -> DataFrame:
+def export_checks(symbols: DataFrame, exports: DataFrame, rules: DataFrame, repo_files: DataFrame,
+                  targets: DataFrame | None = None) -> DataFrame:
     """symbols: repo, pr_id, file, line, module, symbol, import_kind, statement."""
-    targets = module_targets(symbols, rules, repo_files)
+    if targets is None:
+        targets = module_targets(symbols, rules, repo_files)
     stars = exports.groupBy("repo", F.col("file").alias("target_file")).agg(F.max("has_star").alias("_star"))
     names = exports.where("symbol is not null").select(
         "repo", F.col("file").alias("target_file"), "symbol", F.lit(True).alias("_named")).distinct()
@@ -127,6 +131,19 @@ def export_checks(symbols: DataFrame, exports: DataFrame, rules: DataFrame, repo
         status.alias("status"), detail.alias("detail"))
 
 
+def verify_changes(imports: DataFrame, symbols: DataFrame, deps: DataFrame, manifests: DataFrame, rules: DataFrame,
+                   exports: DataFrame, repo_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Import and export checks of the same changes. References and resolved modules are read by
+    several joins, so each is written once; every distinct module is resolved once for both."""
+    imports, symbols = cut_lineage(imports), cut_lineage(symbols)
+    asked = imports.select("repo", "file", "module").unionByName(symbols.select("repo", "file", "module"))
+    targets = cut_lineage(module_targets(asked, rules, repo_files))
+    return (
+        import_checks(imports, deps, manifests, rules, repo_files, targets),
+        export_checks(symbols, exports, rules, repo_files, targets),
+    )
+
+
 def check_findings(imports: DataFrame, exports: DataFrame) -> DataFrame:
     """Failed checks as findings."""
     tick = F.lit("`")

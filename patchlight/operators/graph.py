@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.functions import columns as X
-from patchlight.operators.budget import budget_break
+from patchlight.operators.budget import budget_break, running_total
 from patchlight.session import cut_lineage
 
 BUCKET_LINES = 64
@@ -67,35 +67,42 @@ def bfs_callers(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int
                 cut_off: DataFrame | None = None) -> DataFrame:
     """root, id, depth, path for callers within depth hops; path orders them as a queue would.
 
-    Each hop is one equi-join of the frontier on callee_id. A node met again keeps its first
-    visit. cut_off (root) lists roots that need no further hop. Each hop but the last is checkpointed.
+    Nodes get one global number in (file, start_line, name) order; a path is the numbers from the
+    first caller on, so the first visit of a node is a minimum over numbers. Each hop is one
+    equi-join of the frontier on callee_id. cut_off (root) lists roots that need no further hop.
+    Each hop but the last is read again as frontier and visited set and is checkpointed.
     """
-    info = nodes.select("id", F.struct("file", "start_line", "name", F.col("id").alias("nid")).alias("_k"))
+    numbered = running_total(
+        nodes.select("id", "file", "start_line", "name", F.lit(1).alias("_one")),
+        ["_one"], ["file", "start_line", "name", "id"], "_one", "rank",
+    ).select("id", F.col("rank").cast("bigint").alias("rank"))
     steps = (
         edges.where(F.col("callee_id").isNotNull())
-        .select("callee_id", F.col("caller_id").alias("id")).distinct()
-        .join(info, "id")
+        .select("callee_id", F.col("caller_id").alias("id")).distinct().join(numbered, "id")
     )
-    roots = seeds.select(F.col("id").alias("root")).distinct()
-    frontier = roots.select("root", F.col("root").alias("id"), F.expr("array(struct('' as file, 0 as start_line, '' as name, 0L as nid))").alias("path"))
-    visited = frontier.select("root", "id")
-    levels = None
+    frontier = seeds.select(F.col("id").alias("root")).distinct().select(
+        "root", F.col("root").alias("id"), F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("bigint").alias("last"))
+    visited = levels = None
     for d in range(1, depth + 1):
         if d > 1 and cut_off is not None:
             frontier = frontier.join(cut_off, "root", "left_anti")
-        reached = (
-            frontier.select("root", F.col("id").alias("callee_id"), "path")
-            .join(steps, "callee_id")
-            .groupBy("root", "id")
-            .agg(F.min("path").alias("_p"), F.first("_k").alias("_k"))
-            .join(visited, ["root", "id"], "left_anti")
-            .select("root", "id", F.concat("_p", F.array("_k")).alias("path"))
-        )
-        if d < depth:  # read again as frontier, visited set and result
+        met = frontier.select("root", F.col("id").alias("callee_id"), "path", "last").join(steps, "callee_id")
+        # Paths of at most one number are compared as plain numbers, which hash aggregation can hold.
+        first = F.min("last").alias("_l") if d <= 2 else F.min("path").alias("_p")
+        reached = met.where("id <> root").groupBy("root", "id").agg(first, F.max("rank").alias("last"))
+        if visited is not None:
+            reached = reached.join(visited, ["root", "id"], "left_anti")
+        if d == 1:
+            before = F.array().cast("array<bigint>")
+        else:
+            before = F.array("_l") if d == 2 else F.col("_p")
+        reached = reached.select("root", "id", F.concat(before, F.array("last")).alias("path"), "last")
+        if d < depth:
             reached = cut_lineage(reached)
-        level = reached.withColumn("depth", F.lit(d))
+        level = reached.select("root", "id", "path", F.lit(d).alias("depth"))
         levels = level if levels is None else levels.unionByName(level)
-        visited = visited.unionByName(reached.select("root", "id"))
+        seen = reached.select("root", "id")
+        visited = seen if visited is None else visited.unionByName(seen)
         frontier = reached
     return levels
 
@@ -146,57 +153,42 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> Dat
     """callee_id and resolution for (caller_id, callee_name, callee_short_name).
 
     Tried in order: same file by full name, by short name; import binding; dotted import prefix with
-    a unique node; globally unique full name; unique short name. All six are rows of one candidate
-    table joined once to one lookup, and the best is picked by aggregation, instead of six joins
-    that each shuffle the calls. Equal (file, name) calls are resolved once.
+    a unique node; globally unique full name; unique short name. Each lookup has one row per key, so
+    the outer joins keep one row per call, and Spark broadcasts whichever lookups are small.
     """
-    node_file = nodes.select(F.col("id").alias("caller_id"), "file")
-    placed = calls.join(node_file, "caller_id")
-    asked = cut_lineage(placed.select("file", "callee_name", "callee_short_name").distinct())
+    in_file = nodes.groupBy("file", "name").agg(
+        F.max("id").alias("own"), F.min("id").alias("low"), F.count("*").alias("cnt"))
     bound = (
-        asked.select(
-            "file", "callee_name", "callee_short_name",
-            F.explode(F.array(
-                F.struct(F.lit(3).alias("p"), F.col("callee_name").alias("bind")),
-                F.struct(F.lit(4).alias("p"), F.when(
-                    F.col("callee_name").contains("."), F.regexp_extract("callee_name", r"^(.*)\.[^.]*$", 1)
-                ).alias("bind")),
-            )).alias("c"),
-        )
-        .select("file", "callee_name", "callee_short_name", "c.p", F.col("c.bind").alias("bind"))
-        .where(F.col("bind").isNotNull())
-        .join(imports.select("file", F.col("name").alias("bind"), "source_file"), ["file", "bind"])
-    )
-    by_import = bound.where("p = 3").select(
-        "file", "callee_name", "callee_short_name", "p", F.col("source_file").alias("lf"), F.col("callee_name").alias("ln"))
-    by_prefix = bound.where("p = 4").groupBy("file", "callee_name", "callee_short_name", "p").agg(
-        F.min("source_file").alias("lf")).withColumn("ln", F.col("callee_short_name"))
-    plain = asked.select(
-        "file", "callee_name", "callee_short_name",
-        F.explode(F.array(
-            F.struct(F.lit(1).alias("p"), F.col("file").alias("lf"), F.col("callee_name").alias("ln")),
-            F.struct(F.lit(2).alias("p"), F.col("file").alias("lf"), F.col("callee_short_name").alias("ln")),
-            F.struct(F.lit(5).alias("p"), F.lit("*").alias("lf"), F.col("callee_name").alias("ln")),
-            F.struct(F.lit(6).alias("p"), F.lit("*").alias("lf"), F.col("callee_short_name").alias("ln")),
-        )).alias("c"),
-    ).select("file", "callee_name", "callee_short_name", "c.p", "c.lf", "c.ln")
-    in_file = nodes.groupBy(F.col("file").alias("lf"), F.col("name").alias("ln")).agg(
-        F.min("id").alias("nid"), F.count("*").alias("cnt"), F.max("id").alias("last_id"))
-    unique = nodes.groupBy(F.col("name").alias("ln")).agg(
-        F.min("id").alias("nid"), F.count("*").alias("cnt"), F.max("id").alias("last_id")
-    ).where("cnt = 1").select(F.lit("*").alias("lf"), "ln", "nid", "cnt", "last_id")
-    found = (
-        plain.unionByName(by_import).unionByName(by_prefix)
-        .join(in_file.unionByName(unique), ["lf", "ln"])
-        .where((F.col("p") != 4) | (F.col("cnt") == 1))
-        .groupBy("file", "callee_name", "callee_short_name")
-        .agg(F.min(F.struct("p", F.when(F.col("p") <= 2, F.col("last_id")).otherwise(F.col("nid")).alias("i"))).alias("b"))
+        imports.join(in_file.select(F.col("file").alias("source_file"), "name", "low"), ["source_file", "name"])
+        .groupBy("file", "name").agg(F.min("low").alias("imported"))
     )
-    label = X.lookup(F.col("b.p"), {1: "in_file", 2: "in_file", 3: "import", 4: "prefix", 5: "unique"}, "unique_short")
-    return placed.join(found, ["file", "callee_name", "callee_short_name"], "left").select(
-        "caller_id", "callee_name", "callee_short_name", F.col("b.i").alias("callee_id"),
-        F.when(F.col("b.p").isNotNull(), label).alias("resolution"),
+    prefixes = imports.groupBy("file", F.col("name").alias("_prefix")).agg(F.min("source_file").alias("_sf"))
+    unique = nodes.groupBy("name").agg(F.min("id").alias("nid"), F.count("*").alias("cnt")).where("cnt = 1")
+    by = {
+        "i1": in_file.select("file", F.col("name").alias("callee_name"), F.col("own").alias("i1")),
+        "i2": in_file.select("file", F.col("name").alias("callee_short_name"), F.col("own").alias("i2")),
+        "i3": bound.select("file", F.col("name").alias("callee_name"), F.col("imported").alias("i3")),
+        "i4": in_file.where("cnt = 1").select(F.col("file").alias("_sf"), F.col("name").alias("callee_short_name"), F.col("low").alias("i4")),
+        "i5": unique.select(F.col("name").alias("callee_name"), F.col("nid").alias("i5")),
+        "i6": unique.select(F.col("name").alias("callee_short_name"), F.col("nid").alias("i6")),
+    }
+    prefix = F.when(F.col("callee_name").contains("."), F.regexp_extract("callee_name", r"^(.*)\.[^.]*$", 1))
+    out = (
+        calls.join(nodes.select(F.col("id").alias("caller_id"), "file"), "caller_id")
+        .join(by["i1"], ["file", "callee_name"], "left")
+        .join(by["i2"], ["file", "callee_short_name"], "left")
+        .join(by["i3"], ["file", "callee_name"], "left")
+        .withColumn("_prefix", prefix).join(prefixes, ["file", "_prefix"], "left")
+        .join(by["i4"], ["_sf", "callee_short_name"], "left")
+        .join(by["i5"], "callee_name", "left")
+        .join(by["i6"], "callee_short_name", "left")
     )
+    label = (
+        F.when(F.coalesce("i1", "i2").isNotNull(), "in_file").when(F.col("i3").isNotNull(), "import")
+        .when(F.col("i4").isNotNull(), "prefix").when(F.col("i5").isNotNull(), "unique")
+        .when(F.col("i6").isNotNull(), "unique_short"))
+    return out.select("caller_id", "callee_name", "callee_short_name",
+                      F.coalesce("i1", "i2", "i3", "i4", "i5", "i6").alias("callee_id"), label.alias("resolution"))
 
 
 DEFINITION = (

@@ -36,7 +36,7 @@ def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold:
         sets = df.select(*keys, F.array_sort("words").alias(name)).where(F.size("words") > 0).distinct()
         return sets.select(*keys, name, F.explode(F.slice(name, F.lit(1), cut)).alias(word))
 
-    a, b = prefixed(left, "lw", "k"), prefixed(right, "rw", "k")
+    a, b = prefixed(left, "lw", "_word"), prefixed(right, "rw", "_word")
     small, big = F.least(F.size("lw"), F.size("rw")), F.greatest(F.size("lw"), F.size("rw"))
     sim = X.jaccard(F.col("lw"), F.col("rw"))
     # A pair sharing several prefix words is kept only at the first of them: no de-duplication pass.
@@ -44,8 +44,8 @@ def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold:
     n_r = F.size("rw") - F.ceil(F.lit(threshold) * F.size("rw") - F.lit(1e-9)).cast("int") + 1
     shared = F.array_intersect(F.slice("lw", F.lit(1), n_l), F.slice("rw", F.lit(1), n_r))
     return (
-        a.join(b, [*keys, "k"])
-        .where((small >= F.lit(threshold) * big - 1e-9) & (F.element_at(shared, 1) == F.col("k")))
+        a.join(b, [*keys, "_word"])
+        .where((small >= F.lit(threshold) * big - 1e-9) & (F.element_at(shared, 1) == F.col("_word")))
         .withColumn("sim", sim).where(F.col("sim") >= threshold)
         .select(*keys, "lw", "rw", "sim")
     )
