@@ -122,7 +122,7 @@ def rate_limit_stream(stream: DataFrame, key: str = "installation_id", seconds:
                       limit: int = C.HOOK_MAX_EVENTS) -> DataFrame:
     """Events with limited, by per-key state (window start, count). A null key is a bucket of its own."""
     span = seconds * 1_000_000
-    keyed = stream.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_us", F.unix_micros("ts"))
+    keyed = stream.withWatermark("ts", f"{seconds} seconds").withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_us", F.unix_micros("ts"))
     out = "delivery_id string, ts timestamp, pr_url string, job_event string, installation_id bigint, limited boolean"
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -136,7 +136,8 @@ def rate_limit_stream(stream: DataFrame, key: str = "installation_id", seconds:
             n += 1
             flags.append(n > limit)
         state.update((int(start), int(n)))
-        state.setTimeoutDuration(seconds * 1000)
+        # Drop the state once its window has closed in event time.
+        state.setTimeoutTimestamp(max((start + span) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield rows.assign(limited=flags)[["delivery_id", "ts", "pr_url", "job_event", "installation_id", "limited"]]
 
     def with_timeout(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -146,4 +147,4 @@ def rate_limit_stream(stream: DataFrame, key: str = "installation_id", seconds:
         yield from step(k, batches, state)
 
     return keyed.groupBy("_k").applyInPandasWithState(
-        with_timeout, out, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        with_timeout, out, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
