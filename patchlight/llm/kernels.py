@@ -88,7 +88,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         s, e = np.maximum(starts[i:j] - base, 0), np.minimum(ends[i:j] - base, len(block))
         part = (sums[e] - sums[s]) * _IPOW[s]
         if starts[i] < base:
-            part[0] *= U64(pow(_P, int(base - starts[i]), 1 << 64))
+            part[:1] *= U64(pow(_P, int(base - starts[i]), 1 << 64))
         out[i:j] += part
     return mix(out ^ ((ends - starts).astype(U64) << U64(40)))
 
