@@ -15,18 +15,27 @@ U64 = np.uint64
 BLOCK = 1 << 19
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
-_POW = np.full(BLOCK + 1, _P, U64)
-_POW[0] = 1
-_POW = np.multiply.accumulate(_POW)
-_IPOW = np.full(BLOCK + 1, _PINV, U64)
-_IPOW[0] = 1
-_IPOW = np.multiply.accumulate(_IPOW)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse, made where they are needed."""
+    held = _POWERS.get(0)
+    if held is None or len(held[0]) < n:
+        size = 1 << max(int(BLOCK + 1).bit_length(), int(n).bit_length())
+        tables = []
+        for base in (_P, _PINV):
+            table = np.full(size, base, U64)
+            table[0] = 1
+            tables.append(np.multiply.accumulate(table))
+        held = _POWERS[0] = tuple(tables)
+    return held
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scramble of 64-bit numbers."""
     x = x ^ (x >> U64(30))
@@ -78,15 +87,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each piece; pieces are in order and do not overlap."""
     out = np.zeros(len(starts), U64)
+    power, inverse = powers(BLOCK + 1)
     for base in range(0, len(data), BLOCK):
         block = data[base : base + BLOCK]
         i, j = np.searchsorted(ends, base, "right"), np.searchsorted(starts, base + len(block), "left")
         if i >= j:
             continue
         sums = np.zeros(len(block) + 1, U64)
-        np.cumsum((block.astype(U64) + U64(1)) * _POW[: len(block)], out=sums[1:])
+        np.cumsum((block.astype(U64) + U64(1)) * power[: len(block)], out=sums[1:])
         s, e = np.maximum(starts[i:j] - base, 0), np.minimum(ends[i:j] - base, len(block))
-        part = (sums[e] - sums[s]) * _IPOW[s]
+        part = (sums[e] - sums[s]) * inverse[s]
         if starts[i] < base:
             part[:1] *= U64(pow(_P, int(base - starts[i]), 1 << 64))
         out[i:j] += part

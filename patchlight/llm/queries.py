@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import decontamination, jaccard, mixing, quality, sharding, tokencount, toxicity, vectors
+from patchlight.llm import decontamination, jaccard, mixing, phrases, quality, sharding, substrings, tokencount, toxicity, vectors
 from patchlight.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.read_vocabulary())
 
 
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
@@ -47,7 +55,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality, op2_mix_sources, op3_ngram_jaccard, op4_toxicity, op5_token_counts, op7_decontaminate, op8_embedding_dedup, op10_shard,
+        op1_quality, op2_mix_sources, op3_ngram_jaccard, op4_toxicity, op5_token_counts, op6_phrase_dedup,
+        op7_decontaminate, op8_embedding_dedup, op9_suffix_dedup, op10_shard,
     )
 }
 

@@ -27,7 +27,7 @@ from patchlight.llm.kernels import LOWER, U64, hashes, slices, texts, words
 from patchlight.llm.labelled import first_by_hash, one_label, remainder, with_texts
 
 POSITIVES, UNLABELLED = 4_000, 12_000
-BITS, FEATURES, LEAST = 22, 512, 4
+BITS, FEATURES, LEAST, LIFT, EXCESS = 22, 512, 3, 0.5, 2.0
 BEGINNINGS = (4, 5, 6)
 ROUNDS, STEP, SHRINK = 400, 0.1, 1e-4
 #: Bytes that count as parts of words here; others separate.
@@ -121,10 +121,13 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
     counts = sample.mapInArrow(tally, "feature long, n long, known long").groupBy("feature").agg(
         F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("known") == 0, F.col("n")).otherwise(0)).alias("u")
     )
-    # How far the share among toxic texts lies above the share among unlabelled ones, in the scale of a rare feature's noise.
+    # A feature of toxic texts only is 1 / prior times as frequent among them as in unlabelled text; half of that is asked for,
+    # and that the count lies well above what unlabelled text would give.
     share_p, share_u = F.col("p") / sizes[1], F.col("u") / sizes[0]
-    lift = (share_p - share_u) / F.sqrt(share_u + 1.0 / sizes[0])
-    chosen = counts.where((F.col("p") >= min(LEAST, sizes[1])) & (share_p > 3 * share_u)).orderBy(lift.desc(), "feature").limit(FEATURES).select("feature").toArrow()
+    expected = share_u * sizes[1]
+    excess = (F.col("p") - expected) / F.sqrt(expected + 1)
+    stands_out = (F.col("p") >= min(LEAST, sizes[1])) & (share_p > LIFT / prior * share_u) & (excess >= EXCESS)
+    chosen = counts.where(stands_out).orderBy(excess.desc(), "feature").limit(FEATURES).select("feature").toArrow()
     model = Model(np.sort(chosen["feature"].to_numpy()), np.zeros(len(chosen)), 0.0)
 
     def vectors(batches):
