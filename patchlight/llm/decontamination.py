@@ -163,3 +163,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.count_distinct("key", "shape").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
         F.max(F.col("words") == F.col("item_words")).alias("verbatim"),
     )
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents without those in which a benchmark window was found; rows with a null id cannot be named and stay."""
+    gone = contaminated(documents, benchmark).select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)

@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlight.llm.common import settled, width
@@ -310,3 +310,17 @@ def join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
     out = rows.join(ids, ["key", "check"], "left")
     alone = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def keep_one(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of documents, one for each component: the one with the least id. Rows that share this id count as one (the least by
+    hash stays); rows with a null id all stay."""
+    named = documents.where("doc_id IS NOT NULL")
+    gone = join(documents, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in documents.columns]))
+    kept = named.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    place = "__place"
+    while place in documents.columns:
+        place += "_"
+    kept = kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*documents.columns)
+    return kept.union(documents.where("doc_id IS NULL"))

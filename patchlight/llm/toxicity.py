@@ -173,3 +173,8 @@ def classify(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int
         "doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of documents that score below the threshold."""
+    return scored(documents, train(learning_rows(documents), known_labels(labels)), keep_below=threshold)
