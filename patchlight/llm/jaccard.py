@@ -169,7 +169,7 @@ def _share(buckets: int):
 
 def _gather(percent: int):
     """The sets of one range with their shared shingles: those that may have a link, with the rarest shingles that a link must touch."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("shared", pa.binary()), ("rare", pa.list_(pa.int64())), ("scan", pa.int64()), ("central", pa.float64())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("shared", pa.binary()), ("rare", pa.list_(pa.int64())), ("scan", pa.int64()), ("central", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
         key, size, value, df = [], [], [], []
@@ -191,16 +191,16 @@ def _gather(percent: int):
                 continue
             reach = n - -(-percent * n // 100) + 1 - (n - shared)
             out.append({
-                "key": int(key[i].astype(np.int64)), "n": n, "shared": squeeze_sorted(np.sort(value[i:j])),
+                "key": int(key[i].astype(np.int64)), "n": n, "k": shared, "shared": squeeze_sorted(np.sort(value[i:j])),
                 "rare": value[i : i + reach].astype(np.int64), "scan": int(df[i : i + reach].sum()), "central": float(np.log(df[i:j]).sum() / n),
             })
         return pa.Table.from_pylist(out, schema)
 
-    return run, "key long, n int, shared binary, rare array<long>, scan long, central double"
+    return run, "key long, n int, k int, shared binary, rare array<long>, scan long, central double"
 
 
 def candidates(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """key, n, shared, rare, scan, central of the distinct sets that may have a link with another set."""
+    """key, n, k (shared shingles), shared, rare, scan, central of the distinct sets that may have a link with another set."""
     buckets = width(documents.sparkSession)
     blocks = documents.select("text").mapInArrow(_pack(buckets, n), "bucket int, shingle binary, place binary, keys binary, sizes binary")
     share, share_schema = _share(buckets)
@@ -252,8 +252,10 @@ def _light(sets: DataFrame, limit: int, percent: int) -> DataFrame:
     return met.select(F.col("key").alias("a"), F.col("least.key").alias("b")).distinct()
 
 
-def _fit(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _fit(n_a: str, k_a: str, n_b: str, k_b: str, percent: int):
+    """Whether sets of sizes n may be linked that meet first in a shingle which k of their shared ones, in the order of the lists, do not
+    come before: their overlap is at most the smaller k."""
+    return (100 + percent) * F.least(k_a, k_b) >= percent * (F.col(n_a) + F.col(n_b))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,19 +282,20 @@ def set_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component of the sets that have a link; the component is named by one of its keys."""
     sizes = sets.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)), F.sum("scan")).collect()
     limit = boundary([tuple(r) for r in sizes], percent)
-    heavy = sets.where(100 * F.col("n") >= percent * limit).select("key", "n", "central", F.explode("rare").alias("shingle"))
-    pivots = heavy.groupBy("shingle").agg(F.max(F.struct("central", "key", "n")).alias("p"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    stars = heavy.join(pivots, "shingle").where((F.col("key") != F.col("p.key")) & _fit("n", "p.n", percent))
+    heavy = sets.where(100 * F.col("n") >= percent * limit).select("key", "n", "k", "central", F.posexplode("rare").alias("rank", "shingle"))
+    heavy = heavy.withColumn("k", F.col("k") - F.col("rank")).drop("rank")
+    pivots = heavy.groupBy("shingle").agg(F.max(F.struct("central", "key", "n", "k")).alias("p"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    stars = heavy.join(pivots, "shingle").where((F.col("key") != F.col("p.key")) & _fit("n", "k", "p.n", "p.k", percent))
     stars = stars.select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
     links = settled(_light(sets, limit, percent).union(_verified(stars, sets, percent)))
     found = components(links)
-    named = heavy.join(found.withColumnRenamed("node", "key"), "key", "left").select("shingle", "key", "n", F.coalesce("component", "key").alias("comp"))
-    per_comp = named.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per_comp.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("major")).where("comps > 1")
-    open_lists = settled(named.join(mixed, "shingle").select("shingle", "key", "n", "comp", F.col("major.comp").alias("major")))
-    minor = open_lists.where("comp <> major").select("shingle", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+    named = heavy.join(found.withColumnRenamed("node", "key"), "key", "left").select("shingle", "key", "n", "k", F.coalesce("component", "key").alias("comp"))
+    per_comp = named.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("sets"))
+    mixed = per_comp.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("sets", "comp")).alias("major")).where("comps > 1")
+    open_lists = settled(named.join(mixed, "shingle").select("shingle", "key", "n", "k", "comp", F.col("major.comp").alias("major")))
+    minor = open_lists.where("comp <> major").select("shingle", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("comp").alias("comp_a"))
     across = minor.join(open_lists, "shingle").where(
-        (F.col("comp") != F.col("comp_a")) & _fit("n", "n_a", percent) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("key")))
+        (F.col("comp") != F.col("comp_a")) & _fit("n", "k", "n_a", "k_a", percent) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("key")))
     )
     more = settled(_verified(across.select("a", F.col("key").alias("b")).distinct(), sets, percent))
     return found if more.isEmpty() else components(links.union(more))

@@ -27,7 +27,7 @@ from patchlight.llm.kernels import LOWER, U64, hashes, slices, texts, words
 from patchlight.llm.labelled import first_by_hash, one_label, remainder, with_texts
 
 POSITIVES, UNLABELLED = 4_000, 12_000
-BITS, FEATURES, LEAST, LIFT, EXCESS = 22, 512, 3, 0.5, 2.0
+BITS, FEATURES, LEAST, LIFT, EXCESS = 22, 512, 4, 0.5, 3.0
 BEGINNINGS = (4, 5, 6)
 ROUNDS, STEP, SHRINK = 400, 0.1, 1e-4
 #: Bytes that count as parts of words here; others separate.
@@ -92,14 +92,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.
 
 
 def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """labels: doc_id, y of the rows that may be learnt from; unlabelled text is taken from ids of the same folds, labels unseen."""
+    """labels: doc_id, y of the rows that may be learnt from.
+
+    Unlabelled text is drawn from the same rows with their labels unseen, so that the class prior is that of the unlabelled text too.
+    """
     n, n_pos = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     none = Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
     if not n_pos:
         return none
     prior = min(max(n_pos / n, 1e-4), 0.5)
     toxic = first_by_hash(labels.where("y = 1").select("doc_id", F.lit(1).alias("known")), positives)
-    plain = first_by_hash(documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.lit(0).alias("known")).distinct(), unlabelled)
+    plain = first_by_hash(labels.select("doc_id", F.lit(0).alias("known")), unlabelled)
     # A bounded sample with its texts, read twice below.
     sample = settled(with_texts(toxic.union(plain), documents))
 
@@ -163,12 +166,8 @@ def known_labels(labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return one_label(labels, "toxic").where(remainder(F.col("doc_id"), folds) != held)
 
 
-def learning_rows(documents: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    return documents.where(remainder(F.col("doc_id"), folds) != held)
-
-
 def classify(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
-    model = train(learning_rows(documents, folds, held), known_labels(labels, folds, held))
+    model = train(documents, known_labels(labels, folds, held))
     return scored(documents, model).select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
@@ -177,4 +176,4 @@ def classify(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int
 
 def clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of documents that score below the threshold."""
-    return scored(documents, train(learning_rows(documents), known_labels(labels)), keep_below=threshold)
+    return scored(documents, train(documents, known_labels(labels)), keep_below=threshold)
