@@ -359,6 +359,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     def whole(batches):
         for batch in batches:
-            yield from apply(pa.table({"doc_id": batch.column("doc_id"), "text": batch.column("text")}), None).to_batches()
+            ids = pa.array(np.zeros(batch.num_rows, np.int64))
+            for x in apply(pa.table({"doc_id": ids, "text": batch.column("text")}), None).to_batches():
+                yield x.set_column(0, "doc_id", pa.nulls(x.num_rows, pa.int64()))
 
     return out.union(rows.where("doc_id IS NULL").mapInArrow(whole, result))

@@ -15,7 +15,7 @@ def test_copies_and_swapped_values_are_found_inconsistent_ones_are_not(spark):
     filler = "some words that stand before and after it in the text "
     swapped = ITEM.replace("Boston", "Lyon").replace("Chicago", "Paris").replace("9", "7").replace("60", "88").replace("45", "31")
     broken = ITEM.replace("at 9 and", "at 5 and").replace("towards Chicago", "towards Denver")
-    texts = [filler + ITEM + filler, filler + swapped, filler + broken, filler * 3, SHORT, SHORT.replace("7", "9").replace("Maria", "Tom"), None, ""]
+    texts = [filler + ITEM + " " + filler, filler + swapped, filler + broken, filler * 3, SHORT, SHORT.replace("7", "9").replace("Maria", "Tom"), None, ""]
     got = _found(spark, texts, [(1, ITEM), (2, SHORT), (3, None), (4, "too short"), (None, ITEM)])
     assert got[(0, 1)][0] == got[(0, 1)][1] and got[(0, 1)][2]
     assert got[(1, 1)][0] == got[(1, 1)][1] and not got[(1, 1)][2]

@@ -37,7 +37,7 @@ def test_large_group_of_near_copies(spark):
 
 
 def test_boundary_follows_cost():
-    assert jaccard.boundary([(5, 1000, 10**9)]) == 6
+    assert jaccard.boundary([(5, 1000, 10**9)]) == 7
     assert jaccard.boundary([(20, 1000, 10)]) == 1
     assert jaccard.needed(10, 10) == 9 and jaccard.subset_sizes(5) == [4, 5]
 
