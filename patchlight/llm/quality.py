@@ -157,7 +157,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fore
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y").cast("int32"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     got = with_texts(ids, documents).mapInArrow(features, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(got["x"].to_pylist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].to_pylist(), dtype=float) if len(got) else np.zeros((0, 1))
     return grow(x, got["y"].to_numpy().astype(float))
 
 
