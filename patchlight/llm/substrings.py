@@ -33,13 +33,13 @@ from patchlight.llm.phrases import group_of
 from patchlight.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
-FREQUENT = 8_192
+FREQUENT = 2_048
 #: A longer text is read in overlapping pieces of so many starts.
 PIECE = 2 << 20
 #: Stretches that a task packs together.
 BLOCK = 200_000
-#: Shards for each shuffle partition.
-SHARDS = 4
+#: Groups of documents and shards for each shuffle partition: a suffix array takes about 120 bytes a byte while it is built.
+GROUPS, SHARDS = 2, 16
 
 def _prefix(data: np.ndarray) -> np.ndarray:
     power, _ = powers(len(data) + 1)
@@ -322,8 +322,8 @@ def _apply(length: int, digest: bool):
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of every row; digest=True: the hash of kept instead."""
-    parts = width(documents.sparkSession)
-    shards = parts * SHARDS
+    parts = width(documents.sparkSession) * GROUPS
+    shards = width(documents.sparkSession) * SHARDS
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id IS NOT NULL")
     pack, pack_sql = _pack(parts, length, gram)
