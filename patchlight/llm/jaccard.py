@@ -39,7 +39,7 @@ PERCENT = 80
 #: Sizes among which the boundary of light and heavy is looked for.
 LARGEST_LIGHT = 24
 #: Entries that a task packs together.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +201,7 @@ def _gather(percent: int):
 
 def candidates(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n, k (shared shingles), shared, rare, scan, central of the distinct sets that may have a link with another set."""
-    buckets = width(documents.sparkSession)
+    buckets = 2 * width(documents.sparkSession)
     blocks = documents.select("text").mapInArrow(_pack(buckets, n), "bucket int, shingle binary, place binary, keys binary, sizes binary")
     share, share_schema = _share(buckets)
     gather, gather_schema = _gather(percent)

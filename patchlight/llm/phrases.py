@@ -31,7 +31,7 @@ from patchlight.llm.packed import bucket_of, bucket_parts, spread, spread_sorted
 
 WINDOW, SEED = 20, 5
 STRIDE = WINDOW - SEED + 1
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +246,7 @@ def _locate(n: int):
 
 def remove_repeats(documents: DataFrame, n: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by spaces) of every row; digest=True: the hash of kept instead."""
-    parts = width(documents.sparkSession)
+    parts = 2 * width(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id IS NOT NULL")
     pack, pack_schema = _pack(parts, n)
