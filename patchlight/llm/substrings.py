@@ -33,13 +33,15 @@ from patchlight.llm.phrases import group_of
 from patchlight.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
-FREQUENT = 2_048
+FREQUENT = 1_024
 #: A longer text is read in overlapping pieces of so many starts.
 PIECE = 2 << 20
 #: Stretches that a task packs together.
 BLOCK = 200_000
-#: Groups of documents and shards for each shuffle partition: a suffix array takes about 120 bytes a byte while it is built.
-GROUPS, SHARDS = 2, 16
+#: Groups of documents and shards for each shuffle partition.
+GROUPS, SHARDS = 2, 8
+#: Bytes that one suffix array is built over (about 120 bytes each while it is built), or one anchor's, if these are more.
+ARRAY = 1 << 19
 
 def _prefix(data: np.ndarray) -> np.ndarray:
     power, _ = powers(len(data) + 1)
@@ -239,26 +241,37 @@ def repeated_starts(bodies: list[np.ndarray], length: int) -> np.ndarray:
 
 
 def _sort(groups: int, length: int):
-    """Repeated starts of one shard, as runs."""
+    """Repeated starts of one shard, as runs. Anchors are independent of each other, so arrays are built for a few anchors at a time."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         ids, start, count, open_ = _stretch_rows(rows)
+        anchor = np.concatenate([spread_sorted(r["anchor"]) for r in rows])
         size = count - 1 + length
-        data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
         cut = np.cumsum(size)
-        hit = repeated_starts(np.split(data, cut[:-1]), length)
-        at = np.cumsum(size + 1) - size - 1
-        # Only starts of stretches that are not known to be repeated.
-        ask = np.zeros(len(hit) + 1, np.int64)
-        wanted = open_ == 1
-        np.add.at(ask, at[wanted], 1)
-        np.add.at(ask, (at + count)[wanted], -1)
-        a, b = runs(hit & (np.cumsum(ask[:-1]) > 0))
-        # A run may go on from one stretch's starts to the next only if they touch, which the mark between them prevents.
-        of = np.searchsorted(at, a, "right") - 1
-        none = np.zeros(len(a), U64)
-        return _told(np.full(len(a), REPEATED), ids[of], start[of] + a - at[of], b - a, none, np.zeros(len(a), bool), groups)
+        data = np.split(np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows]), cut[:-1])
+        order = np.argsort(anchor, kind="stable")
+        ends = np.flatnonzero(np.append(anchor[order][1:] != anchor[order][:-1], True)) + 1
+        found, i = [], 0
+        while i < len(order):
+            total = np.cumsum(size[order[i:]])
+            fits = ends[(ends > i) & (ends <= i + np.searchsorted(total, ARRAY, "right"))]
+            j = int(fits[-1]) if len(fits) else int(ends[ends > i][0])
+            part = order[i:j]
+            hit = repeated_starts([data[k] for k in part], length)
+            at = np.cumsum(size[part] + 1) - size[part] - 1
+            # Only starts of stretches that are not known to be repeated.
+            ask = np.zeros(len(hit) + 1, np.int64)
+            wanted = open_[part] == 1
+            np.add.at(ask, at[wanted], 1)
+            np.add.at(ask, (at + count[part])[wanted], -1)
+            a, b = runs(hit & (np.cumsum(ask[:-1]) > 0))
+            # A run ends with its stretch: the last bytes and the mark between two stretches are no starts asked for.
+            of = np.searchsorted(at, a, "right") - 1
+            found.append((ids[part][of], start[part][of] + a - at[of], b - a))
+            i = j
+        owner, first, many = map(np.concatenate, zip(*found, strict=True))
+        return _told(np.full(len(owner), REPEATED), owner, first, many, np.zeros(len(owner), U64), np.zeros(len(owner), bool), groups)
 
     return run
 
