@@ -43,7 +43,7 @@ FROM documents"""
 CTES["c_sec"] = f"""SELECT doc_id, pr_id, {doc_file()} AS file,
  {_HEAD} || array_to_string(list_transform(rows_, lambda x, i: {_MARK} || x), chr(10)) AS section FROM c_docs"""
 CTES["c_prs"] = """SELECT d.pr_id, min_by(d.lang, d.doc_id) AS lang, sum(d.n_chars)::BIGINT AS n_chars,
- min_by(left(d.text, 600), d.doc_id) AS description, 'org/repo' || (d.pr_id % 8) AS repo,
+ min_by(d.text, d.doc_id) AS description, 'org/repo' || (d.pr_id % 8) AS repo,
  'https://github.com/org/repo' || (d.pr_id % 8) || '/pull/' || d.pr_id AS url, 'Change ' || d.pr_id AS title,
  string_agg(s.section, chr(10) ORDER BY d.doc_id) AS diff, list(s.file ORDER BY d.doc_id) AS files,
  CASE WHEN d.pr_id % 5 <> 0 THEN sha256(d.pr_id::VARCHAR) END AS head_sha, 'main' AS base_branch,

@@ -324,15 +324,16 @@ def _(spark, sf):
 
 # --- replies ------------------------------------------------------------------------------
 _ITEM = """'{"file":"f' || conv_id || '.py","line":' || (turn + 1) || ',"title":"t' || turn || '","description":"d","severity":"' || (['ERROR','WARNING'])[turn % 2 + 1] || '","confidence":0.5,"category":"quality"}'"""
+_PLAIN = "replace(replace(replace(text, '<', '&lt;'), '{', '&#123;'), '}', '&#125;')"
 CTES["c_reply"] = f"""SELECT conv_id, turn, text, '<think>' || text || '</think> note ' || '{{"findings":[' || {_ITEM} || ',{{"file":"x"}}]' || CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE '}}' END AS reply
-FROM conversations WHERE role = 'assistant' AND NOT contains(text, '<') AND NOT contains(text, '{{') AND NOT contains(text, '}}')"""
+FROM (SELECT conv_id, turn, {_PLAIN} AS text FROM conversations WHERE role = 'assistant')"""
 
 
 def replies(spark, sf):
     t = F.col("turn")
     item = F.concat(F.lit('{"file":"f'), F.col("conv_id").cast("string"), F.lit('.py","line":'), (t + 1).cast("string"), F.lit(',"title":"t'), t.cast("string"),
                     F.lit('","description":"d","severity":"'), K.pick(["ERROR", "WARNING"], t), F.lit('","confidence":0.5,"category":"quality"}'))
-    return K.table(spark, sf, "conversations").where("role = 'assistant' and not contains(text, '<') and not contains(text, '{') and not contains(text, '}')").select(
+    return K.table(spark, sf, "conversations").where("role = 'assistant'").withColumn("text", F.expr(_PLAIN)).select(
         "conv_id", "turn", F.concat(F.lit("<think>"), "text", F.lit("</think> note "), F.lit('{"findings":['), item, F.lit(',{"file":"x"}]'),
                                     F.when((F.col("conv_id") + t) % 7 == 0, "").otherwise("}")).alias("reply"))
 

@@ -165,11 +165,11 @@ def _(spark, sf):
 
 
 @query("diff_patch_convert", """SELECT doc_id, array_to_string(list_transform(rows_, lambda x, i: CASE WHEN i = 1 THEN
-  '--- a/' || x || chr(10) || '+++ b/' || x || chr(10) || '@@ -1,3 +1,4 @@' ELSE ' ' || x END), chr(10)) || chr(10) AS diff FROM c_docs
-WHERE len(list_filter(rows_, lambda x: contains(x, '''') OR regexp_matches(x, '^[0-9]+ ') OR starts_with(x, '@@'))) = 0""")
+  '--- a/' || x || chr(10) || '+++ b/' || x || chr(10) || '@@ -1,3 +1,4 @@' ELSE ' ' || x END), chr(10)) || chr(10) AS diff
+FROM (SELECT doc_id, list_transform(rows_, lambda x: replace(x, '''', '’')) AS rows_ FROM c_docs)""")
 def _(spark, sf):
-    docs = K.table(spark, sf, "documents").withColumn("rows", F.split("text", "\n")).where(
-        ~F.exists("rows", lambda x: x.contains("'") | x.rlike("^[0-9]+ ") | x.startswith("@@")))
+    # A quote would end the path of the file row.
+    docs = K.table(spark, sf, "documents").withColumn("rows", F.split(F.replace("text", F.lit("'"), F.lit("’")), "\n"))
     patch = F.array_join(F.transform("rows", lambda x, i: F.when(i == 0, F.concat(
         F.lit("## file: '"), x, F.lit("'\n@@ -1,3 +1,4 @@\n__new hunk__"))).otherwise(
             F.concat(i.cast("string"), F.lit("  "), x))), "\n")

@@ -16,9 +16,9 @@ from patchlight.sources import carriers as K
 FT = T.FTEXT
 CTES["c_exact"] = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, min(ord) OVER (PARTITION BY pr_id, file, line, title) AS first_ord,
  row_number() OVER (PARTITION BY pr_id, file, line, title ORDER BY {T.RANK}, ord) AS rn FROM c_find) WHERE rn = 1"""
-CTES["c_sem"] = f"""SELECT a.* EXCLUDE (w, rk) FROM (SELECT *, {T.RANK} AS rk, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, left(description, 100))), '[a-z0-9_]+')) AS w FROM c_exact) a
+CTES["c_sem"] = f"""SELECT a.* EXCLUDE (w, rk) FROM (SELECT *, {T.RANK} AS rk, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, description)), '[a-z0-9_]+')) AS w FROM c_exact) a
 WHERE a.line IS NULL OR len(a.w) = 0 OR NOT EXISTS (SELECT 1 FROM (SELECT *, {T.RANK} AS rk,
-  list_distinct(regexp_extract_all(lower(concat_ws(' ', title, left(description, 100))), '[a-z0-9_]+')) AS w FROM c_exact) b
+  list_distinct(regexp_extract_all(lower(concat_ws(' ', title, description)), '[a-z0-9_]+')) AS w FROM c_exact) b
  WHERE b.pr_id = a.pr_id AND b.file = a.file AND abs(b.line - a.line) <= 3
   AND (b.rk < a.rk OR (b.rk = a.rk AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.ord < a.ord))))
   AND len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8)"""

@@ -31,7 +31,7 @@ def crb_raw(spark, sf):
         d.alias("ord"), F.concat(F.lit("Case #"), F.expr("doc_id div 2").cast("string"), F.lit(" (ü) End")).alias("testDescription"),
         F.concat(F.lit("## file: '"), K.doc_file(), F.lit("'\n@@ -1,2 +1,3 @@\n__new hunk__\n1  a\n2 +b")).alias("patch"),
         F.when(d % 3 == 0, F.array(bug, bug)).otherwise(F.array(bug)).alias("referenceBugs"),
-        K.pick(["local", "cross-file"], d).alias("category"), "lang", F.when(d % 4 != 0, F.left("text", F.lit(200))).alias("prSummary"))
+        K.pick(["local", "cross-file"], d).alias("category"), "lang", F.when(d % 4 != 0, F.col("text")).alias("prSummary"))
 
 
 CTES["c_crb"] = f"""SELECT *, 'codereviewbench__case_' || (doc_id // 2) || '_end' AS id, {T.doc_file()} AS file FROM c_docs WHERE doc_id % 2 = 0"""
@@ -43,7 +43,7 @@ def _(spark, sf):
     return I.codereviewbench(crb_raw(spark, sf))[1].select("sample_id", "id", "file", "line_start", "line_end", "reason")
 
 
-@query("imp_codereviewbench_samples", """SELECT id, 'codereviewbench-' || (['local','cross-file'])[doc_id % 2 + 1] AS kind, lang, file AS files, left(coalesce(CASE WHEN doc_id % 4 <> 0 THEN left(text, 200) END, 'Case #' || (doc_id // 2) || ' (ü) End'), 120) AS title,
+@query("imp_codereviewbench_samples", """SELECT id, 'codereviewbench-' || (['local','cross-file'])[doc_id % 2 + 1] AS kind, lang, file AS files, left(coalesce(CASE WHEN doc_id % 4 <> 0 THEN text END, 'Case #' || (doc_id // 2) || ' (ü) End'), 120) AS title,
  '--- a/' || file || chr(10) || '+++ b/' || file || chr(10) || '@@ -1,2 +1,3 @@' || chr(10) || ' a' || chr(10) || '+b' || chr(10) AS synthetic_diff FROM c_crb""")
 def _(spark, sf):
     return I.codereviewbench(crb_raw(spark, sf))[0].select("id", "kind", "lang", F.array_join("synthetic_files", ",").alias("files"), F.col("synthetic_pr_title").alias("title"), "synthetic_diff")

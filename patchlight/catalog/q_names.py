@@ -124,16 +124,13 @@ def code_nodes(spark, sf):
   row_number() OVER (PARTITION BY f.repo, f.file, f.name ORDER BY f.i DESC) AS rn
  FROM (SELECT repo, file, i, regexp_extract(r, '^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(', 2) AS name FROM c_rows WHERE ends_with(file, '.py')) f
  JOIN c_rows g ON g.repo = f.repo AND g.file = f.file AND g.i >= f.i AND g.i < coalesce((SELECT min(h.i) FROM c_rows h WHERE h.repo = f.repo AND h.file = f.file AND h.i > f.i
-   AND NOT starts_with(h.r, ' ')), 1000000000)
+   AND NOT starts_with(h.r, ' ')), g.i + 1)
  WHERE f.name <> '' GROUP BY 1, 2, 3, 4) WHERE rn = 1
 UNION ALL
-SELECT repo, file, name, max(i), 1000000000 FROM (SELECT repo, file, i, regexp_extract(r, '^export function (\w+)', 1) AS name FROM c_rows WHERE NOT ends_with(file, '.py'))
-WHERE name <> '' GROUP BY 1, 2, 3""")
+SELECT repo, file, name, max(i) FILTER (name <> ''), max(max(i)) OVER (PARTITION BY repo, file)
+FROM (SELECT repo, file, i, regexp_extract(r, '^export function (\w+)', 1) AS name FROM c_rows WHERE NOT ends_with(file, '.py')) GROUP BY 1, 2, 3 QUALIFY name <> ''""")
 def _(spark, sf):
-    # The derived brace files never close a function, so its end is the file's end; shown as one number.
-    n = code_nodes(spark, sf)
-    return n.select("repo", "file", "name", F.col("start_line").cast("bigint").alias("start_line"),
-                    F.when(F.col("file").endswith(".py"), F.col("end_line")).otherwise(1000000000).cast("bigint").alias("end_line"))
+    return code_nodes(spark, sf).select("repo", "file", "name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
 CTES["c_rows"] = "SELECT repo, file, unnest(string_split(content, chr(10))) AS r, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM c_files"

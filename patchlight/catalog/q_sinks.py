@@ -91,11 +91,23 @@ def _(spark, sf):
     return L.dataset_items(samples, expected)
 
 
-@query("rpt_score_md", """SELECT 1 AS part, pr_id::VARCHAR AS id, '| ' || pr_id || ' | ' || expected_total || ' | ' || hit_count || ' | ' || miss_count || ' | ' || review_count || ' | ' || noise_count || ' | ' || duplicate_count
+_HEAD_NAMES = "samples expected_total hit_count miss_count review_count noise_count duplicate_count clean_false_positives error_count".split()
+_REASONS = "not_detected line_offset severity_miss".split()
+_HEAD = " || ".join(
+    ["'# Eval Score' || chr(10) || chr(10) || '| metric | value |' || chr(10) || '|---|---:|'"] + [f"chr(10) || '| {n} | ' || {n} || ' |'" for n in _HEAD_NAMES]
+    + ["chr(10) || chr(10) || '## Miss Reason Breakdown' || chr(10) || chr(10) || '| reason | count |' || chr(10) || '|---|---:|'"]
+    + [f"chr(10) || '| {n} | ' || {n} || ' |'" for n in _REASONS]
+    + ["chr(10) || chr(10) || '## Samples' || chr(10) || chr(10) || '| sample | expected | hits | misses | review | noise | dup | not_det | line_off | sev_miss |' || chr(10)"
+       " || '|---|---:|---:|---:|---:|---:|---:|---:|---:|---:|'"])
+_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in _HEAD_NAMES[1:7] + _REASONS)
+
+
+@query("rpt_score_md", f"""SELECT 0 AS part, '' AS id, {_HEAD} AS text FROM (SELECT count(*) AS samples, {_SUMS},
+ sum(CASE WHEN expected_total = 0 THEN noise_count ELSE 0 END)::BIGINT AS clean_false_positives, 0 AS error_count FROM c_score) UNION ALL """ + """SELECT 1 AS part, pr_id::VARCHAR AS id, '| ' || pr_id || ' | ' || expected_total || ' | ' || hit_count || ' | ' || miss_count || ' | ' || review_count || ' | ' || noise_count || ' | ' || duplicate_count
  || ' | ' || not_detected || ' | ' || line_offset || ' | ' || severity_miss || ' |' AS text FROM c_score""")
 def _(spark, sf):
     s = scores(spark, sf)
-    return R.score_markdown(s, S.totals(s)).where("part = 1")
+    return R.score_markdown(s, S.totals(s))
 
 
 @query("rpt_review_md")

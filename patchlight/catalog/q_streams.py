@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from patchlight.catalog.base import CTES, query
-from patchlight.session import CHECKPOINT_KEY
+from patchlight.session import shared_folder
 from patchlight.sources import carriers as K
 from patchlight.streaming import events as E
 from patchlight.streaming import jobs as J
@@ -42,7 +41,7 @@ def _chain(key: str, seconds: int) -> str:
     return f"""SELECT event_id, k, us, opened FROM (
 WITH RECURSIVE e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
  w AS (SELECT event_id, k, us, rn, us AS opened FROM e WHERE rn = 1
-  UNION ALL SELECT e.event_id, e.k, e.us, e.rn, CASE WHEN e.us >= w.opened + {seconds} * 1000000 THEN e.us ELSE w.opened END FROM w JOIN e ON e.k = w.k AND e.rn = w.rn + 1)
+  UNION ALL SELECT e.event_id, e.k, e.us, e.rn, CASE WHEN e.us >= w.opened + {seconds}::BIGINT * 1000000 THEN e.us ELSE w.opened END FROM w JOIN e ON e.k = w.k AND e.rn = w.rn + 1)
 SELECT * FROM w)"""
 
 
@@ -84,23 +83,35 @@ def _(spark, sf):
 
 
 def _stream(spark, sf):
+    """The events table as a stream of its files, be it one file or a folder of part files."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # A pattern that only this name matches: a stream takes a single file by pattern only.
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
 def _run(spark, df, mode):
-    """Run a stream over all present files and return its result table."""
-    name = "q_" + uuid.uuid4().hex
-    base = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="patchlight-stream-")
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    """Run a stream over all present files into files of the shared folder and return them as a table.
+
+    Appended rows go through the file sink; a complete result replaces what the batch before wrote.
+    """
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{base}/out"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").start(out)
+    else:
+        q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out)
 
 
-@query("st_dedup_delivery", "SELECT DISTINCT event_id // 2 AS delivery FROM events")
+CTES["c_dedupwin"] = _chain("event_id % 300", 3600)
+
+
+@query("st_dedup_delivery", "SELECT min_by(event_id, (us, event_id)) AS event_id, k AS delivery FROM c_dedupwin GROUP BY k, opened")
 def _(spark, sf):
-    s = _stream(spark, sf).select(F.expr("event_id div 2").alias("delivery"), F.col("ts").cast("timestamp").alias("ts"))
-    return _run(spark, L.dedup_stream(s, ["delivery"]), "append").select("delivery")
+    s = _stream(spark, sf).select("event_id", (F.col("event_id") % 300).alias("delivery"), F.col("ts").cast("timestamp").alias("ts"))
+    return _run(spark, L.dedup_stream(s, "delivery", "event_id"), "append").select("event_id", "delivery")
 
 
 @query("st_repo_stats", """SELECT 'org/repo' || (user_id % 8) AS repo, count(*) AS total_reviews, sum(event_id % 5)::BIGINT AS total_issues_found,

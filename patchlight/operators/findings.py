@@ -193,7 +193,7 @@ def semantic_dedup(findings: DataFrame, threshold: float = 0.8, reach: int = 3)
     order = F.struct(
         X.severity_rank(F.col("severity")).alias("r"), (-F.col("confidence")).alias("c"), F.col("ord").alias("o")
     )
-    words = F.array_sort(X.word_set(F.concat_ws(" ", "title", F.left("description", F.lit(100)))))
+    words = F.array_sort(X.word_set(F.concat_ws(" ", "title", "description")))
     ready = findings.withColumn("_w", words).withColumn("_o", order)
     alone = F.when(F.col("line").isNull() | (F.size("_w") == 0), F.col("ord"))
     reps = cut_lineage(

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from patchlight import constants as C
 from patchlight.functions import columns as X
 
-FINDING_SCHEMA = (
-    "array<struct<file:string,line:int,title:string,description:string,severity:string,confidence:double,category:string,"
-    "impact_type:string,impact_statement:string,diff_snippet:string,evidence:array<string>,evidence_source:string,token_cost:double>>"
-)
+TEXT_FIELDS = ["file", "title", "description", "severity", "category", "impact_type", "impact_statement", "diff_snippet", "evidence_source"]
+NUMBER_FIELDS = ["confidence", "token_cost"]
 THINK = r"(?s)<think>(.*?)</think>"
 
 
@@ -28,24 +26,40 @@ def result_part(reply: Column) -> Column:
 
 
 def outer_object(text: Column) -> Column:
-    cut = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    """The JSON value in a reply: the text from the first bracket of either kind to the last of the same kind."""
+    # A list counts only where items can follow, so that a note such as [1] in the words before hides nothing.
+    opened = F.regexp_extract(text, r"(?s)^.*?(\{|\[(?=\s*[\{\]\"]))", 1)
+    listed = F.regexp_extract(text, r"(?s)(\[\s*[\{\]\"].*\]|\[\s*\])", 1)
+    cut = F.when(opened == "[", listed).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
     return F.when(cut != "", cut).otherwise(text)
 
 
 def parse_reviews(replies: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:
-    """(status rows, finding rows) of reviewer replies. Items without a required field are dropped."""
+    """(status rows, finding rows) of reviewer replies.
+
+    The findings are the list itself or the object's "findings". Items are read one by one: numbers may be written as text, and an item
+    that is no object, lacks a required field or holds a number that cannot be read is dropped alone.
+    """
     keys = [c for c in replies.columns if c != reply]
     body = replies.select(*keys, F.col(reply), outer_object(result_part(F.col(reply))).alias("_j"))
-    ok = F.try_parse_json("_j").isNotNull()
+    body = body.withColumn("_v", F.try_parse_json("_j"))
+    ok = F.col("_v").isNotNull()
     status = body.select(
         *keys, F.when(ok, "success").otherwise("format_error").alias("status"), thinking(F.col(reply)).alias("thinking"))
-    items = body.where(ok).select(*keys, F.posexplode(F.from_json("_j", f"struct<findings:{FINDING_SCHEMA}>")["findings"]).alias("ord", "f"))
-    need = ["file", "title", "description", "severity", "confidence", "category"]
-    cond = F.lit(True)
-    for c in need:
-        cond = cond & F.col(f"f.{c}").isNotNull()
-    rows = items.where(cond).select(*keys, "ord", "f.*").withColumn(
-        "evidence_source", F.coalesce("evidence_source", F.lit("DIFF"))).withColumn("token_cost", F.coalesce("token_cost", F.lit(0.0)))
+    found = F.coalesce(F.try_variant_get("_v", "$.findings", "array<variant>"), F.try_variant_get("_v", "$", "array<variant>"))
+    items = body.where(ok).select(*keys, F.posexplode(found).alias("ord", "f"))
+    text = {c: F.try_variant_get("f", f"$.{c}", "string") for c in [*TEXT_FIELDS, *NUMBER_FIELDS, "line"]}
+    number = {c: F.expr(f"try_cast(_{c} AS double)") for c in [*NUMBER_FIELDS, "line"]}
+    read = items.select(*keys, "ord", *[text[c].alias(c) for c in TEXT_FIELDS], *[text[c].alias(f"_{c}") for c in number],
+                        F.try_variant_get("f", "$.evidence", "array<string>").alias("evidence"))
+    sound = F.col("confidence").isNotNull()
+    for c in ("file", "title", "description", "severity", "category"):
+        sound = sound & F.col(c).isNotNull()
+    whole_line = F.col("_line").isNull() | (F.col("line") == F.floor("line"))
+    rows = read.select(*keys, "ord", *TEXT_FIELDS, "evidence", "_line", *[number[c].alias(c) for c in number]).where(sound & F.coalesce(whole_line, F.lit(False)))
+    rows = rows.select(
+        *keys, "ord", "file", F.col("line").cast("int").alias("line"), "title", "description", "severity", "confidence", "category", "impact_type", "impact_statement",
+        "diff_snippet", "evidence", F.coalesce("evidence_source", F.lit("DIFF")).alias("evidence_source"), F.coalesce("token_cost", F.lit(0.0)).alias("token_cost"))
     return status, rows
 
 

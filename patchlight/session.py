@@ -26,18 +26,27 @@ def local_session(cores: str = "8", app: str = "patchlight") -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that the session names. A session on one machine that names none (tests, a laptop) gets one of
+    its own; on a cluster this is an error, since executors would not see it."""
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
+    if named is None:
+        if not sc.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+        named = _OWN.setdefault(sc.applicationId, sc.getCheckpointDir() or tempfile.mkdtemp(prefix="patchlight-ckpt-"))
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
     Only where the session names none (tests, a laptop) is a scratch folder set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder, sc = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="patchlight-ckpt-")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

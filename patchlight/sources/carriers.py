@@ -5,7 +5,6 @@ Nothing is invented apart from the shape: texts, keys, counts and times come fro
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +30,9 @@ IMPACTS = [
 EXTENSIONS = [".py", ".ts", ".tsx", ".js"]
 
 
-SPREAD = {"documents": "doc_id", "lineitem": "l_orderkey", "events": "event_id"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. One lone local file reads as one task, so its rows are spread over the cores;
-    a table of many files, as on a cluster, is read as it lies and not shuffled."""
-    path = f"{sf}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in SPREAD and os.path.isfile(path):
-        return df.repartition(spark.sparkContext.defaultParallelism, SPREAD[name])
-    return df
+    """A given table, read as it lies; the session's split size decides the tasks."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -95,7 +86,7 @@ def prs(spark: SparkSession, sf: str, code: bool = False) -> DataFrame:
     sec = _sections(table(spark, sf, "documents"), code)
     grouped = sec.groupBy("pr_id").agg(
         F.sort_array(F.collect_list(F.struct("doc_id", "file", "section"))).alias("s"),
-        F.min_by(F.left("text", F.lit(600)), "doc_id").alias("description"),
+        F.min_by("text", "doc_id").alias("description"),
         F.min_by("lang", "doc_id").alias("lang"),
         F.sum("n_chars").alias("n_chars"),
     )

@@ -113,9 +113,35 @@ def api_quota(calls: DataFrame, key: str, us: str, seq: str, limit: int = C.API_
         (F.col("_first") + span).alias("reset_at"))
 
 
-def dedup_stream(stream: DataFrame, keys: list[str], ttl: str = "1 hour") -> DataFrame:
-    """At most one event per key within the watermark."""
-    return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+def dedup_stream(stream: DataFrame, key: str, order: str, seconds: int = 3600) -> DataFrame:
+    """The first event of each key and, once its time to live is over, the first one after that; seeing a key again does not prolong it.
+
+    State is one time per key. A null key is a key of its own. Events of one key and micro-batch are taken in the order of (ts, order).
+    """
+    span = seconds * 1_000_000
+    keyed = stream.withWatermark("ts", f"{seconds} seconds").withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_us", F.unix_micros("ts"))
+    names = stream.columns
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        opened = state.get[0] if state.exists else -(2**62)
+        rows = pd.concat(list(batches)).sort_values(["_us", order])
+        times = rows["_us"].to_numpy()
+        keep = []
+        # One search per window that opens, not one step per event.
+        at = times.searchsorted(opened + span)
+        while at < len(times):
+            keep.append(at)
+            opened = int(times[at])
+            at = times.searchsorted(opened + span)
+        state.update((opened,))
+        state.setTimeoutTimestamp(max((opened + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.iloc[keep][names]
+
+    return keyed.groupBy("_k").applyInPandasWithState(step, out, "opened long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_stream(stream: DataFrame, key: str = "installation_id", seconds: int = C.HOOK_WINDOW_SECONDS,

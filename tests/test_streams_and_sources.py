@@ -43,7 +43,7 @@ def test_webhook_events(spark):
 def test_stream_dedup_and_rate_limit(spark, tmp_path):
     rows = [dict(delivery_id=str(i // 2), ts=f"2024-01-01T00:00:{i // 2:02d}Z", event="pull_request", payload=PR % "opened") for i in range(60)]
     stream = spark.readStream.schema(EVENTS).json(land(tmp_path, rows))
-    jobs = E.review_jobs(LM.dedup_stream(stream, ["delivery_id"]), "@bot")
+    jobs = E.review_jobs(LM.dedup_stream(stream, "delivery_id", "event"), "@bot")
     got = drain(jobs, spark, "jobs", tmp_path)
     assert sorted(int(r.delivery_id) for r in got) == list(range(30))
     limited = LM.rate_limit_stream(E.review_jobs(stream, "@bot"), limit=20)
@@ -51,6 +51,33 @@ def test_stream_dedup_and_rate_limit(spark, tmp_path):
     assert len(flags) == 60 and sum(r.limited for r in flags) == 40
 
 
+def test_an_id_counts_again_after_its_hour(spark, tmp_path):
+    times = ["00:00:00", "00:30:00", "00:59:59", "01:00:00", "01:30:00", "07:00:00", "07:59:00"]
+    rows = [dict(delivery_id="d", ts=f"2024-01-01T{t}Z", event="pull_request", payload=t) for t in times] + [dict(delivery_id=None, ts="2024-01-01T00:00:00Z", event="push", payload="n")]
+    stream = spark.readStream.schema(EVENTS).json(land(tmp_path, rows))
+    got = drain(LM.dedup_stream(stream, "delivery_id", "event"), spark, "again", tmp_path)
+    assert sorted(r.payload for r in got) == ["00:00:00", "01:00:00", "07:00:00", "n"]
+
+
+def test_streams_read_tables_of_part_files(spark, tmp_path, sf):
+    from patchlight.catalog import QUERIES
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    whole = sorted(map(tuple, QUERIES["st_repo_stats"](spark, sf).collect()))
+    assert whole and sorted(map(tuple, QUERIES["st_repo_stats"](spark, str(tmp_path)).collect())) == whole
+
+
+def test_replies_are_read_item_by_item(spark):
+    good = '"file":"a","title":"t","description":"d","severity":"ERROR","category":"c"'
+    texts = [
+        '{"findings":[{%s,"confidence":"0.9","line":"12"}]}' % good, '{"findings":["oops",{%s,"confidence":1,"line":3.0},{%s,"confidence":"high"}]}' % (good, good),
+        'Here: [{%s,"confidence":0.5}]' % good, "none", '{"findings":[{"file":"x"}]}', 'see [1]: {"findings":[{%s,"confidence":0.25,"line":null}]}' % good,
+    ]
+    status, rows = RP.parse_reviews(spark.createDataFrame(list(enumerate(texts)), "k int, reply string"))
+    assert [r.status for r in status.orderBy("k").collect()] == ["success"] * 3 + ["format_error"] + ["success"] * 2
+    assert [(r.k, r.ord, r.line, r.confidence) for r in rows.orderBy("k", "ord").collect()] == [(0, 0, 12, 0.9), (1, 1, 3, 1.0), (2, 0, None, 0.5), (5, 0, None, 0.25)]
+
+
 def test_review_job_writes_each_batch_once(spark, tmp_path):
     rows = [dict(delivery_id=str(i), ts="2024-01-01T00:00:00Z", event="pull_request", payload=PR % "opened") for i in range(5)]
     stream = E.review_jobs(spark.readStream.schema(EVENTS).json(land(tmp_path, rows)), "@bot")
