@@ -105,12 +105,12 @@ def _run(spark, df, mode):
     return spark.read.schema(df.schema).parquet(out)
 
 
-CTES["c_dedupwin"] = _chain("event_id % 300", 3600)
+CTES["c_dedupwin"] = _chain("event_id % 10", 3600)
 
 
 @query("st_dedup_delivery", "SELECT min_by(event_id, (us, event_id)) AS event_id, k AS delivery FROM c_dedupwin GROUP BY k, opened")
 def _(spark, sf):
-    s = _stream(spark, sf).select("event_id", (F.col("event_id") % 300).alias("delivery"), F.col("ts").cast("timestamp").alias("ts"))
+    s = _stream(spark, sf).select("event_id", (F.col("event_id") % 10).alias("delivery"), F.col("ts").cast("timestamp").alias("ts"))
     return _run(spark, L.dedup_stream(s, "delivery", "event_id"), "append").select("event_id", "delivery")
 
 

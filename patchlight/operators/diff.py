@@ -32,18 +32,27 @@ def _running(sizes: Column) -> Column:
 def diff_sections(prs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
     """keys, section, file (null outside a new-side file), off (first row's number), head (header rows), rows.
 
-    A section starts at a git header, at "--- x" directly followed by "+++ y", or at "+++ b/". The
-    text is split once on newlines; sections are slices of that array.
+    A section starts at a git header, at "--- x" directly followed by "+++ y", or at "+++ b/". Rows that a hunk still owes by the
+    numbers of its @@ row are content, whatever they look like. The text is split once on newlines; sections are slices of that array.
     """
     rows = prs.select(*keys, F.split(F.col(diff), "\n").alias("_r")).select(
         *keys, _sql("if(element_at(_r, -1) = '', slice(_r, 1, size(_r) - 1), _r)").alias("_r"))
+    # Where the rows before a possible file header start to count: the last @@ row, unless a git header came after it.
+    rows = rows.withColumn("_g", _sql(
+        """filter(transform(_r, (x, i) -> if(startswith(x, '@@') or startswith(x, 'diff --git '), i, null)), i -> i is not null)"""))
+    owed = """coalesce(try_element_at(transform(filter(array(try_element_at(filter(_g, q -> q < i), -1)), q -> q is not null and get(_r, q) rlike '^@@ -[0-9]'),
+                 q -> size(filter(slice(_r, q + 2, i - q - 1), y -> y = '' or substr(y, 1, 1) in ({side}, ' '))) < coalesce(try_cast(
+                   nullif(regexp_extract(get(_r, q), {count}, 1), '') as int), 1)), 1), false)"""
+    old = owed.format(side="'-'", count=r"r'^@@ -[0-9]+(?:,([0-9]+))?'")
+    new = owed.format(side="'+'", count=r"r'^@@ -[0-9]+(?:,[0-9]+)? \+[0-9]+(?:,([0-9]+))?'")
     marks = rows.withColumn(
         "_m",
         _sql(
-            """filter(transform(_r, (x, i) -> named_struct('i', i, 'hd', case
-                 when startswith(x, 'diff --git ') or startswith(x, '+++ b/') then 1
-                 when startswith(x, '--- ') and startswith(get(_r, i + 1), '+++ b/') then 1
-                 when startswith(x, '--- ') and startswith(get(_r, i + 1), '+++ ') then 2
+            f"""filter(transform(_r, (x, i) -> named_struct('i', i, 'hd', case
+                 when startswith(x, 'diff --git ') then 1
+                 when startswith(x, '+++ b/') and not {new} then 1
+                 when startswith(x, '--- ') and startswith(get(_r, i + 1), '+++ b/') and not {old} then 1
+                 when startswith(x, '--- ') and startswith(get(_r, i + 1), '+++ ') and not {old} then 2
                  when i = 0 then 0 end)), m -> m.hd is not null)"""
         ),
     )
