@@ -130,9 +130,9 @@ CTES["c_exp"] = f"""SELECT l.doc_id // 4 AS pr_id, l.doc_id AS ord, 'g' || l.doc
  CASE WHEN toxic = 1 THEN 'ERROR' WHEN quality = 0 THEN 'WARNING' ELSE 'INFO' END AS severity
 FROM labels l JOIN (SELECT doc_id, source, regexp_extract_all(text, '[a-z]{{4,}}') AS ws FROM documents) d USING (doc_id)"""
 
-CTES["c_nodes"] = """SELECT 'org/repo0' AS repo, p_partkey AS id,
+CTES["c_nodes"] = """SELECT 'org/repo' || (p_partkey // 20 % 3) AS repo, p_partkey AS id,
  'src/' || lower(replace(p_brand, '#', '_')) || '/m' || (p_partkey % 8) || '.py' AS file,
- string_split(p_name, ' ')[-1] || '_' || (p_partkey // 5) AS name,
+ string_split(p_name, ' ')[-1] || '_' || (p_partkey // 5 % 40) AS name,
  (p_partkey % 50 * 10 + 1)::INT AS start_line, (p_partkey % 50 * 10 + 1 + p_size)::INT AS end_line,
  repeat(p_name || '();' || chr(10), p_size) AS code FROM part"""
 CTES["c_edges"] = "SELECT DISTINCT l_partkey AS caller_id, l_suppkey AS callee_id FROM lineitem WHERE l_partkey <> l_suppkey"
@@ -143,9 +143,9 @@ FROM (SELECT e.caller_id, e.target, n.name AS short, (e.caller_id + e.target) %
  FROM (SELECT DISTINCT l_partkey AS caller_id, l_suppkey * 3 + l_linenumber AS target FROM lineitem WHERE l_partkey <> l_suppkey) e
  JOIN c_nodes n ON n.id = e.target)"""
 CTES["c_imports"] = """SELECT DISTINCT * FROM (
- SELECT a.file, b.name, b.file AS source_file FROM c_nodes a JOIN c_nodes b ON b.id = a.id + 1
+ SELECT a.repo, a.file, b.name, b.file AS source_file FROM c_nodes a JOIN c_nodes b ON b.id = a.id + 1 AND b.repo = a.repo
  UNION ALL
- SELECT a.file, 'mod' || (b.id % 3), b.file FROM c_nodes a JOIN c_nodes b ON b.id = a.id + 1)"""
+ SELECT a.repo, a.file, 'mod' || (b.id % 3), b.file FROM c_nodes a JOIN c_nodes b ON b.id = a.id + 1 AND b.repo = a.repo)"""
 CTES["c_changed"] = "SELECT s_nationkey::BIGINT AS pr_id, s_suppkey AS id FROM supplier"
 CTES["c_fnodes"] = f"""SELECT pr_id, doc_id * 100000 + j + 1 AS id, file,
  CASE WHEN j < 0 THEN 'outer' ELSE 'f' || j END AS name, (CASE WHEN j < 0 THEN 1 ELSE j * 5 + 1 END)::INT AS start_line,

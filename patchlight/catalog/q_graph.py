@@ -16,28 +16,28 @@ from patchlight.sources import carriers as K
 
 CTES["c_chnodes"] = """SELECT DISTINCT n.* FROM c_fnodes n JOIN c_clines l ON l.pr_id = n.pr_id AND l.file = n.file AND l.kind = 'add'
  AND l.new_line BETWEEN n.start_line AND n.end_line"""
-CTES["c_names"] = """SELECT c.pr_id, n.name FROM c_changed c JOIN c_nodes n ON n.id = c.id * 3 + 1 UNION
- SELECT c.pr_id, n.name FROM c_changed c JOIN c_nodes n ON n.id = c.id"""
+CTES["c_names"] = """SELECT c.pr_id, n.repo, n.name FROM c_changed c JOIN c_nodes n ON n.id = c.id * 3 + 1 UNION
+ SELECT c.pr_id, n.repo, n.name FROM c_changed c JOIN c_nodes n ON n.id = c.id"""
 CTES["c_half"] = "SELECT pr_id, id FROM c_changed WHERE pr_id % 2 = 0"
 CTES["c_seed"] = """SELECT s.pr_id, s.id, n.file, n.name, n.start_line, true AS from_diff_line FROM (SELECT DISTINCT * FROM c_half) s JOIN c_nodes n USING (id)
 UNION ALL
-SELECT DISTINCT m.pr_id, n.id, n.file, n.name, n.start_line, false FROM c_names m JOIN c_nodes n ON n.name = m.name
-WHERE NOT EXISTS (SELECT 1 FROM c_half h JOIN c_nodes x ON x.id = h.id WHERE h.pr_id = m.pr_id AND x.name = m.name)
+SELECT DISTINCT m.pr_id, n.id, n.file, n.name, n.start_line, false FROM c_names m JOIN c_nodes n ON n.name = m.name AND n.repo = m.repo
+WHERE NOT EXISTS (SELECT 1 FROM c_half h JOIN c_nodes x ON x.id = h.id WHERE h.pr_id = m.pr_id AND x.name = m.name AND x.repo = m.repo)
  AND NOT EXISTS (SELECT 1 FROM c_half h WHERE h.pr_id = m.pr_id AND h.id = n.id)"""
-CTES["c_res"] = """SELECT caller_id, callee_name, callee_short_name, coalesce(i1, i2, i3, i4, i5, i6) AS callee_id,
+CTES["c_res"] = """SELECT repo, caller_id, callee_name, callee_short_name, coalesce(i1, i2, i3, i4, i5, i6) AS callee_id,
  CASE WHEN i1 IS NOT NULL OR i2 IS NOT NULL THEN 'in_file' WHEN i3 IS NOT NULL THEN 'import' WHEN i4 IS NOT NULL THEN 'prefix'
   WHEN i5 IS NOT NULL THEN 'unique' WHEN i6 IS NOT NULL THEN 'unique_short' END AS resolution
-FROM (SELECT c.caller_id, c.callee_name, c.callee_short_name, a.i AS i1, b.i AS i2, m.i AS i3, p.i AS i4, u.i AS i5, v.i AS i6
+FROM (SELECT k.repo, c.caller_id, c.callee_name, c.callee_short_name, a.i AS i1, b.i AS i2, m.i AS i3, p.i AS i4, u.i AS i5, v.i AS i6
  FROM c_calls c JOIN c_nodes k ON k.id = c.caller_id
- LEFT JOIN (SELECT file, name, max(id) AS i FROM c_nodes GROUP BY 1, 2) a ON a.file = k.file AND a.name = c.callee_name
- LEFT JOIN (SELECT file, name, max(id) AS i FROM c_nodes GROUP BY 1, 2) b ON b.file = k.file AND b.name = c.callee_short_name
- LEFT JOIN (SELECT i.file, i.name, min(n.id) AS i FROM c_imports i JOIN c_nodes n ON n.file = i.source_file AND n.name = i.name GROUP BY 1, 2) m
-  ON m.file = k.file AND m.name = c.callee_name
- LEFT JOIN (SELECT i.file, i.name AS prefix, n.name, min(n.id) AS i FROM (SELECT file, name, min(source_file) AS source_file FROM c_imports GROUP BY 1, 2) i
-   JOIN c_nodes n ON n.file = i.source_file GROUP BY 1, 2, 3 HAVING count(*) = 1) p
-  ON p.file = k.file AND p.prefix = nullif(regexp_extract(c.callee_name, '^(.*)\\.[^.]*$', 1), '') AND p.name = c.callee_short_name
- LEFT JOIN (SELECT name, min(id) AS i FROM c_nodes GROUP BY 1 HAVING count(*) = 1) u ON u.name = c.callee_name
- LEFT JOIN (SELECT name, min(id) AS i FROM c_nodes GROUP BY 1 HAVING count(*) = 1) v ON v.name = c.callee_short_name)"""
+ LEFT JOIN (SELECT repo, file, name, max(id) AS i FROM c_nodes GROUP BY 1, 2, 3) a ON a.repo = k.repo AND a.file = k.file AND a.name = c.callee_name
+ LEFT JOIN (SELECT repo, file, name, max(id) AS i FROM c_nodes GROUP BY 1, 2, 3) b ON b.repo = k.repo AND b.file = k.file AND b.name = c.callee_short_name
+ LEFT JOIN (SELECT i.repo, i.file, i.name, min(n.id) AS i FROM c_imports i JOIN c_nodes n ON n.repo = i.repo AND n.file = i.source_file AND n.name = i.name GROUP BY 1, 2, 3) m
+  ON m.repo = k.repo AND m.file = k.file AND m.name = c.callee_name
+ LEFT JOIN (SELECT i.repo, i.file, i.name AS prefix, n.name, min(n.id) AS i FROM (SELECT repo, file, name, min(source_file) AS source_file FROM c_imports GROUP BY 1, 2, 3) i
+   JOIN c_nodes n ON n.repo = i.repo AND n.file = i.source_file GROUP BY 1, 2, 3, 4 HAVING count(*) = 1) p
+  ON p.repo = k.repo AND p.file = k.file AND p.prefix = nullif(regexp_extract(c.callee_name, '^(.*)\\.[^.]*$', 1), '') AND p.name = c.callee_short_name
+ LEFT JOIN (SELECT repo, name, min(id) AS i FROM c_nodes GROUP BY 1, 2 HAVING count(*) = 1) u ON u.repo = k.repo AND u.name = c.callee_name
+ LEFT JOIN (SELECT repo, name, min(id) AS i FROM c_nodes GROUP BY 1, 2 HAVING count(*) = 1) v ON v.repo = k.repo AND v.name = c.callee_short_name)"""
 CTES["c_l1"] = "SELECT DISTINCT s.id AS root, e.caller_id AS id FROM c_seed s JOIN c_edges e ON e.callee_id = s.id WHERE e.caller_id <> s.id"
 CTES["c_l1r"] = """SELECT l.root, l.id, row_number() OVER (PARTITION BY l.root ORDER BY n.file, n.start_line, n.name, n.id) AS rk, n.file, n.start_line, n.name
 FROM c_l1 l JOIN c_nodes n USING (id)"""
@@ -65,9 +65,9 @@ SELECT * FROM walk WHERE took)"""
 
 def names_of(spark, sf):
     ch, n = K.changed(spark, sf), K.nodes(spark, sf)
-    a = ch.select("pr_id", (F.col("id") * 3 + 1).alias("id")).join(n.select("id", "name"), "id")
-    b = ch.join(n.select("id", "name"), "id")
-    return a.select("pr_id", "name").unionByName(b.select("pr_id", "name")).distinct()
+    a = ch.select("pr_id", (F.col("id") * 3 + 1).alias("id")).join(n.select("repo", "id", "name"), "id")
+    b = ch.join(n.select("repo", "id", "name"), "id")
+    return a.select("pr_id", "repo", "name").unionByName(b.select("pr_id", "repo", "name")).distinct()
 
 
 def seed(spark, sf):
@@ -105,7 +105,7 @@ def _(spark, sf):
         "id", "caller_id", "caller_file", "caller_name", "caller_start")
 
 
-@query("join_unverified_count", "SELECT callee_name, count(*) AS n FROM c_res WHERE callee_id IS NULL GROUP BY 1")
+@query("join_unverified_count", "SELECT repo, callee_name, count(*) AS n FROM c_res WHERE callee_id IS NULL GROUP BY 1, 2")
 def _(spark, sf):
     return G.unresolved_counts(resolved(spark, sf))
 
@@ -239,7 +239,7 @@ def _(spark, sf):
     return G.changed_files(docs.select("repo", "file", stamp), known.select("repo", "file", stamp))
 
 
-@query("inc_replace_graph", """SELECT id, file, name, start_line + CASE WHEN file IN (SELECT file FROM c_nodes WHERE id % 100 = 0) THEN 1 ELSE 0 END AS start_line FROM c_nodes""")
+@query("inc_replace_graph", """SELECT id, file, name, start_line + CASE WHEN (repo, file) IN (SELECT (repo, file) FROM c_nodes WHERE id % 100 = 0) THEN 1 ELSE 0 END AS start_line FROM c_nodes""")
 def _(spark, sf):
     nodes = K.nodes(spark, sf)
     changed = nodes.where("id % 100 = 0").select("repo", "file").distinct()
@@ -248,7 +248,7 @@ def _(spark, sf):
 
 
 @query("inc_stale_edges", """SELECT e.caller_id, e.callee_id FROM c_edges e JOIN c_nodes n ON n.id = e.callee_id
-WHERE n.file IN (SELECT file FROM c_nodes WHERE id % 100 = 0)""")
+WHERE (n.repo, n.file) IN (SELECT (repo, file) FROM c_nodes WHERE id % 100 = 0)""")
 def _(spark, sf):
     nodes = K.nodes(spark, sf)
     return G.stale_edges(K.edges(spark, sf), nodes, nodes.where("id % 100 = 0")).select("caller_id", "callee_id")

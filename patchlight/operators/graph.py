@@ -36,14 +36,17 @@ def changed_nodes(added: DataFrame, nodes: DataFrame, keys: list[str] | None = N
 
 
 def changed_seed(node_ids: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Changed nodes per change: by line first, then by name for names that lines did not resolve."""
-    cols = ["pr_id", "id", "file", "name", "start_line"]
-    info = nodes.select("id", "file", "name", "start_line")
+    """Changed nodes per change: by line first, then by name for names that lines did not resolve.
+
+    names (pr_id, repo, name): a name means nodes of the change's own repository only.
+    """
+    cols = ["pr_id", "repo", "id", "file", "name", "start_line"]
+    info = nodes.select("repo", "id", "file", "name", "start_line")
     by_line = node_ids.select("pr_id", "id").distinct().join(info, "id").select(*cols)
-    open_names = names.select("pr_id", "name").distinct().join(
-        by_line.select("pr_id", "name").distinct(), ["pr_id", "name"], "left_anti"
+    open_names = names.select("pr_id", "repo", "name").distinct().join(
+        by_line.select("pr_id", "repo", "name").distinct(), ["pr_id", "repo", "name"], "left_anti"
     )
-    by_name = open_names.join(info, "name").select(*cols).join(
+    by_name = open_names.join(info, ["repo", "name"]).select(*cols).join(
         by_line.select("pr_id", "id"), ["pr_id", "id"], "left_anti"
     )
     return by_line.withColumn("from_diff_line", F.lit(True)).unionByName(
@@ -60,7 +63,7 @@ def callers_of(targets: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFr
 
 
 def unresolved_counts(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("callee_id").isNull()).groupBy("callee_name").agg(F.count("*").alias("n"))
+    return edges.where(F.col("callee_id").isNull()).groupBy("repo", "callee_name").agg(F.count("*").alias("n"))
 
 
 def bfs_callers(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = C.BFS_DEPTH,
@@ -150,47 +153,51 @@ def blast_radius(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, budgets:
 
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
-    """callee_id and resolution for (caller_id, callee_name, callee_short_name).
+    """repo, callee_id and resolution for (caller_id, callee_name, callee_short_name).
 
     Tried in order: same file by full name, by short name; import binding; dotted import prefix with
-    a unique node; globally unique full name; unique short name. Each lookup has one row per key, so
-    the outer joins keep one row per call, and Spark broadcasts whichever lookups are small.
+    a unique node; full name that is unique in the repository; unique short name. nodes and imports carry
+    repo, and no step leaves the caller's repository. Calls of one file to one name resolve alike, so only distinct
+    (repo, file, name, short name) go through the lookups; each lookup has one row per key.
     """
-    in_file = nodes.groupBy("file", "name").agg(
+    in_file = nodes.groupBy("repo", "file", "name").agg(
         F.max("id").alias("own"), F.min("id").alias("low"), F.count("*").alias("cnt"))
     bound = (
-        imports.join(in_file.select(F.col("file").alias("source_file"), "name", "low"), ["source_file", "name"])
-        .groupBy("file", "name").agg(F.min("low").alias("imported"))
+        imports.join(in_file.select("repo", F.col("file").alias("source_file"), "name", "low"), ["repo", "source_file", "name"])
+        .groupBy("repo", "file", "name").agg(F.min("low").alias("imported"))
     )
-    prefixes = imports.groupBy("file", F.col("name").alias("_prefix")).agg(F.min("source_file").alias("_sf"))
-    unique = nodes.groupBy("name").agg(F.min("id").alias("nid"), F.count("*").alias("cnt")).where("cnt = 1")
+    prefixes = imports.groupBy("repo", "file", F.col("name").alias("_prefix")).agg(F.min("source_file").alias("_sf"))
+    unique = nodes.groupBy("repo", "name").agg(F.min("id").alias("nid"), F.count("*").alias("cnt")).where("cnt = 1")
     by = {
-        "i1": in_file.select("file", F.col("name").alias("callee_name"), F.col("own").alias("i1")),
-        "i2": in_file.select("file", F.col("name").alias("callee_short_name"), F.col("own").alias("i2")),
-        "i3": bound.select("file", F.col("name").alias("callee_name"), F.col("imported").alias("i3")),
-        "i4": in_file.where("cnt = 1").select(F.col("file").alias("_sf"), F.col("name").alias("callee_short_name"), F.col("low").alias("i4")),
-        "i5": unique.select(F.col("name").alias("callee_name"), F.col("nid").alias("i5")),
-        "i6": unique.select(F.col("name").alias("callee_short_name"), F.col("nid").alias("i6")),
+        "i1": in_file.select("repo", "file", F.col("name").alias("callee_name"), F.col("own").alias("i1")),
+        "i2": in_file.select("repo", "file", F.col("name").alias("callee_short_name"), F.col("own").alias("i2")),
+        "i3": bound.select("repo", "file", F.col("name").alias("callee_name"), F.col("imported").alias("i3")),
+        "i4": in_file.where("cnt = 1").select("repo", F.col("file").alias("_sf"), F.col("name").alias("callee_short_name"), F.col("low").alias("i4")),
+        "i5": unique.select("repo", F.col("name").alias("callee_name"), F.col("nid").alias("i5")),
+        "i6": unique.select("repo", F.col("name").alias("callee_short_name"), F.col("nid").alias("i6")),
     }
     prefix = F.when(F.col("callee_name").contains("."), F.regexp_extract("callee_name", r"^(.*)\.[^.]*$", 1))
+    placed = calls.join(nodes.select(F.col("id").alias("caller_id"), "repo", "file"), "caller_id")
+    key = ["repo", "file", "callee_name", "callee_short_name"]
     out = (
-        calls.join(nodes.select(F.col("id").alias("caller_id"), "file"), "caller_id")
-        .join(by["i1"], ["file", "callee_name"], "left")
-        .join(by["i2"], ["file", "callee_short_name"], "left")
-        .join(by["i3"], ["file", "callee_name"], "left")
-        .withColumn("_prefix", prefix).join(prefixes, ["file", "_prefix"], "left")
-        .join(by["i4"], ["_sf", "callee_short_name"], "left")
-        .join(by["i5"], "callee_name", "left")
-        .join(by["i6"], "callee_short_name", "left")
+        placed.select(*key).distinct()
+        .join(by["i1"], ["repo", "file", "callee_name"], "left")
+        .join(by["i2"], ["repo", "file", "callee_short_name"], "left")
+        .join(by["i3"], ["repo", "file", "callee_name"], "left")
+        .withColumn("_prefix", prefix).join(prefixes, ["repo", "file", "_prefix"], "left")
+        .join(by["i4"], ["repo", "_sf", "callee_short_name"], "left")
+        .join(by["i5"], ["repo", "callee_name"], "left")
+        .join(by["i6"], ["repo", "callee_short_name"], "left")
     )
     label = (
         F.when(F.coalesce("i1", "i2").isNotNull(), "in_file").when(F.col("i3").isNotNull(), "import")
         .when(F.col("i4").isNotNull(), "prefix").when(F.col("i5").isNotNull(), "unique")
         .when(F.col("i6").isNotNull(), "unique_short"))
-    return out.select("caller_id", "callee_name", "callee_short_name",
-                      F.coalesce("i1", "i2", "i3", "i4", "i5", "i6").alias("callee_id"), label.alias("resolution"))
+    found = out.select(*key, F.coalesce("i1", "i2", "i3", "i4", "i5", "i6").alias("callee_id"), label.alias("resolution"))
+    return placed.join(found, key, "left").select("repo", "caller_id", "callee_name", "callee_short_name", "callee_id", "resolution")
 
 
+#: Fixed patterns.
 DEFINITION = (
     r"(?:async\s+)?def\s+(\w+)\s*\(|(?:async\s+)?function\s+(\w+)\s*\(|(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\("
 )
@@ -250,6 +257,7 @@ def finding_callers(findings: DataFrame, groups: DataFrame, order: list[str], n:
     return findings.join(top.where("file <> ''"), ["pr_id", "file"])
 
 
+#: Fixed patterns.
 UNSAFE = [r"\b(\w+)\s*\[", r"\b(\w+)\s*\.", r"\bgetattr\s*\(", r"\bsetattr\s*\(", r"f[\"'].*\{(\w+)\}"]
 GUARD = r"\bif\s+\w+\s+is\s+(not\s+)?None\b|\bisinstance\s*\(|\bif\s+not\s+\w+\b|\bAssert\b|\bassert\b"
 

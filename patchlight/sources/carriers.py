@@ -157,10 +157,10 @@ def expected(spark: SparkSession, sf: str) -> DataFrame:
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf, "part").select(
-        F.lit("org/repo0").alias("repo"), k.alias("id"),
+        F.concat(F.lit("org/repo"), F.expr("p_partkey div 20 % 3").cast("string")).alias("repo"), k.alias("id"),
         F.concat(F.lit("src/"), F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit("/m"),
                  (k % 8).cast("string"), F.lit(".py")).alias("file"),
-        F.concat(F.element_at(F.split("p_name", " "), -1), F.lit("_"), F.floor(k / 5).cast("string")).alias("name"),
+        F.concat(F.element_at(F.split("p_name", " "), -1), F.lit("_"), F.expr("p_partkey div 5 % 40").cast("string")).alias("name"),
         (k % 50 * 10 + 1).cast("int").alias("start_line"),
         (k % 50 * 10 + 1 + F.col("p_size")).cast("int").alias("end_line"),
         F.repeat(F.concat(F.col("p_name"), F.lit("();\n")), F.col("p_size")).alias("code"),
@@ -195,11 +195,11 @@ def raw_calls(spark: SparkSession, sf: str) -> DataFrame:
 def imports(spark: SparkSession, sf: str) -> DataFrame:
     """Import bindings: a file binds the name of a node that lives in the file of the next part."""
     n = nodes(spark, sf)
-    a = n.select("file", (F.col("id") + 1).alias("id"))
-    direct = a.join(n.select("id", F.col("file").alias("source_file"), "name"), "id").select(
-        "file", "name", "source_file")
-    prefix = a.join(n.select("id", F.col("file").alias("source_file")), "id").select(
-        "file", F.concat(F.lit("mod"), (F.col("id") % 3).cast("string")).alias("name"), "source_file")
+    a = n.select("repo", "file", (F.col("id") + 1).alias("id"))
+    direct = a.join(n.select("repo", "id", F.col("file").alias("source_file"), "name"), ["repo", "id"]).select(
+        "repo", "file", "name", "source_file")
+    prefix = a.join(n.select("repo", "id", F.col("file").alias("source_file")), ["repo", "id"]).select(
+        "repo", "file", F.concat(F.lit("mod"), (F.col("id") % 3).cast("string")).alias("name"), "source_file")
     return direct.unionByName(prefix).distinct()
 
 

@@ -8,7 +8,7 @@ from patchlight.operators import checks as CK
 
 
 def nodes(spark, rows):
-    return spark.createDataFrame(rows, "id long, file string, name string, start_line int, end_line int, code string")
+    return spark.createDataFrame(rows, "id long, file string, name string, start_line int, end_line int, code string").withColumn("repo", F.lit("r"))
 
 
 CHAIN = [(1, "a.py", "foo", 1, 5, "x" * 40), (2, "b.py", "bar", 1, 5, "y" * 40), (3, "c.py", "baz", 1, 5, "z" * 40)]
@@ -58,7 +58,7 @@ def test_running_total_of_one_hot_key(spark):
 def test_resolution_cascade(spark):
     n = nodes(spark, [(1, "a.py", "main", 1, 9, ""), (2, "a.py", "own", 10, 12, ""), (3, "lib/u.py", "helper", 1, 2, ""), (4, "x.py", "helper", 1, 2, ""),
                       (5, "x.py", "only", 3, 4, ""), (6, "x.py", "own", 5, 6, "")])
-    imports = spark.createDataFrame([("a.py", "helper", "lib/u.py"), ("a.py", "u", "lib/u.py")], "file string, name string, source_file string")
+    imports = spark.createDataFrame([("a.py", "helper", "lib/u.py"), ("a.py", "u", "lib/u.py")], "file string, name string, source_file string").withColumn("repo", F.lit("r"))
     calls = spark.createDataFrame([(1, "own", "own"), (1, "self.own", "own"), (1, "helper", "helper"), (1, "u.helper", "helper"), (1, "only", "only"),
                                    (1, "z.only", "only"), (1, "nope", "nope"), (4, "q.helper", "helper")], "caller_id long, callee_name string, callee_short_name string")
     got = {(r.caller_id, r.callee_name): (r.callee_id, r.resolution) for r in G.resolve_calls(calls, n, imports).collect()}
@@ -66,6 +66,18 @@ def test_resolution_cascade(spark):
                    (1, "only"): (5, "unique"), (1, "z.only"): (5, "unique_short"), (1, "nope"): (None, None), (4, "q.helper"): (4, "in_file")}
 
 
+def test_two_repositories_never_meet(spark):
+    n = spark.createDataFrame(
+        [("p", 1, "src/a.py", "main"), ("p", 2, "src/a.py", "own"), ("q", 3, "src/a.py", "own"), ("q", 4, "src/a.py", "main"), ("q", 5, "src/u.py", "far")],
+        "repo string, id long, file string, name string").withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2)).withColumn("code", F.lit(""))
+    imports = spark.createDataFrame([("q", "src/a.py", "far", "src/u.py")], "repo string, file string, name string, source_file string")
+    calls = spark.createDataFrame([(1, "own", "own"), (4, "own", "own"), (1, "far", "far"), (4, "far", "far")], "caller_id long, callee_name string, callee_short_name string")
+    got = {(r.repo, r.caller_id, r.callee_name): (r.callee_id, r.resolution) for r in G.resolve_calls(calls, n, imports).collect()}
+    assert got == {("p", 1, "own"): (2, "in_file"), ("q", 4, "own"): (3, "in_file"), ("p", 1, "far"): (None, None), ("q", 4, "far"): (5, "import")}
+    seeds = G.changed_seed(spark.createDataFrame([(9, 1)], "pr_id long, id long"), spark.createDataFrame([(9, "p", "own"), (9, "p", "main")], "pr_id long, repo string, name string"), n)
+    assert {(r.id, r.from_diff_line) for r in seeds.collect()} == {(1, True), (2, False)}
+
+
 def test_range_join_over_bucket_borders(spark):
     n = nodes(spark, [(i, "f", f"n{i}", i * 30 + 1, i * 30 + 60, "") for i in range(40)]).withColumn("pr_id", F.lit(1).cast("long"))
     added = spark.createDataFrame([(1, "f", x) for x in (1, 64, 65, 128, 700, 5000)], "pr_id long, file string, new_line int")
