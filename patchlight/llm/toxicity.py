@@ -77,7 +77,7 @@ class Model:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk; rows are log counts."""
-    xp, xu = (np.column_stack((x, np.ones(len(x)))) for x in (positive, unlabelled))
+    xp, xu = (np.column_stack((x, np.ones(len(x), x.dtype))) for x in (positive, unlabelled))
     w, m, v = (np.zeros(xp.shape[1]) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -138,10 +138,19 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
             x = np.minimum(model.counts(h, of, batch.num_rows), 65535).astype(np.uint16)
             yield pa.RecordBatch.from_pydict({"known": batch.column("known").cast("int32"), "doc_id": batch.column("doc_id"), "x": pa.array([row.tobytes() for row in x], pa.binary())})
 
-    got = sample.mapInArrow(vectors, "known int, doc_id long, x binary").toArrow().sort_by([("known", "ascending"), ("doc_id", "ascending")])
-    known = got["known"].to_numpy()
-    x = np.log1p(np.frombuffer(b"".join(got["x"].to_pylist()), np.uint16).reshape(len(got), -1).astype(float))
-    model.weight, model.bias = fit(x[known == 1], x[known == 0], prior)
+    width = len(model.feature)
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("known", "ascending"), ("doc_id", "ascending")])
+        known = table["known"].to_numpy()
+        x = np.frombuffer(b"".join(table["x"].to_pylist()), np.uint16).reshape(len(known), width)
+        weight, bias = fit(np.log1p(x[known == 1].astype(np.float32)), np.log1p(x[known == 0].astype(np.float32)), prior)
+        return pa.table({"place": np.arange(width + 1), "weight": np.append(weight, bias).astype(np.float64)})
+
+    # The bounded sample meets in one task, so that neither it nor the training weighs on the driver.
+    got = sample.mapInArrow(vectors, "known int, doc_id long, x binary").groupBy(F.lit(0)).applyInArrow(learn, "place long, weight double").toArrow().sort_by("place")
+    weight = got["weight"].to_numpy()
+    model.weight, model.bias = weight[:-1], float(weight[-1])
     return model
 
 
