@@ -148,7 +148,7 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
         return pa.table({"place": np.arange(width + 1), "weight": np.append(weight, bias).astype(np.float64)})
 
     # The bounded sample meets in one task, so that neither it nor the training weighs on the driver.
-    got = sample.mapInArrow(vectors, "known int, doc_id long, x binary").groupBy(F.lit(0)).applyInArrow(learn, "place long, weight double").toArrow().sort_by("place")
+    got = sample.mapInArrow(vectors, "known int, doc_id long, x binary").groupBy(F.col("known") * 0).applyInArrow(learn, "place long, weight double").toArrow().sort_by("place")
     weight = got["weight"].to_numpy()
     model.weight, model.bias = weight[:-1], float(weight[-1])
     return model
