@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.functions import columns as X
+from patchlight.operators.similar import occupied_buckets
 from patchlight.operators import names as N
 from patchlight.session import cut_lineage
 
@@ -191,8 +192,8 @@ def scan_hits(results: DataFrame, added: DataFrame) -> DataFrame:
     uniq = clean.groupBy("pr_id", "path", "start_line", "end_line", "check_id").agg(
         F.min_by(F.struct("ord", "message", "severity"), "ord").alias("r")
     ).select("pr_id", F.col("path").alias("file"), "start_line", "end_line", "check_id", "r.ord", "r.message", "r.severity")
-    spans = uniq.withColumn("_b", F.explode(F.expr(f"sequence(start_line div {SCAN_BUCKET}, end_line div {SCAN_BUCKET})")))
-    points = added.select("pr_id", "file", "line", "text", F.expr(f"cast(line as bigint) div {SCAN_BUCKET}").alias("_b"))
+    points = added.select("pr_id", "file", "line", "text", F.floor(F.col("line") / SCAN_BUCKET).alias("_b"))
+    spans = occupied_buckets(uniq, points, ["pr_id", "file"], "start_line", "end_line", SCAN_BUCKET)
     first = (
         spans.join(points, ["pr_id", "file", "_b"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
         .groupBy("pr_id", "file", "start_line", "end_line", "check_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from patchlight import constants as C
 from patchlight.functions import columns as X
 from patchlight.operators.budget import budget_break, running_total
+from patchlight.operators.similar import occupied_buckets
 from patchlight.session import cut_lineage
 
 BUCKET_LINES = 64
@@ -18,16 +19,12 @@ def changed_nodes(added: DataFrame, nodes: DataFrame, keys: list[str] | None = N
     """Nodes whose line range holds an added line of their file.
 
     The range join is an equi-join on (file, 64-line bucket) with a residual range test; a node is
-    repeated once per bucket it spans. Semi-join: a node stops at its first hit.
+    repeated once per bucket that it spans and that holds an added line. Semi-join: a node stops at its first hit.
     """
     keys = keys or ["pr_id", "file"]
-    spans = nodes.withColumn(
-        "_b", F.explode(F.expr(f"sequence(start_line div {BUCKET_LINES}, end_line div {BUCKET_LINES})"))
-    )
-    points = added.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("new_line").alias("_line"),
-        F.expr(f"cast(new_line as bigint) div {BUCKET_LINES}").alias("_lb"),
-    ).distinct()
+    points = added.select(*keys, F.col("new_line").alias("_line"), F.floor(F.col("new_line") / BUCKET_LINES).alias("_b")).distinct()
+    spans = occupied_buckets(nodes, points, keys, "start_line", "end_line", BUCKET_LINES)
+    points = points.select(*[F.col(k).alias(f"_{k}") for k in keys], "_line", F.col("_b").alias("_lb"))
     on = F.col("_b") == F.col("_lb")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))

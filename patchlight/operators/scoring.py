@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlight.functions import columns as X
-from patchlight.operators.similar import salted_first, similar_sets
+from patchlight.operators.similar import occupied_buckets, salted_first, similar_sets
 from patchlight.session import cut_lineage
 
 HUNK_BUCKET = 64
@@ -24,11 +24,10 @@ def hunk_index(points: DataFrame, hunks: DataFrame) -> DataFrame:
 
     Equi-join on 64-line buckets with the range as residual.
     """
-    spans = hunks.select(
-        "pr_id", "file", "hunk", (F.col("start_line") - 1).alias("lo"), (F.col("end_line") + 1).alias("hi")
-    ).withColumn("_b", F.explode(F.expr(f"sequence(floor(lo / {HUNK_BUCKET}), floor(hi / {HUNK_BUCKET}))")))
     asked = points.select("pr_id", "file", "line").where("line is not null").distinct().withColumn(
         "_b", F.floor(F.col("line") / HUNK_BUCKET))
+    spans = hunks.select("pr_id", "file", "hunk", (F.col("start_line") - 1).alias("lo"), (F.col("end_line") + 1).alias("hi"))
+    spans = occupied_buckets(spans, asked, ["pr_id", "file"], "lo", "hi", HUNK_BUCKET)
     return (
         asked.join(spans, ["pr_id", "file", "_b"]).where(F.col("line").between(F.col("lo"), F.col("hi")))
         .groupBy("pr_id", "file", "line").agg(F.min("hunk").alias("hunk"))

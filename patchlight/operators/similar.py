@@ -49,3 +49,13 @@ def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold:
         .withColumn("sim", sim).where(F.col("sim") >= threshold)
         .select(*keys, "lw", "rw", "sim")
     )
+
+
+def occupied_buckets(ranges: DataFrame, points: DataFrame, keys: list[str], low: str, high: str, lines: int) -> DataFrame:
+    """Ranges with _b, once for each bucket of so many lines that they touch and that holds a point (points: keys, _b).
+
+    Rows follow the points that exist, so a range of any length costs no more than its file's points.
+    """
+    held = points.groupBy(*keys).agg(F.collect_set("_b").alias("_held"))
+    first, last = F.floor(F.col(low) / lines), F.floor(F.col(high) / lines)
+    return ranges.join(held, keys).withColumn("_b", F.explode(F.filter("_held", lambda b: b.between(first, last)))).drop("_held")

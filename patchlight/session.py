@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     if named is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         named = _OWN.setdefault(sc.applicationId, sc.getCheckpointDir() or tempfile.mkdtemp(prefix="patchlight-ckpt-"))
     return named

@@ -101,14 +101,24 @@ def tumbling_counts(events: DataFrame, key: str, ts: str = "ts", width: str = "6
 def api_quota(calls: DataFrame, key: str, us: str, seq: str, limit: int = C.API_MAX_REQUESTS, seconds: int = C.API_WINDOW_SECONDS) -> DataFrame:
     """Calls within the sliding window up to each call, remaining quota and reset time.
 
-    Each call serves as history of its own and the next time cell, so windows run per (key, cell).
+    Each call serves as history of its own and the next time cell, so windows run per (key, cell). Two running counts give the
+    calls in a window: those up to the call less those before the window's start, for which each call adds a mark at that
+    time. The first call in the window is the next one after the mark. Both are running values, so a busy cell stays linear.
     """
     span = seconds * 1_000_000
     cell = F.floor(F.col(us) / span)
     spread = calls.withColumn("_own", cell).withColumn("_cell", F.explode(F.array(cell, cell + 1)))
-    frame = W.partitionBy(key, "_cell").orderBy(us).rangeBetween(-span, 0)
-    counted = spread.withColumn("n", F.count("*").over(frame)).withColumn("_first", F.min(us).over(frame))
-    return counted.where(F.col("_cell") == F.col("_own")).select(
+    kinds = F.when(cell_is_own := F.col("_cell") == F.col("_own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    both = spread.withColumn("_call", F.explode(kinds)).withColumn("_at", F.col(us) - F.when(F.col("_call") == 0, span).otherwise(0))
+    ahead = W.partitionBy(key, "_cell").orderBy("_at", "_call", us)
+    behind = W.partitionBy(key, "_cell").orderBy(F.desc("_at"), F.desc("_call"), F.desc(us))
+    called = F.when(F.col("_call") == 1, 1).otherwise(0)
+    counted = both.withColumn("_upto", F.sum(called).over(ahead)).withColumn(
+        "_next", F.last(F.when(F.col("_call") == 1, F.col(us)), ignorenulls=True).over(behind.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    mark = F.col("_call") == 0
+    one = counted.where(cell_is_own).groupBy(key, "_cell", *[c for c in calls.columns if c != key]).agg(
+        (F.max(F.when(~mark, F.col("_upto"))) - F.max(F.when(mark, F.col("_upto")))).alias("n"), F.max(F.when(mark, F.col("_next"))).alias("_first"))
+    return one.select(
         *calls.columns, "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("n"), F.lit(0)).alias("remaining"),
         (F.col("_first") + span).alias("reset_at"))
 

@@ -66,6 +66,12 @@ def test_resolution_cascade(spark):
                    (1, "only"): (5, "unique"), (1, "z.only"): (5, "unique_short"), (1, "nope"): (None, None), (4, "q.helper"): (4, "in_file")}
 
 
+def test_ranges_of_any_length_cost_no_more_than_the_lines_there_are(spark):
+    n = nodes(spark, [(1, "f", "all", 1, 2_000_000_000, ""), (2, "f", "none", 500, 600, "")]).withColumn("pr_id", F.lit(1).cast("long"))
+    added = spark.createDataFrame([(1, "f", 3), (1, "f", 1_999_999_999)], "pr_id long, file string, new_line int")
+    assert [r.id for r in G.changed_nodes(added, n).collect()] == [1]
+
+
 def test_two_repositories_never_meet(spark):
     n = spark.createDataFrame(
         [("p", 1, "src/a.py", "main"), ("p", 2, "src/a.py", "own"), ("q", 3, "src/a.py", "own"), ("q", 4, "src/a.py", "main"), ("q", 5, "src/u.py", "far")],

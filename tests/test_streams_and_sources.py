@@ -78,6 +78,23 @@ def test_replies_are_read_item_by_item(spark):
     assert [(r.k, r.ord, r.line, r.confidence) for r in rows.orderBy("k", "ord").collect()] == [(0, 0, 12, 0.9), (1, 1, 3, 1.0), (2, 0, None, 0.5), (5, 0, None, 0.25)]
 
 
+def test_api_quota_of_a_busy_hour_stays_linear(spark):
+    import time
+
+    span, n = 3_600_000_000, 60_000
+    r = random.Random(1)
+    times = sorted(r.randrange(3 * span) for _ in range(300)) + [span, span, 0]
+    df = spark.createDataFrame([("k", t, i) for i, t in enumerate(times)], "key string, us long, seq long")
+    got = {x.seq: (x.n, x.reset_at) for x in LM.api_quota(df, "key", "us", "seq", 3).collect()}
+    for i, t in enumerate(times):
+        window = [u for u in times if t - span <= u <= t]
+        assert got[i] == (len(window), min(window) + span)
+    busy = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") * 50_000).alias("us"), F.col("id").alias("seq"))
+    start = time.time()
+    assert LM.api_quota(busy, "key", "us", "seq", 3).where("n > 3").count() == n - 3
+    assert time.time() - start < 30
+
+
 def test_review_job_writes_each_batch_once(spark, tmp_path):
     rows = [dict(delivery_id=str(i), ts="2024-01-01T00:00:00Z", event="pull_request", payload=PR % "opened") for i in range(5)]
     stream = E.review_jobs(spark.readStream.schema(EVENTS).json(land(tmp_path, rows)), "@bot")
