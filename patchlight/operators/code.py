@@ -34,17 +34,39 @@ def language(path: Column) -> Column:
     return X.lookup(X.path_suffix(path), C.LANGUAGE_OF_SUFFIX, F.lit(None).cast("string"))
 
 
+_QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + "|" + r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+#: Strings and comments of a language, longest opening first.
+PY_QUIET = r'"""[\s\S]*?"""' + "|" + r"'''[\s\S]*?'''" + "|" + _QUOTED + r"|#[^\n]*"
+JS_QUIET = _QUOTED + r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`|//[^\n]*|/\*[\s\S]*?\*/"
+
+
+def quiet_rows(content: Column, lang: Column) -> Column:
+    """The rows of a source with strings emptied and comments gone, row numbers unchanged.
+
+    The last row of a string or comment of many rows keeps a closing bracket, so that it counts as a row of the code around it.
+    """
+    def cleaned(pattern: str) -> Column:
+        pieces, quiet = F.split(content, pattern), F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+        empty = F.transform(quiet, lambda t: F.concat(
+            F.when(t.rlike(r"^[\"'`]"), '""').otherwise(""), F.repeat(F.lit("\n"), F.regexp_count(t, F.lit("\n")).cast("int")),
+            F.when(t.contains("\n"), ")").otherwise("")))
+        return F.split(F.array_join(F.zip_with(pieces, empty, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""), "\n")
+
+    return F.when(lang == "python", cleaned(PY_QUIET)).when(lang.isin("javascript", "typescript"), cleaned(JS_QUIET)).otherwise(F.split(content, "\n"))
+
+
 def functions(files: DataFrame) -> DataFrame:
     """repo, file, name, start_line, end_line, code; files: repo, file, content.
 
     Python: a function ends before the next code line indented no deeper than its def. Brace
-    languages: at the line where the brace depth falls back. Same names in a file: the last wins.
+    languages: at the line where the brace depth falls back. Brackets, indents and names in strings and comments
+    do not count. Same names in a file: the last wins.
     """
     rows = files.withColumn("lang", language(F.col("file"))).select(
-        "repo", "file", "lang", F.split("content", "\n").alias("rows"))
+        "repo", "file", "lang", F.split("content", "\n").alias("rows"), quiet_rows(F.col("content"), F.col("lang")).alias("quiet"))
     py = rows.where("lang = 'python'").withColumn(
         "meta",
-        F.transform("rows", lambda x, i: F.struct(
+        F.transform("quiet", lambda x, i: F.struct(
             i.alias("i"), F.length(F.regexp_extract(x, r"^([ \t]*)", 1)).alias("ind"),
             ((F.trim(x) == "") | F.trim(x).rlike(r"^[)\]}]")).alias("skip"), (F.trim(x) == "").alias("blank"),
             F.regexp_extract(x, PY_START, 2).alias("name"))),
@@ -59,7 +81,8 @@ def functions(files: DataFrame) -> DataFrame:
         F.array_max(F.transform(F.filter("meta", lambda m: (m["i"] >= F.col("d.i")) & (m["i"] < F.col("stop")) & ~m["blank"]), lambda m: m["i"])),
     ).select("repo", "file", "rows", F.col("d.name").alias("name"), F.col("d.i").alias("s"), F.col("end").alias("e"))
 
-    js_lines = rows.where("lang in ('javascript', 'typescript')").select("repo", "file", F.posexplode("rows").alias("i", "x"))
+    js_lines = rows.where("lang in ('javascript', 'typescript')").select(
+        "repo", "file", F.posexplode(F.arrays_zip("rows", "quiet")).alias("i", "both")).select("repo", "file", "i", F.col("both.quiet").alias("x"), F.col("both.rows").alias("row"))
     depth = W.partitionBy("repo", "file").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     opened = F.regexp_count("x", F.lit(r"\{")) - F.regexp_count("x", F.lit(r"\}"))
     js_lines = js_lines.withColumn("delta", opened).withColumn("after", F.sum("delta").over(depth))
@@ -68,7 +91,7 @@ def functions(files: DataFrame) -> DataFrame:
                                        F.regexp_extract("x", JS_METHOD_START, 1)), F.lit("")),
                        F.when(F.col("x").rlike(JS_ANONYMOUS), F.lit("<anonymous>")))
     per_file = js_lines.groupBy("repo", "file").agg(
-        F.sort_array(F.collect_list(F.struct("i", "after", "delta", "x", named.alias("name")))).alias("ls"))
+        F.sort_array(F.collect_list(F.struct("i", "after", "delta", "row", named.alias("name")))).alias("ls"))
     js = per_file.select("repo", "file", "ls", F.explode(F.filter("ls", lambda m: m["name"].isNotNull())).alias("d")).withColumn(
         "end",
         F.when(
@@ -76,7 +99,7 @@ def functions(files: DataFrame) -> DataFrame:
             F.coalesce(
                 F.try_element_at(F.filter("ls", lambda m: (m["i"] > F.col("d.i")) & (m["after"] <= F.col("d.after") - F.col("d.delta"))), F.lit(1))["i"],
                 F.size("ls") - 1)).otherwise(F.col("d.i")),
-    ).select("repo", "file", F.transform("ls", lambda m: m["x"]).alias("rows"), F.col("d.name").alias("name"),
+    ).select("repo", "file", F.transform("ls", lambda m: m["row"]).alias("rows"), F.col("d.name").alias("name"),
              F.col("d.i").alias("s"), F.col("end").alias("e"))
     found = py.unionByName(js).select(
         "repo", "file", "name", (F.col("s") + 1).alias("start_line"), (F.col("e") + 1).alias("end_line"),
@@ -87,10 +110,10 @@ def functions(files: DataFrame) -> DataFrame:
 
 
 def calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Calls with their innermost enclosing function. Every function of a file is in one small array."""
+    """Calls outside strings and comments with their innermost enclosing function. Every function of a file is in one small array."""
     spans = nodes.groupBy("repo", "file").agg(F.collect_list(F.struct("start_line", "end_line", "id", "name")).alias("fs"))
     rows = files.join(spans, ["repo", "file"]).select(
-        "repo", "file", "fs", F.posexplode(F.split("content", "\n")).alias("i", "x"))
+        "repo", "file", "fs", F.posexplode(quiet_rows(F.col("content"), language(F.col("file")))).alias("i", "x"))
     inner = F.array_max(F.filter("fs", lambda f: (f["start_line"] <= F.col("i") + 1) & (f["end_line"] >= F.col("i") + 1)))
     defined = F.concat(
         F.regexp_extract_all("x", F.lit(r"\bdef\s+(\w+)\s*\("), F.lit(1)), F.regexp_extract_all("x", F.lit(JS_NAMED_START), F.lit(1)),

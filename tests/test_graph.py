@@ -135,6 +135,16 @@ class K {
 """
 
 
+def test_strings_and_comments_do_not_end_functions(spark):
+    py = 'def a(x):\n    s = """\nat column 0 }\ndef fake(y):\n"""\n    # note (call())\n# note at column 0\n    return b(x, "c(1)")\n\ndef d():\n    return \'\'\'x\ny\'\'\'\n'
+    ts = "function e(a) {\n  const s = \"}\";\n  // } g()\n  /* {\n } */\n  const t = `}\n${h}`;\n  return i(a);\n}\nfunction j() { return '{'; }\n"
+    files = spark.createDataFrame([("r", "a.py", py), ("r", "a.ts", ts)], "repo string, file string, content string")
+    fns = CD.functions(files)
+    assert {(r.name, r.start_line, r.end_line) for r in fns.collect()} == {("a", 1, 8), ("d", 10, 12), ("e", 1, 9), ("j", 10, 10)}
+    assert {(r.caller_name, r.callee_name) for r in CD.calls(files, fns).collect()} == {("a", "b"), ("e", "i")}
+    assert next(r.code for r in fns.collect() if r.name == "e").startswith('function e(a) {\n  const s = "}";')
+
+
 def test_js_functions_exports_and_imports(spark):
     files = spark.createDataFrame([("r", "s/a.ts", JS), ("r", "s/lib/index.ts", ""), ("r", "t/b.ts", "import { m } from '../../out'")], "repo string, file string, content string")
     fns = {(r.name, r.start_line, r.end_line) for r in CD.functions(files.where("file = 's/a.ts'")).collect()}
