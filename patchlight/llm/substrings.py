@@ -11,7 +11,7 @@
 4. Repeated starts go back to their documents, where the bytes they cover are removed.
 
 An anchor with more than `FREQUENT` different contents (a passage in very many different documents) would make its shard grow: each of its
-strings is then counted by its hash, combined before the shuffle, instead of sorted.
+strings is then counted by its hash instead of sorted, combined within each task before the shuffle.
 
 Null texts have 0 bytes. Rows with a null id are neither searched nor cut. Rows that share an id are searched each on its own.
 """
@@ -276,24 +276,67 @@ def _sort(groups: int, length: int):
     return run
 
 
-def _strings(length: int):
-    """Every string of the stretches of frequent anchors, by its hash."""
+_MIXED_SQL = "bucket int, " + _TOLD_SQL
+
+
+def _strings(length: int, buckets: int, groups: int):
+    """Every string of the stretches of frequent anchors by its hash. What a task sees twice it reports at once and hands on once,
+    so the entries of a string that meet are at most one per task; they are packed by hash range."""
+    schema = pa.schema([("bucket", pa.int32()), *_TOLD])
+
+    def emit(parts) -> Iterator[pa.RecordBatch]:
+        h, ids, start, open_ = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, ids, start, open_ = h[order], ids[order], start[order], open_[order]
+        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = np.diff(np.append(head, len(h)))
+        seen = np.flatnonzero((np.repeat(many, many) > 1) & (open_ == 1))
+        if len(seen):
+            told = _told(np.full(len(seen), REPEATED), ids[seen], start[seen], np.ones(len(seen), np.int64), np.zeros(len(seen), U64), np.zeros(len(seen), bool), groups)
+            yield from told.add_column(0, schema.field("bucket"), pa.array(np.full(told.num_rows, -1, np.int32))).to_batches()
+        h, ids, start, open_ = h[head], ids[head], start[head], np.where(many > 1, 0, open_[head]).astype(np.uint8)
+        rows = [{
+            "bucket": bucket, "grp": -1, "kind": COUNT, "ids": squeeze(ids[i:j]), "start": squeeze(start[i:j]), "count": b"",
+            "anchor": squeeze_sorted(h[i:j]), "open": squeeze(open_[i:j]),
+        } for bucket, i, j in bucket_parts(h, buckets)]
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches):
+        held, total = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 ids, start, count, open_ = _stretch_rows([row])
                 size = count - 1 + length
                 data, at = np.frombuffer(row["bytes"], np.uint8), np.cumsum(size) - size
-                for i in range(0, len(ids), 2000):
-                    j = min(i + 2000, len(ids))
+                for i in range(0, len(ids), 500):
+                    j = min(i + 500, len(ids))
                     prefix = _prefix(data[at[i] : at[j - 1] + size[j - 1]])
                     of = np.repeat(np.arange(i, j), count[i:j])
                     step = np.arange(len(of)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j])
                     begin = at[of] - at[i] + step
-                    yield pa.RecordBatch.from_pydict({
-                        "string": _between(prefix, begin, begin + length).view(np.int64), "doc_id": ids[of], "start": start[of] + step, "open": open_[of].astype(np.int32),
-                    })
+                    held.append((_between(prefix, begin, begin + length), ids[of], start[of] + step, open_[of]))
+                    total += len(of)
+                    if total >= 5 * BLOCK:
+                        yield from emit(held)
+                        held, total = [], 0
+        if total:
+            yield from emit(held)
+
+    return run
+
+
+def _count(groups: int):
+    """The strings of one hash range that more than one entry holds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        h = np.concatenate([spread_sorted(r["anchor"]) for r in rows])
+        ids, start, open_ = (np.concatenate([spread(r[c], k) for r in rows]) for c, k in (("ids", np.int64), ("start", np.int64), ("open", np.uint8)))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        again = h[1:] == h[:-1]
+        hit = order[(np.append(again, False) | np.insert(again, 0, False)) & (open_[order] == 1)]
+        return _told(np.full(len(hit), REPEATED), ids[hit], start[hit], np.ones(len(hit), np.int64), np.zeros(len(hit), U64), np.zeros(len(hit), bool), groups)
 
     return run
 
@@ -355,18 +398,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     many = told.where(F.col("kind") == COUNT)
     if not many.isEmpty():
         strings = dealt.groupBy("grp").cogroup(many.groupBy("grp")).applyInArrow(_cut(shards, length, COUNT), _CUT_SQL)
-        strings = strings.mapInArrow(_strings(length), "string long, doc_id long, start long, open int")
-        twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("string")
-        hits = strings.where("open = 1").join(twice, "string").select("doc_id", "start")
-
-        def tell(batches):
-            for batch in batches:
-                ids, start = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()
-                if len(ids):
-                    none = np.zeros(len(ids), U64)
-                    yield from _told(np.full(len(ids), REPEATED), ids, start, np.ones(len(ids), np.int64), none, none > 0, parts).to_batches()
-
-        found = found.union(hits.mapInArrow(tell, _TOLD_SQL))
+        mixed = settled(strings.mapInArrow(_strings(length, shards, parts), _MIXED_SQL))
+        counted = mixed.where(F.col("kind") == COUNT).drop("grp", "kind", "count").groupBy("bucket").applyInArrow(_count(parts), _TOLD_SQL)
+        found = found.union(mixed.where(F.col("kind") == REPEATED).drop("bucket")).union(counted)
     apply, result = _apply(length, digest)
     out = dealt.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, result)
 
