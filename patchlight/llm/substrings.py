@@ -394,7 +394,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     told = settled(known.mapInArrow(pack, pack_sql).groupBy("bucket").applyInArrow(_meet(parts, frequent), _TOLD_SQL))
     asked = told.where(F.col("kind") == SORT)
     bodies = dealt.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_cut(shards, length, SORT), _CUT_SQL)
-    found = told.where(F.col("kind") == REPEATED).union(bodies.groupBy("shard").applyInArrow(_sort(parts, length), _TOLD_SQL))
+    # Sorting is heavy for its bytes, so the number of tasks is said and not left to the sizes.
+    found = told.where(F.col("kind") == REPEATED).union(bodies.repartition(parts, "shard").groupBy("shard").applyInArrow(_sort(parts, length), _TOLD_SQL))
     many = told.where(F.col("kind") == COUNT)
     if not many.isEmpty():
         strings = dealt.groupBy("grp").cogroup(many.groupBy("grp")).applyInArrow(_cut(shards, length, COUNT), _CUT_SQL)
