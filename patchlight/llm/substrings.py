@@ -13,7 +13,8 @@
 An anchor with more than `FREQUENT` different contents (a passage in very many different documents) would make its shard grow: each of its
 strings is then counted by its hash instead of sorted, combined within each task before the shuffle.
 
-Null texts have 0 bytes. Rows with a null id are neither searched nor cut. Rows that share an id are searched each on its own.
+Null texts have 0 bytes. Rows with a null id are neither searched nor cut. Repeated rows repeat each other's strings; rows that share an id are taken
+for repeats of one text (the bytes to compare come from one of them, what is found to repeat holds for all).
 """
 
 from __future__ import annotations
