@@ -26,7 +26,7 @@ from patchlight.llm.common import settled
 from patchlight.llm.kernels import LOWER, U64, hashes, slices, texts, words
 from patchlight.llm.labelled import first_by_hash, one_label, remainder, with_texts
 
-POSITIVES, UNLABELLED = 4_000, 12_000
+POSITIVES, UNLABELLED = 3_000, 8_000
 BITS, FEATURES, LEAST, LIFT, EXCESS = 22, 512, 4, 0.5, 3.0
 BEGINNINGS = (4, 5, 6)
 ROUNDS, STEP, SHRINK = 400, 0.1, 1e-4
@@ -82,8 +82,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.
     w[-1] = np.log(prior / (1 - prior))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, ROUNDS + 1):
-        p, u = sigmoid(xp @ w), sigmoid(xu @ w)
-        rest = -np.log(1 - u + 1e-12).mean() + prior * np.log(1 - p + 1e-12).mean()
+        # Vectors take the kind of the rows, so that no step copies the rows in double precision.
+        p, u = sigmoid(xp @ w.astype(xp.dtype)), sigmoid(xu @ w.astype(xu.dtype))
+        rest = -np.log(1 - u + 1e-7).mean() + prior * np.log(1 - p + 1e-7).mean()
         down = xu.T @ u / len(xu) - prior * (xp.T @ p) / len(xp)
         grad = -prior * (xp.T @ (1 - p)) / len(xp) + (down if rest >= 0 else -down) + SHRINK * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
