@@ -2,16 +2,17 @@
 
 Texts are cut into tokens (letters, digits, bytes above 127; a point or comma between digits belongs to a number). Numbers, names
 (tokens that begin with a capital) and units after a number become typed placeholders; other tokens stay, lower-cased. A window of
-`WINDOW` tokens (the whole item, where it has fewer but at least `SHORTEST`) is keyed by its placeholders and words. Document windows
-with a key of the benchmark are then checked for slot consistency: two slots hold equal values in the document exactly where they
+`WINDOW` tokens (the whole item, where it has fewer but at least `SHORTEST`) is keyed twice: by its placeholders and words, and by
+its case-folded words alone. A hit by words is a copy in whatever letter case. Document windows with a template key of the benchmark
+are checked for slot consistency: two slots hold equal values in the document exactly where they
 do in the item, so a question whose numbers and names were swapped one for one is caught, while the same words around values
-that do not correspond are not. Windows with fewer than `LITERAL` plain words say too little as templates and are keyed by their words.
+that do not correspond are not. Windows with fewer than `LITERAL` plain words say too little as templates and are keyed by words only.
 
-The benchmark's keys are held in every task only in slices of at most `SLICE` windows (16 bytes each); a larger
+The benchmark's keys are held in every task only in slices of about `SLICE` windows (16 bytes each); a larger
 benchmark takes one pass over the documents per slice. Documents are never shuffled; only hits are.
 
 Items and texts that are null, or too short for a window, match nothing. Items with the same windows are all reported. Repeated ids are
-one document. Result: doc_id, item_id, n_windows (windows of the item found), n_item_windows, verbatim (some window has the same words).
+one document. Result: doc_id, item_id, n_windows (windows of the item found), n_item_windows, verbatim (some window has the same words, case aside).
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ def _piece_hashes(text: str) -> np.ndarray:
     return hashes(data, starts, ends)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: template hash, hash of the lower-cased word, whether it is a slot, and its text."""
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with spaces between tokens, and each token's start, end and text number."""
     keep = _TOKEN[data]
     if len(data) > 2:
         digit = (data >= 48) & (data <= 57)
@@ -55,11 +56,26 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         edge = edge[(edge >= 0) & (edge < len(data))]
         keep[edge] = _TOKEN[data[edge]]
     clean = np.where(keep, data, np.uint8(32))
-    starts, ends, of = words(clean, offsets)
+    return clean, *words(clean, offsets)
+
+
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts case-folded. Folding maps token bytes to token bytes and leaves the others, so the tokens stay the same ones."""
+    whole = data.tobytes()
+    parts = [whole[a:b].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: template hash, hash of the case-folded word, whether it is a slot, and its text."""
+    clean, starts, ends, of = _cut(data, offsets)
     if not len(starts):
         none = np.zeros(0, U64)
         return none, none, np.zeros(0, bool), of
-    raw = hashes(LOWER[clean], starts, ends)
+    if (data > 127).any():
+        raw = hashes(*_cut(*_folded(data, offsets))[:3])
+    else:
+        raw = hashes(LOWER[clean], starts, ends)
     first, second = clean[starts], clean[np.minimum(starts + 1, len(clean) - 1)]
     number = (first >= 48) & (first <= 57)
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
@@ -73,15 +89,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _UNIT_HASHES = _piece_hashes(" ".join(UNITS))
 
 
-def windows(template: np.ndarray, raw: np.ndarray, slot: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key and start token of every window of n tokens."""
+def windows(template: np.ndarray, raw: np.ndarray, slot: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of n tokens: key by template, key by words, whether the template says too little, and start token."""
     if len(of) < n:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, np.int64)
     inside = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1])
     plain = np.concatenate(([0], np.cumsum(~slot)))
     weak = (plain[n:] - plain[:-n] < LITERAL)[inside]
-    key = np.where(weak, mix(grams(raw, n)[inside] ^ U64(0x5757)), grams(template, n)[inside])
-    return mix(key ^ U64(n)), inside
+    by_words = mix(grams(raw, n)[inside] ^ U64(0x5757))
+    return mix(grams(template, n)[inside] ^ U64(n)), mix(by_words ^ U64(n)), weak, inside
 
 
 def pattern(raw: np.ndarray, slot: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -102,7 +118,7 @@ def _lengths(of: np.ndarray, n: int) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n, key, shape (slot pattern), words (hash of the words), n_item_windows: one row per distinct window of each item."""
+    """item_id, n, key (by template), weak, shape (slot pattern), words (key by words), n_item_windows: one row per distinct window of each item."""
 
     def run(batches):
         for batch in batches:
@@ -110,22 +126,28 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             template, raw, slot, of = tokens(data, offsets)
             length = _lengths(of, batch.num_rows)
             for n in np.unique(length[length > 0]):
-                key, at = windows(template, raw, slot, of, int(n))
+                key, by_words, weak, at = windows(template, raw, slot, of, int(n))
                 mine = length[of[at]] == n
-                key, at = key[mine], at[mine]
+                key, by_words, weak, at = key[mine], by_words[mine], weak[mine], at[mine]
                 yield pa.RecordBatch.from_pydict({
-                    "item_id": batch.column("item_id").take(pa.array(of[at])), "n": np.full(len(at), n, np.int32), "key": key.view(np.int64),
-                    "shape": pattern(raw, slot, at, int(n)).view(np.int64), "words": grams(raw, int(n))[at].view(np.int64),
+                    "item_id": batch.column("item_id").take(pa.array(of[at])), "n": np.full(len(at), n, np.int32), "key": np.where(weak, by_words, key).view(np.int64),
+                    "weak": weak, "shape": pattern(raw, slot, at, int(n)).view(np.int64), "words": by_words.view(np.int64),
                 })
 
     found = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL")
-    found = found.mapInArrow(run, "item_id long, n int, key long, shape long, words long").distinct()
+    found = found.mapInArrow(run, "item_id long, n int, key long, weak boolean, shape long, words long").distinct()
     sizes = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item_windows"))
     return found.join(sizes, "item_id")
 
 
-def _hits(documents: DataFrame, keys: np.ndarray, lengths: list[int]) -> DataFrame:
-    """doc_id, key, shape, words of the distinct document windows whose key is among keys."""
+def _member(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(key), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)] == key
+
+
+def _hits(documents: DataFrame, by_template: np.ndarray, by_words: np.ndarray, lengths: list[int]) -> DataFrame:
+    """doc_id, kind, key, shape of the distinct document windows with a key of the benchmark; what is hit by words has no shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,35 +155,37 @@ def _hits(documents: DataFrame, keys: np.ndarray, lengths: list[int]) -> DataFra
             for a, b in slices(offsets, 2 << 20):
                 template, raw, slot, of = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for n in lengths:
-                    key, at = windows(template, raw, slot, of, n)
-                    if not len(key):
-                        continue
-                    hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
-                    key, at = key[hit], at[hit]
-                    if len(at):
-                        yield pa.RecordBatch.from_pydict({
-                            "doc_id": batch.column("doc_id").take(pa.array(of[at] + a)), "key": key.view(np.int64),
-                            "shape": pattern(raw, slot, at, n).view(np.int64), "words": grams(raw, n)[at].view(np.int64),
-                        })
+                    key, spoken, weak, at = windows(template, raw, slot, of, n)
+                    for kind, hit in (("template", _member(by_template, key) & ~weak), ("words", _member(by_words, spoken))):
+                        if hit.any():
+                            where = at[hit]
+                            yield pa.RecordBatch.from_pydict({
+                                "doc_id": batch.column("doc_id").take(pa.array(of[where] + a)), "kind": [kind] * len(where),
+                                "key": (key if kind == "template" else spoken)[hit].view(np.int64),
+                                "shape": pattern(raw, slot, where, n).view(np.int64) if kind == "template" else np.zeros(len(where), np.int64),
+                            })
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, shape long, words long").distinct()
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, key long, shape long").distinct()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_windows(benchmark)
-    total = items.count()
-    n_slices = max(1, -(-total // SLICE))
+    n_slices = max(1, -(-items.count() // SLICE))
+    own = F.struct("key", "shape", "words").alias("own")
+    of_item = [F.col("item_id"), F.col("n"), F.col("n_item_windows"), own]
+    probes = items.where("NOT weak").select(F.lit("template").alias("kind"), "key", "shape", *of_item).unionByName(
+        items.select(F.lit("words").alias("kind"), F.col("words").alias("key"), F.lit(0).cast("long").alias("shape"), *of_item))
     found = None
     for i in range(n_slices):
-        part = items.where(F.pmod("key", F.lit(n_slices)) == i)
-        got = part.select("key", "n").distinct().toArrow()
-        keys = np.sort(got["key"].to_numpy().view(U64)) if len(got) else np.array([0], U64)
-        hits = _hits(documents, keys, sorted({int(x) for x in got["n"].to_pylist()}))
-        pairs = hits.join(part.withColumnRenamed("words", "item_words"), ["key", "shape"])
+        part = probes.where(F.pmod("key", F.lit(n_slices)) == i)
+        got = part.select("kind", "key", "n").distinct().toArrow()
+        kind, key = np.array(got["kind"].to_pylist(), object), got["key"].to_numpy().view(U64)
+        by_template, by_words = (np.sort(key[kind == x]) for x in ("template", "words"))
+        hits = _hits(documents, by_template, by_words, sorted({int(x) for x in got["n"].to_pylist()}))
+        pairs = hits.join(part, ["kind", "key", "shape"])
         found = pairs if found is None else found.unionByName(pairs)
     return found.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("key", "shape").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
-        F.max(F.col("words") == F.col("item_words")).alias("verbatim"),
+        F.count_distinct("own").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.max(F.col("kind") == "words").alias("verbatim"),
     )
 
 

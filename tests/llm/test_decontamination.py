@@ -66,3 +66,22 @@ def test_slices_give_the_same_and_clean_keeps_columns(spark, monkeypatch):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["2", "None"]
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs, none).count() == 0 and decontamination.clean(docs.limit(0), bench).count() == 0
+
+
+def test_copies_in_another_letter_case_are_found(spark):
+    over = "Der Zug fährt über die große Brücke nach Köln und hält später in Österreich an der Straße"
+    weak = "Anna met Bob Carl Dora Emil Fritz in Rome Paris London Berlin and Vienna"
+    texts = [ITEM.upper(), "x " + ITEM.lower() + " y", ITEM.title(), over.upper(), over.lower(), weak.upper(), weak.lower(), SHORT.upper(), "nothing of it " * 9]
+    got = _found(spark, texts, [(1, ITEM), (2, over), (3, weak), (4, SHORT)])
+    assert {k for k in got} == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 4)}
+    assert all(n == whole and verbatim for n, whole, verbatim in got.values())
+    # An item in capitals has nothing but names for its template; its copies are found by words.
+    assert {d for d, _ in _found(spark, texts, [(1, ITEM.upper())])} == {0, 1, 2}
+
+
+def test_folding_keeps_the_tokens():
+    import sys
+
+    token = lambda c: all(decontamination._TOKEN[b] for b in c.encode())
+    for c in (chr(x) for x in range(sys.maxunicode + 1) if not 0xD800 <= x < 0xE000):
+        assert all(token(f) == token(c) for f in c.casefold()) and (c.casefold() == c or not c.isdigit())
