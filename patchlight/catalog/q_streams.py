@@ -111,7 +111,9 @@ CTES["c_dedupwin"] = _chain("event_id % 10", 3600)
 @query("st_dedup_delivery", "SELECT min_by(event_id, (us, event_id)) AS event_id, k AS delivery FROM c_dedupwin GROUP BY k, opened")
 def _(spark, sf):
     s = _stream(spark, sf).select("event_id", (F.col("event_id") % 10).alias("delivery"), F.col("ts").cast("timestamp").alias("ts"))
-    return _run(spark, L.dedup_stream(s, "delivery", "event_id"), "append").select("event_id", "delivery")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    L.start_dedup(s, "delivery", "event_id", f"{base}/out", base, once=True).awaitTermination()
+    return spark.read.schema(s.schema).parquet(f"{base}/out").select("event_id", "delivery")
 
 
 @query("st_repo_stats", """SELECT 'org/repo' || (user_id % 8) AS repo, count(*) AS total_reviews, sum(event_id % 5)::BIGINT AS total_issues_found,

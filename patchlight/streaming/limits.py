@@ -2,6 +2,9 @@
 
 Batch twins cut a key's events by time before any ordered work: a break of one window length in a
 key's events always starts a new window, so the stretches between breaks are independent.
+
+start_dedup and start_rate_limit run each micro-batch of a stream through the batch twins and hand one row per open key on to the
+next, so no task holds a key's rows. dedup_stream and rate_limit_stream are for triggers that bound what one key has in a micro-batch.
 """
 
 from __future__ import annotations
@@ -126,7 +129,8 @@ def api_quota(calls: DataFrame, key: str, us: str, seq: str, limit: int = C.API_
 def dedup_stream(stream: DataFrame, key: str, order: str, seconds: int = 3600) -> DataFrame:
     """The first event of each key and, once its time to live is over, the first one after that; seeing a key again does not prolong it.
 
-    State is one time per key. A null key is a key of its own. Events of one key and micro-batch are taken in the order of (ts, order).
+    State is one time per key. A null key is a key of its own. Events of one key and micro-batch are taken in the order of (ts, order),
+    in memory; start_dedup has no such bound.
     """
     span = seconds * 1_000_000
     keyed = stream.withWatermark("ts", f"{seconds} seconds").withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_us", F.unix_micros("ts"))
@@ -156,7 +160,7 @@ def dedup_stream(stream: DataFrame, key: str, order: str, seconds: int = 3600) -
 
 def rate_limit_stream(stream: DataFrame, key: str = "installation_id", seconds: int = C.HOOK_WINDOW_SECONDS,
                       limit: int = C.HOOK_MAX_EVENTS) -> DataFrame:
-    """Events with limited, by per-key state (window start, count). A null key is a bucket of its own."""
+    """Events with limited, by per-key state (window start, count). A null key is a bucket of its own. start_rate_limit does it for micro-batches of any size."""
     span = seconds * 1_000_000
     keyed = stream.withWatermark("ts", f"{seconds} seconds").withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_us", F.unix_micros("ts"))
     out = "delivery_id string, ts timestamp, pr_url string, job_event string, installation_id bigint, limited boolean"
@@ -184,3 +188,71 @@ def rate_limit_stream(stream: DataFrame, key: str = "installation_id", seconds:
 
     return keyed.groupBy("_k").applyInPandasWithState(
         with_timeout, out, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _keyed(events: DataFrame, key: str) -> DataFrame:
+    """Adds _k, never null, and _us. Events without a time have no place in any window and go."""
+    return events.withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))).withColumn("_us", F.unix_micros("ts")).where("_us IS NOT NULL")
+
+
+def _start(stream: DataFrame, key: str, seconds: int, out: str, base: str, once: bool, step):
+    """Run step(live events with _k, _us and the window _opened, _n that their key has open, write) on each micro-batch.
+
+    step writes the batch's result by write and returns _k, _opened, _n of the windows it opened or went on with. The windows that may still be
+    open are kept in two folders in turn: a batch that runs again reads what the batch before left and overwrites what is its own, so results
+    appear once. An event older than the latest of the earlier batches by more than seconds is late and goes, so closed windows are forgotten then.
+    """
+    span = seconds * 1_000_000
+    schema = "_k string, _opened long, _n long"
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        held = spark.read.schema(schema).parquet(f"{base}/held/{(epoch - 1) % 2}") if epoch else spark.createDataFrame([], schema)
+        # The row without a key has the watermark.
+        mark = held.where("_k IS NULL").agg(F.max("_opened")).first()[0]
+        held = held.where("_k IS NOT NULL")
+        events = _keyed(batch, key)
+        live = events if mark is None else events.where(F.col("_us") > mark)
+        opened = step(live.join(held, "_k", "left"), lambda df: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), f"{out}/epoch={epoch}")
+        latest = events.agg(F.max("_us")).first()[0]
+        marks = [x for x in (mark, latest - span if latest is not None else None) if x is not None]
+        last = held.union(opened).groupBy("_k").agg(F.max(F.struct("_opened", "_n")).alias("_w")).select("_k", "_w.*")
+        if marks:
+            last = last.where(F.col("_opened") + span > max(marks)).union(spark.createDataFrame([(None, max(marks), 0)], schema))
+        last.write.mode("overwrite").parquet(f"{base}/held/{epoch % 2}")
+
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state")
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def start_dedup(stream: DataFrame, key: str, order: str, out: str, base: str, seconds: int = 3600, once: bool = False):
+    """What dedup_stream keeps, as part files in out, one folder per micro-batch. A key's rows are never in one task's memory."""
+    span, names = seconds * 1_000_000, stream.columns
+
+    def step(live: DataFrame, write, at: str) -> DataFrame:
+        fresh = live.where(F.col("_opened").isNull() | (F.col("_us") >= F.col("_opened") + span)).drop("_opened", "_n")
+        opening = anchored_windows(fresh.select("_k", "_us").distinct(), ["_k"], "_us", seconds).where("opened = _us").select("_k", "_us")
+        first = F.min_by(F.struct(*names), F.struct(F.col(order).isNull(), F.col(order)))
+        write(fresh.join(opening, ["_k", "_us"]).groupBy("_k", "_us").agg(first.alias("_f")).select("_f.*"))
+        kept = _keyed(live.sparkSession.read.schema(stream.schema).parquet(at).select(*names), key)
+        return kept.select("_k", F.col("_us").alias("_opened"), F.lit(1).cast("long").alias("_n"))
+
+    return _start(stream, key, seconds, out, base, once, step)
+
+
+def start_rate_limit(stream: DataFrame, out: str, base: str, key: str = "installation_id", order: str = "delivery_id", seconds: int = C.HOOK_WINDOW_SECONDS,
+                     limit: int = C.HOOK_MAX_EVENTS, once: bool = False):
+    """The events with limited, as rate_limit_stream gives them, as part files in out, one folder per micro-batch."""
+    span, names = seconds * 1_000_000, stream.columns
+
+    def step(live: DataFrame, write, at: str) -> DataFrame:
+        goes_on = F.coalesce(F.col("_us") < F.col("_opened") + span, F.lit(False))
+        fresh = live.where(~goes_on).drop("_opened", "_n")
+        windows = anchored_windows(fresh.select("_k", "_us").distinct(), ["_k"], "_us", seconds).withColumnRenamed("opened", "_opened")
+        cols = [*names, "_k", "_us", "_opened", "_n"]
+        placed = live.where(goes_on).select(*cols).union(fresh.join(windows, ["_k", "_us"]).withColumn("_n", F.lit(0).cast("long")).select(*cols))
+        n = F.row_number().over(W.partitionBy("_k", "_opened").orderBy("_us", order)) + F.col("_n")
+        write(placed.withColumn("limited", n > limit).select(*names, "limited"))
+        return placed.groupBy("_k", "_opened").agg((F.count(F.lit(1)) + F.max("_n")).alias("_n"))
+
+    return _start(stream, key, seconds, out, base, once, step)

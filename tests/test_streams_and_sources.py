@@ -178,3 +178,67 @@ def test_rule_model_end_to_end(spark):
     assert {r.pr_id: r.error for r in out.collect()} == {1: None, 2: "Budget exceeded: 100 > 50"}
     _, rows = RP.parse_reviews(out.where("error is null").select("pr_id", "reply"))
     assert [r.title for r in rows.collect()] == ["eval of input"]
+
+
+def _in_parts(spark, tmp_path, rows, parts):
+    """A stream with one micro-batch per part, in order of time."""
+    import os
+
+    (tmp_path / "in").mkdir()
+    for p in range(parts):
+        path = tmp_path / "in" / f"{p}.json"
+        path.write_text("\n".join(json.dumps(r) for r in rows[p * len(rows) // parts : (p + 1) * len(rows) // parts]))
+        os.utime(path, (1_700_000_000 + p, 1_700_000_000 + p))
+    return spark.readStream.schema("k string, seq long, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+
+def _timed_rows(n=900):
+    rnd, t, rows = random.Random(9), 1_704_067_200, []
+    for i in range(n):
+        t += rnd.choice([0, 1, 5, 40, 90])
+        k = rnd.choice(["hot", "hot", "hot", "cold", "", None])
+        rows.append((k, i, t))
+    return rows, [dict(k=k, seq=i, ts=t) for k, i, t in rows]
+
+
+def test_dedup_by_batches_carries_open_windows(spark, tmp_path):
+    rows, landed = _timed_rows()
+    L_out, base = str(tmp_path / "out"), str(tmp_path / "base")
+    LM.start_dedup(_in_parts(spark, tmp_path, landed, 4), "k", "seq", L_out, base, 300, once=True).awaitTermination()
+    want = set()
+    for key in {k for k, _, _ in rows}:
+        mine = [(t, i) for k, i, t in rows if k == key]
+        starts = windows([t for t, _ in mine], 300)
+        want |= {i for j, (t, i) in enumerate(mine) if j == 0 or starts[j] != starts[j - 1]}
+    assert sorted(r.seq for r in spark.read.parquet(L_out).collect()) == sorted(want)
+    # One row per open key and one for the watermark are handed on.
+    assert spark.read.parquet(f"{base}/held/1").count() <= 5
+
+
+def test_rate_limit_by_batches_carries_counts(spark, tmp_path):
+    rows, landed = _timed_rows()
+    out = str(tmp_path / "out")
+    LM.start_rate_limit(_in_parts(spark, tmp_path, landed, 4), out, str(tmp_path / "base"), "k", "seq", 300, 3, once=True).awaitTermination()
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        mine, n, last = [(t, i) for k, i, t in rows if k == key], 0, None
+        for (t, i), start in zip(mine, windows([t for t, _ in mine], 300)):
+            n, last = (n + 1 if start == last else 1), start
+            want[i] = n > 3
+    assert {r.seq: r.limited for r in spark.read.parquet(out).collect()} == want and len(want) == len(rows)
+
+
+def test_dedup_query_keeps_no_key_in_one_group(spark, sf, monkeypatch):
+    from patchlight.catalog import QUERIES
+
+    def whole_key(*a, **b):
+        raise AssertionError("a whole key in one group")
+
+    monkeypatch.setattr(LM, "dedup_stream", whole_key)
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("event_id") % 10).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()
+    want = set()
+    for key in range(10):
+        mine = sorted((r.us, r.event_id) for r in e if r.k == key)
+        starts = windows([t for t, _ in mine], 3_600_000_000)
+        want |= {(i, key) for j, (_, i) in enumerate(mine) if j == 0 or starts[j] != starts[j - 1]}
+    assert set(map(tuple, QUERIES["st_dedup_delivery"](spark, sf).collect())) == want
