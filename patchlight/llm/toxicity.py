@@ -26,10 +26,12 @@ from patchlight.llm.common import settled
 from patchlight.llm.kernels import LOWER, U64, hashes, slices, texts, words
 from patchlight.llm.labelled import first_by_hash, one_label, remainder, with_texts
 
-POSITIVES, UNLABELLED = 3_000, 8_000
+POSITIVES, UNLABELLED = 4_000, 12_000
 BITS, FEATURES, LEAST, LIFT, EXCESS = 22, 512, 4, 0.5, 3.0
 BEGINNINGS = (4, 5, 6)
 ROUNDS, STEP, SHRINK = 400, 0.1, 1e-4
+#: Rows whose log counts exist at one time in the training.
+ROWS = 1_024
 #: Bytes that count as parts of words here; others separate.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(48, 58), *range(128, 256)]] = True
@@ -75,18 +77,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _blocks(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Log counts of ROWS rows each; counts are looked up, other rows are log counts already."""
+    logs = np.log1p(np.arange(int(rows.max(initial=0)) + 1, dtype=np.float32)) if rows.dtype.kind == "u" else None
+    held = np.empty((min(ROWS, len(rows)), rows.shape[1]), np.float32) if logs is not None else None
+    for a in range(0, len(rows), ROWS):
+        part = rows[a : a + ROWS]
+        yield part if logs is None else np.take(logs, part, out=held[: len(part)], mode="clip")
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on the non-negative risk; rows are log counts."""
-    xp, xu = (np.column_stack((x, np.ones(len(x), x.dtype))) for x in (positive, unlabelled))
-    w, m, v = (np.zeros(xp.shape[1]) for _ in range(3))
+    """Weights and bias by full-batch Adam on the non-negative risk; rows are counts (unsigned) or log counts. The gradient is summed over blocks of rows."""
+    width = positive.shape[1]
+    w, m, v = (np.zeros(width + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def pulls(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        """Mean over rows of (row, 1) times the probability, and of the log of the other class's probability."""
+        by, rest = np.zeros(width + 1), 0.0
+        for x in _blocks(rows):
+            p = sigmoid(x @ w[:-1].astype(x.dtype) + w[-1])
+            by += np.append(p.astype(x.dtype) @ x, p.sum())
+            rest += np.log(1 - p + 1e-7).sum()
+        return by / len(rows), rest / len(rows)
+
+    all_p = np.append(sum(x.sum(0, dtype=np.float64) for x in _blocks(positive)) / len(positive), 1.0)
     for t in range(1, ROUNDS + 1):
-        # Vectors take the kind of the rows, so that no step copies the rows in double precision.
-        p, u = sigmoid(xp @ w.astype(xp.dtype)), sigmoid(xu @ w.astype(xu.dtype))
-        rest = -np.log(1 - u + 1e-7).mean() + prior * np.log(1 - p + 1e-7).mean()
-        down = xu.T @ u / len(xu) - prior * (xp.T @ p) / len(xp)
-        grad = -prior * (xp.T @ (1 - p)) / len(xp) + (down if rest >= 0 else -down) + SHRINK * np.append(w[:-1], 0)
+        (by_p, rest_p), (by_u, rest_u) = pulls(positive), pulls(unlabelled)
+        rest = -rest_u + prior * rest_p
+        down = by_u - prior * by_p
+        grad = -prior * (all_p - by_p) + (down if rest >= 0 else -down) + SHRINK * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -142,10 +163,11 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
     width = len(model.feature)
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("known", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("known", "descending"), ("doc_id", "ascending")])
         known = table["known"].to_numpy()
         x = np.frombuffer(b"".join(table["x"].to_pylist()), np.uint16).reshape(len(known), width)
-        weight, bias = fit(np.log1p(x[known == 1].astype(np.float32)), np.log1p(x[known == 0].astype(np.float32)), prior)
+        ones = int(np.searchsorted(-known, 0))
+        weight, bias = fit(x[:ones], x[ones:], prior)
         return pa.table({"place": np.arange(width + 1), "weight": np.append(weight, bias).astype(np.float64)})
 
     # The bounded sample meets in one task, so that neither it nor the training weighs on the driver.

@@ -93,3 +93,22 @@ def test_ties_go_to_the_earlier_start():
     counts = tokencount.Counts(tokencount.counter(v))
     for text in ("ab", "abab", "aab bab", "ba abc cc"):
         assert tokencount.tokens(text, counts) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_training_on_counts_holds_no_full_matrix_of_logs():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    p, u = r.poisson(0.3, (700, 40)).astype(np.uint16), r.poisson(0.1, (2500, 40)).astype(np.uint16)
+    w, b = toxicity.fit(p, u, 0.1)
+    w2, b2 = toxicity.fit(np.log1p(p.astype(np.float64)), np.log1p(u.astype(np.float64)), 0.1)
+    assert np.allclose(w, w2, atol=1e-2) and abs(b - b2) < 1e-2
+    big = r.poisson(0.05, (toxicity.POSITIVES + toxicity.UNLABELLED, toxicity.FEATURES)).astype(np.uint16)
+    rounds, toxicity.ROUNDS = toxicity.ROUNDS, 3
+    tracemalloc.start()
+    try:
+        toxicity.fit(big[: toxicity.POSITIVES], big[toxicity.POSITIVES :], 0.1)
+        assert tracemalloc.get_traced_memory()[1] < big.nbytes // 2
+    finally:
+        tracemalloc.stop()
+        toxicity.ROUNDS = rounds
