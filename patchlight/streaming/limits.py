@@ -107,6 +107,7 @@ def api_quota(calls: DataFrame, key: str, us: str, seq: str, limit: int = C.API_
     Each call serves as history of its own and the next time cell, so windows run per (key, cell). Two running counts give the
     calls in a window: those up to the call less those before the window's start, for which each call adds a mark at that
     time. The first call in the window is the next one after the mark. Both are running values, so a busy cell stays linear.
+    Calls that are equal in every column meet in one group, which gives a row for each of them.
     """
     span = seconds * 1_000_000
     cell = F.floor(F.col(us) / span)
@@ -120,7 +121,9 @@ def api_quota(calls: DataFrame, key: str, us: str, seq: str, limit: int = C.API_
         "_next", F.last(F.when(F.col("_call") == 1, F.col(us)), ignorenulls=True).over(behind.rowsBetween(W.unboundedPreceding, W.currentRow)))
     mark = F.col("_call") == 0
     one = counted.where(cell_is_own).groupBy(key, "_cell", *[c for c in calls.columns if c != key]).agg(
-        (F.max(F.when(~mark, F.col("_upto"))) - F.max(F.when(mark, F.col("_upto")))).alias("n"), F.max(F.when(mark, F.col("_next"))).alias("_first"))
+        (F.max(F.when(~mark, F.col("_upto"))) - F.max(F.when(mark, F.col("_upto")))).alias("n"), F.max(F.when(mark, F.col("_next"))).alias("_first"),
+        F.count_if(mark).cast("int").alias("_calls"))
+    one = one.withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("_calls"))))
     return one.select(
         *calls.columns, "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("n"), F.lit(0)).alias("remaining"),
         (F.col("_first") + span).alias("reset_at"))

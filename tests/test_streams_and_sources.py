@@ -242,3 +242,9 @@ def test_dedup_query_keeps_no_key_in_one_group(spark, sf, monkeypatch):
         starts = windows([t for t, _ in mine], 3_600_000_000)
         want |= {(i, key) for j, (_, i) in enumerate(mine) if j == 0 or starts[j] != starts[j - 1]}
     assert set(map(tuple, QUERIES["st_dedup_delivery"](spark, sf).collect())) == want
+
+
+def test_api_quota_keeps_calls_that_are_equal_in_every_column(spark):
+    df = spark.createDataFrame([("k", 5, 1), ("k", 5, 1), ("k", 9, 2), (None, 5, 1), (None, 5, 1)], "key string, us long, seq long")
+    got = sorted(((r.key or "", r.seq, r.n, r.allowed) for r in LM.api_quota(df, "key", "us", "seq", 2).collect()))
+    assert got == [("", 1, 2, True), ("", 1, 2, True), ("k", 1, 2, True), ("k", 1, 2, True), ("k", 2, 3, False)]
