@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlight.functions import columns as X
-from patchlight.operators.similar import occupied_buckets, salted_first, similar_sets
+from patchlight.operators.matching import first_free
+from patchlight.operators.similar import contained, occupied_buckets, salted_first, similar_sets
 from patchlight.session import cut_lineage
 
 HUNK_BUCKET = 64
+#: Pairs of issues and goldens in one file up to which all of them are tested.
+DIRECT_PAIRS = 10_000
 
 
 def severity_ok(issue: Column, expected: Column) -> Column:
@@ -57,16 +60,61 @@ def with_hunks(issues: DataFrame, expected: DataFrame, hunks: DataFrame) -> tupl
     return left, right
 
 
-def issue_pairs(issues: DataFrame, expected: DataFrame, hunks: DataFrame) -> DataFrame:
+def _near_pairs(issues: DataFrame, goldens: DataFrame, hunk_gap: int = 2, lines: int = 50) -> DataFrame:
+    """pr_id, file, issue_ord, expected_ord of pairs near one another: by hunk number where the file has hunks, else by line."""
+    known = goldens.where("line_start IS NOT NULL AND line_end IS NOT NULL")
+    steps = F.explode(F.sequence(F.col("golden_hunk") - hunk_gap, F.col("golden_hunk") + hunk_gap))
+    by_hunk = known.where("has_hunks AND golden_hunk IS NOT NULL").select("pr_id", "file", "expected_ord", steps.alias("issue_hunk"))
+    asked = issues.where("line IS NOT NULL")
+    pairs = asked.where("issue_hunk IS NOT NULL").select("pr_id", "file", "issue_ord", "issue_hunk").join(by_hunk, ["pr_id", "file", "issue_hunk"]).drop("issue_hunk")
+    points = asked.select("pr_id", "file", "issue_ord", "line", F.floor(F.col("line") / HUNK_BUCKET).alias("_b"))
+    spans = known.where("NOT has_hunks").select("pr_id", "file", "expected_ord", (F.col("line_start") - lines).alias("_lo"), (F.col("line_end") + lines).alias("_hi"))
+    spans = occupied_buckets(spans, points, ["pr_id", "file"], "_lo", "_hi", HUNK_BUCKET)
+    by_line = points.join(spans, ["pr_id", "file", "_b"]).where(F.col("line").between(F.col("_lo"), F.col("_hi")))
+    return pairs.unionByName(by_line.select("pr_id", "file", "issue_ord", "expected_ord"))
+
+
+def _said_pairs(issues: DataFrame, goldens: DataFrame) -> DataFrame:
+    """pr_id, file, issue_ord, expected_ord of pairs where a keyword of the golden stands in the issue's text, or a list of keywords asks for nothing."""
+    file = ["pr_id", "file"]
+    lists = goldens.select(*file, "expected_ord", F.explode(F.array("title_keywords", "evidence_keywords")).alias("_k"))
+    lists = lists.withColumn("_k", F.transform(F.filter("_k", lambda k: k.isNotNull()), F.lower))
+    words = lists.select(*file, "expected_ord", F.explode("_k").alias("word")).distinct()
+    any_text = lists.where((F.coalesce(F.size("_k"), F.lit(0)) <= 0) | F.array_contains("_k", "")).select(*file, "expected_ord").distinct()
+    texts = issues.withColumn("tid", F.sha2("_text", 256))
+    distinct = texts.groupBy(*file, "tid").agg(F.first("_text").alias("text"))
+    hits = contained(distinct, words.select(*file, "word"), file).join(words, [*file, "word"]).select(*file, "tid", "expected_ord").distinct()
+    said = texts.select(*file, "tid", "issue_ord").join(hits, [*file, "tid"]).select(*file, "issue_ord", "expected_ord")
+    return said.unionByName(issues.select(*file, "issue_ord").join(any_text, file).select(*file, "issue_ord", "expected_ord"))
+
+
+def issue_pairs(issues: DataFrame, expected: DataFrame, hunks: DataFrame, direct: int = DIRECT_PAIRS) -> DataFrame:
     """Flagged (issue, golden) pairs of the same file: is_match, is_review, reason.
 
-    Predicates sit on an equi-join on (change, file); only pairs with a flag leave it.
+    A pair is flagged for its place or for its text. In a file with at most `direct` pairs all are tested; in a larger one the pairs come from two
+    searches, by place (hunks or line buckets) and by an index of the keywords, so nothing but what they find is built.
     """
     left, right = with_hunks(issues, expected, hunks)
     i = left.select("pr_id", "file", F.col("ord").alias("issue_ord"), "line", F.col("severity").alias("issue_severity"),
                     F.lower(X.issue_text()).alias("_text"), "issue_hunk")
     g = right.select("pr_id", "file", F.col("ord").alias("expected_ord"), F.col("id").alias("expected_id"), "line_start", "line_end",
                      "title_keywords", "evidence_keywords", F.col("severity").alias("expected_severity"), "golden_hunk", "has_hunks")
+    file = ["pr_id", "file"]
+    many = issues.groupBy(*file).agg(F.count("*").alias("_i")).join(expected.groupBy(*file).agg(F.count("*").alias("_g")), file)
+    large = cut_lineage(many.where(F.col("_i") * F.col("_g") > direct).select(*file))
+    text_ok = X.any_keyword(F.col("_text"), F.col("title_keywords")) | X.any_keyword(F.col("_text"), F.col("evidence_keywords"))
+    if large.isEmpty():
+        return _flags(i.join(g, file).withColumn("_t", text_ok))
+    few = i.join(large, file, "left_anti").join(g, file).withColumn("_t", text_ok).drop("_text", "title_keywords", "evidence_keywords")
+    i, g = cut_lineage(i.join(large, file, "left_semi")), cut_lineage(g.join(large, file, "left_semi"))
+    found = _near_pairs(i, g).withColumn("_t", F.lit(False)).unionByName(_said_pairs(i, g).withColumn("_t", F.lit(True)))
+    found = found.groupBy(*file, "issue_ord", "expected_ord").agg(F.max("_t").alias("_t"))
+    found = found.join(i.drop("_text"), [*file, "issue_ord"]).join(g.drop("title_keywords", "evidence_keywords"), [*file, "expected_ord"])
+    return _flags(few.unionByName(found))
+
+
+def _flags(pairs: DataFrame) -> DataFrame:
+    """The rules for a pair whose texts agree or not (_t); only pairs with a flag stay."""
     known = F.col("line").isNotNull() & F.col("line_start").isNotNull() & F.col("line_end").isNotNull()
     both = F.col("issue_hunk").isNotNull() & F.col("golden_hunk").isNotNull()
     gap = F.abs(F.col("issue_hunk") - F.col("golden_hunk"))
@@ -79,11 +127,9 @@ def issue_pairs(issues: DataFrame, expected: DataFrame, hunks: DataFrame) -> Dat
     line_ok = F.when(known, F.coalesce(within(0, 5), false)).otherwise(True)
     near = F.when(known, F.coalesce(within(1, 20), false)).otherwise(False)
     broad = F.when(known, F.coalesce(within(2, 50), false)).otherwise(False)
-    text_ok = X.any_keyword(F.col("_text"), F.col("title_keywords")) | X.any_keyword(F.col("_text"), F.col("evidence_keywords"))
     sev = severity_ok(F.col("issue_severity"), F.col("expected_severity"))
     flags = (
-        i.join(g, ["pr_id", "file"])
-        .withColumn("_t", text_ok).withColumn("_n", near).withColumn("_b", broad)
+        pairs.withColumn("_n", near).withColumn("_b", broad)
         .where(F.col("_t") | F.col("_n") | F.col("_b"))
         .withColumn("is_match", line_ok & F.col("_t") & sev)
         .withColumn("is_review", F.col("_n") | F.col("_t"))
@@ -93,28 +139,12 @@ def issue_pairs(issues: DataFrame, expected: DataFrame, hunks: DataFrame) -> Dat
 
 
 def match_constrained(pairs: DataFrame) -> DataFrame:
-    """pr_id, matched (expected ords), duplicates: tightest issues take the first free golden.
-
-    Issues with one and the same candidate list compete alike: of each list only its first
-    size(list) issues can take anything, all later ones are duplicates and are only counted. The
-    fold per change is thus bounded by the goldens, not by the issues.
-    """
-    lists = pairs.where("is_match").groupBy("pr_id", "issue_ord").agg(
-        F.array_sort(F.collect_list("expected_ord")).alias("cands"))
-    lists = lists.withColumn("n", F.size("cands"))
+    """pr_id, matched (expected ords), duplicates: tightest issues take the first free golden; issues left without one are only counted."""
+    lists = pairs.where("is_match").groupBy("pr_id", F.col("issue_ord").alias("chooser")).agg(F.array_sort(F.collect_list("expected_ord")).alias("items"))
+    lists = cut_lineage(lists.withColumn("turn", F.struct(F.size("items").alias("n"), F.col("chooser").alias("ord"))))
     total = lists.groupBy("pr_id").agg(F.count("*").alias("all_issues"))
-    few = salted_first(lists, ["pr_id", "cands"], [F.col("issue_ord")], F.col("issue_ord"), F.col("n"))
-    folded = few.groupBy("pr_id").agg(F.sort_array(F.collect_list(F.struct("n", "issue_ord", "cands"))).alias("q"))
-    matched = folded.select(
-        "pr_id",
-        F.aggregate(
-            "q", F.array().cast("array<bigint>"),
-            lambda taken, i: F.concat(
-                taken, F.slice(F.filter(i["cands"], lambda c: ~F.array_contains(taken, c)), F.lit(1), F.lit(1))),
-        ).alias("matched"),
-    )
-    return total.join(matched, "pr_id").select(
-        "pr_id", "matched", (F.col("all_issues") - F.size("matched")).alias("duplicates"))
+    taken = first_free(lists, ["pr_id"]).groupBy("pr_id").agg(F.array_sort(F.collect_list("item")).alias("matched"))
+    return total.join(taken, "pr_id").select("pr_id", "matched", (F.col("all_issues") - F.size("matched")).alias("duplicates"))
 
 
 def score_samples(samples: DataFrame, issues: DataFrame, expected: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -238,17 +268,11 @@ def match_best_confidence(candidates: DataFrame, goldens: DataFrame) -> DataFram
     """
     n = goldens.groupBy("pr_id").agg(F.count("*").alias("_g"))
     able = candidates.where("conf > 0.5").join(n, "pr_id")
-    few = salted_first(able, ["pr_id", "golden_ord"], [F.col("conf").desc(), F.col("finding_ord")], F.col("finding_ord"), F.col("_g"))
-    per_golden = few.groupBy("pr_id", "golden_ord").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("c"), F.col("finding_ord").alias("f")))).alias("cs"))
-    folded = per_golden.groupBy("pr_id").agg(F.sort_array(F.collect_list(F.struct("golden_ord", "cs"))).alias("gs"))
-    empty = F.array().cast("array<struct<g:bigint,f:bigint,c:double>>")
-    return folded.select("pr_id", F.explode(F.aggregate(
-        "gs", empty,
-        lambda acc, g: F.concat(acc, F.transform(
-            F.slice(F.filter(g["cs"], lambda c: ~F.exists(acc, lambda a: a["f"] == c["f"])), F.lit(1), F.lit(1)),
-            lambda c: F.struct(g["golden_ord"].alias("g"), c["f"].alias("f"), (-c["c"]).alias("c")))),
-    )).alias("m")).select("pr_id", F.col("m.g").alias("golden_ord"), F.col("m.f").alias("finding_ord"), F.col("m.c").alias("conf"))
+    few = cut_lineage(salted_first(able, ["pr_id", "golden_ord"], [F.col("conf").desc(), F.col("finding_ord")], F.col("finding_ord"), F.col("_g")).drop("_g"))
+    liked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("c"), F.col("finding_ord").alias("f")))), lambda x: x["f"])
+    lists = few.groupBy("pr_id", F.col("golden_ord").alias("chooser")).agg(liked.alias("items")).withColumn("turn", F.col("chooser"))
+    taken = first_free(lists, ["pr_id"]).select("pr_id", F.col("chooser").alias("golden_ord"), F.col("item").alias("finding_ord"))
+    return taken.join(few, ["pr_id", "golden_ord", "finding_ord"]).select("pr_id", "golden_ord", "finding_ord", "conf")
 
 
 def confidence_candidates(goldens: DataFrame, findings: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patchlight.functions import columns as X
+from patchlight.session import cut_lineage
 
 SALTS = 64
 
@@ -59,3 +60,32 @@ def occupied_buckets(ranges: DataFrame, points: DataFrame, keys: list[str], low:
     held = points.groupBy(*keys).agg(F.collect_set("_b").alias("_held"))
     first, last = F.floor(F.col(low) / lines), F.floor(F.col(high) / lines)
     return ranges.join(held, keys).withColumn("_b", F.explode(F.filter("_held", lambda b: b.between(first, last)))).drop("_held")
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct strings of so many characters in a text; one pass over its characters."""
+    chars = F.split(text, "")
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(chars, i + (k - 1)) for k in range(size)]))))
+
+
+def contained(texts: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tid, word for words (keys, word) that stand anywhere in a text (keys, tid, text) under equal keys.
+
+    An index of three-character strings (shorter ones for shorter words): a word is looked up by the one of its strings that the fewest texts
+    of its key hold, and only the texts found are searched. Texts and words may be many under one key; texts x words are never built.
+    Empty words stand in every text and are left to the caller.
+    """
+    words = words.where(F.length("word") > 0).select(*keys, "word").distinct().withColumn("_size", F.least(F.length("word"), F.lit(3)))
+    held = parts = None
+    for size in (1, 2, 3):
+        asked = words.where(F.col("_size") == size).select(*keys, "word", F.explode(_grams(F.col("word"), size)).alias("gram"))
+        searched = texts.join(asked.select(*keys).distinct(), keys, "left_semi").select(*keys, "tid", F.explode(_grams(F.col("text"), size)).alias("gram"))
+        found = searched.join(asked.select(*keys, "gram").distinct(), [*keys, "gram"])
+        held, parts = (found, asked) if held is None else (held.unionByName(found), parts.unionByName(asked))
+    held = cut_lineage(held)
+    spread = held.groupBy(*keys, "gram").agg(F.count("*").alias("_n"))
+    # A word with a string that no text holds is in no text: the count is 0 and the join below finds nothing.
+    rare = parts.join(spread, [*keys, "gram"], "left").groupBy(*keys, "word").agg(F.min_by("gram", F.coalesce("_n", F.lit(0))).alias("gram"))
+    near = held.join(rare, [*keys, "gram"]).select(*keys, "tid", "word").join(texts.select(*keys, "tid", "text"), [*keys, "tid"])
+    return near.where(F.col("text").contains(F.col("word"))).select(*keys, "tid", "word")

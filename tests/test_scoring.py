@@ -93,6 +93,42 @@ def test_sample_scores_against_a_row_by_row_model(spark):
     assert t.samples == 25 and t.hit_count == sum(w["hit_count"] for w in want.values())
 
 
+def _pair_tables(spark, r, n_issues, n_goldens):
+    """One file with hunks and one without; keywords of one to eight characters, parts of words, empty words and empty lists."""
+    vocab = ["nullable", "leak", "sql-injection", "race", "a.b", "é", "pool", "x"]
+    keys = ["null", "leak", "l-in", "race condition", "a.b", "É", "ool", "x", "zz", "", None]
+    issues = [(1, o, r.choice("ab"), r.choice([None, r.randrange(400)]), " ".join(r.sample(vocab, 2)), r.choice(["", "Race condition"]), None, None, r.choice(list(RANK)))
+              for o in range(n_issues)]
+    golds = []
+    for o in range(n_goldens):
+        s = r.choice([None, r.randrange(400)])
+        lists = [r.sample(keys[: 9 if o % 9 else 11], 2) if r.random() < 0.9 else r.choice([[], None]) for _ in range(2)]
+        golds.append((1, o, f"g{o}", r.choice("ab"), s, None if s is None else s + r.randrange(9), *lists, r.choice([*RANK, None])))
+    hunks = [(1, "a", k, 20 * k, 20 * k + 9) for k in range(20)]
+    return spark.createDataFrame(issues, ISSUE), spark.createDataFrame(golds, GOLD), spark.createDataFrame(hunks, HUNKS)
+
+
+def test_pairs_of_large_files_equal_all_pairs(spark):
+    """Two searches instead of all pairs of a file give the same flags."""
+    tables = _pair_tables(spark, random.Random(4), 90, 40)
+    rows = lambda direct: sorted(map(repr, S.issue_pairs(*tables, direct).collect()))
+    searched = rows(0)
+    assert searched == rows(10**9) and 100 < len(searched) < 90 * 40 / 2
+    assert rows(1800) == searched
+
+
+def test_large_file_makes_no_product(spark):
+    """3,000 issues and 3,000 goldens of one file with one partner each: rows follow the partners."""
+    issues = spark.range(3000).selectExpr(
+        "1L AS pr_id", "id AS ord", "'a' AS file", "cast(id * 200 AS int) AS line", "concat('finding number ', id, ' end') AS title", "'' AS description",
+        "'' AS impact_statement", "cast(null AS array<string>) AS evidence", "'ERROR' AS severity")
+    golds = spark.range(3000).selectExpr(
+        "1L AS pr_id", "id AS ord", "concat('g', id) AS id", "'a' AS file", "cast(id * 200 AS int) AS line_start", "cast(id * 200 + 3 AS int) AS line_end",
+        "array(concat('number ', id, ' e')) AS title_keywords", "array('nowhere') AS evidence_keywords", "'ERROR' AS severity")
+    pairs = S.issue_pairs(issues, golds, spark.createDataFrame([], HUNKS))
+    assert pairs.where("is_match AND issue_ord = expected_ord").count() == pairs.count() == 3000
+
+
 def test_best_confidence_against_a_row_by_row_model(spark):
     rnd = random.Random(2)
     rows, want = [], set()
