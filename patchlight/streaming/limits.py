@@ -1,7 +1,9 @@
 """Time-to-live, rate limits and quotas, as keyed stream state and as batch twins.
 
-Batch twins cut a key's events by time before any ordered work: a break of one window length in a
-key's events always starts a new window, so the stretches between breaks are independent.
+Windows open at the first event after the last one closed, so where one opens hangs on all before it. The batch twins cut time into segments of
+SEGMENT window lengths. A segment is a function from "no window may open before x" to the same for what follows, a step function with few steps, found for
+all segments at once; the steps are followed once per key, and each segment then marks its windows knowing its x. A key that never pauses, with all events
+of a table, is as many segments as it is long.
 
 start_dedup and start_rate_limit run each micro-batch of a stream through the batch twins and hand one row per open key on to the
 next, so no task holds a key's rows. dedup_stream and rate_limit_stream are for triggers that bound what one key has in a micro-batch.
@@ -9,74 +11,151 @@ next, so no task holds a key's rows. dedup_stream and rate_limit_stream are for
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from patchlight import constants as C
-
-CELL_US = 3_600_000_000
-
-
-def stretches(events: DataFrame, keys: list[str], us: str, seconds: int) -> DataFrame:
-    """Adds _stretch, the start of the run of events without a pause of the given seconds.
-
-    Two levels: windows inside (key, hour) cells, then over one row per cell, so a key with most of
-    the events is spread over its hours.
-    """
-    step = F.lit(seconds * 1_000_000)
-    celled = events.withColumn("_cell", F.floor(F.col(us) / CELL_US))
-    edges = celled.groupBy(*keys, "_cell").agg(F.max(us).alias("_last"))
-    over_cells = W.partitionBy(*keys).orderBy("_cell")
-    edges = edges.select(*keys, "_cell", F.lag("_last").over(over_cells).alias("_before"))
-    inside = W.partitionBy(*keys, "_cell").orderBy(us)
-    prev = F.coalesce(F.lag(us).over(inside), F.col("_before"))
-    marked = celled.join(edges, [*keys, "_cell"]).withColumn(
-        "_break", F.when(prev.isNull() | (F.col(us) - prev >= step), F.col(us)))
-    carried = marked.groupBy(*keys, "_cell").agg(F.max("_break").alias("_b"))
-    carried = carried.select(*keys, "_cell", F.max("_b").over(over_cells.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
-    upto = inside.rangeBetween(W.unboundedPreceding, W.currentRow)
-    return marked.join(carried, [*keys, "_cell"]).withColumn(
-        "_stretch", F.coalesce(F.max("_break").over(upto), F.col("_carry"))).drop("_cell", "_before", "_break", "_carry")
+from patchlight.operators.budget import running_total
+from patchlight.session import cut_lineage
+
+#: Window lengths that a segment of a key's time is long.
+SEGMENT = 64
+
+
+def _new(table: pa.Table) -> np.ndarray:
+    """Whether each row starts another (key, segment)."""
+    if not table.num_rows:
+        return np.zeros(0, bool)
+    key, seg = table["_key"].combine_chunks(), table["_seg"].to_numpy()
+    other = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+    return np.append(True, other | (seg[1:] != seg[:-1]))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches cut anew, so that the rows of a (key, segment) stay together, with where each starts; what is held back is one of them."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        new = _new(table)
+        cut = int(np.flatnonzero(new)[-1]) if len(new) else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks(), new[:cut]
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), _new(held)
+
+
+def _followers(new: np.ndarray, us: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of the same group at or after time + span (len: none), and each row's group number."""
+    of = np.cumsum(new) - 1
+    base = us[new][of]
+    # One axis for all groups: none reaches into the next.
+    line = of * np.int64((us - base).max() + span + 1) + (us - base)
+    after = np.searchsorted(line, line + span)
+    return np.where(np.append(of, -1)[after] == of, after, len(us)), of
+
+
+def _steps(span: int):
+    """A segment's step function: for breaks b[i] (its events in the first span), where windows that open at the first event at or after x > b[i - 1] end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, new in _whole(batches):
+            us = table["_us"].to_numpy()
+            after, of = _followers(new, us, span)
+            # The last window of the chain that starts at each row, by pointer doubling.
+            last = np.append(np.where(after < len(us), after, np.arange(len(us))), len(us))
+            while (last[last] != last).any():
+                last = last[last]
+            ends = us[last[:-1]] + span
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(us))
+            seg = table["_seg"].to_numpy()
+            early = us < seg * (span * SEGMENT) + span
+            breaks, exits = [], []
+            for i, j in zip(head.tolist(), tail.tolist(), strict=True):
+                # Events in the first span, and the first one after it; steps that end alike are one.
+                m = min(i + int(np.searchsorted(~early[i:j], True)) + 1, j)
+                keep = np.append(ends[i + 1 : m] != ends[i : m - 1], True)
+                breaks.append(us[i:m][keep])
+                exits.append(ends[i:m][keep])
+            first = table.take(pa.array(head))
+            columns = [first["_key"].combine_chunks(), first["_seg"].combine_chunks(), pa.array(breaks, pa.list_(pa.int64())), pa.array(exits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_seg", "_breaks", "_exits"])
+
+    return run
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of a key in order: the time before which no window may open in each. One number is carried."""
+    key, x = None, None
+    for batch in batches:
+        out = []
+        for k, breaks, exits in zip(batch["_key"].to_pylist(), batch["_breaks"].to_pylist(), batch["_exits"].to_pylist(), strict=True):
+            if k != key:
+                key, x = k, FIRST
+            out.append(x)
+            at = bisect_left(breaks, x)
+            x = exits[at] if at < len(breaks) else x
+        yield pa.RecordBatch.from_arrays([batch["_key"], batch["_seg"], pa.array(out, pa.int64())], ["_key", "_seg", "_x"])
+
+
+#: Before any event.
+FIRST = -(2**62)
+
+
+def _marked(span: int):
+    """opened for every distinct time of a segment whose x is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, new in _whole(batches):
+            us, x = table["_us"].to_numpy(), table["_x"].to_numpy()
+            after, of = _followers(new, us, span)
+            late = us >= x
+            opens = np.zeros(len(us) + 1, bool)
+            # The first row at or after x opens; all segments step on together, at most SEGMENT times.
+            at = np.flatnonzero(late & (new | np.append(True, ~late[:-1])))
+            while len(at):
+                opens[at] = True
+                at = after[at]
+                at = at[at < len(us)]
+            # Within a group times grow, so the latest opening so far is the greatest row number seen.
+            row = np.maximum.accumulate(np.where(opens[:-1], np.arange(len(us)), -1))
+            own = (row >= 0) & (of[np.maximum(row, 0)] == of)
+            opened = np.where(own, us[np.maximum(row, 0)], x - span)
+            yield pa.RecordBatch.from_arrays([table["_key"].combine_chunks(), table["_us"].combine_chunks(), pa.array(opened)], ["_key", "_us", "opened"])
+
+    return run
 
 
 def anchored_windows(events: DataFrame, keys: list[str], us: str, seconds: int) -> DataFrame:
     """Adds opened: the start of the window an event falls in, windows opening at the first event
-    after the last one closed. us is the event time in microseconds.
+    after the last one closed. us is the event time in microseconds; events without one are left out.
 
-    Each stretch is sorted in a partition and scanned in Arrow batches with one carried number.
+    A null key is a key of its own. The work is on distinct times of a key, in segments; a segment's times are one task's, so is the list of a
+    key's segments, of which one number is carried.
     """
     span = seconds * 1_000_000
-    cut = stretches(events, keys, us, seconds).withColumn("_key", F.xxhash64(*keys, "_stretch"))
-    schema = events.schema.simpleString()[len("struct<"):-1] + ",opened:bigint"
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_key, held_open = None, None
-        for b in batches:
-            ids = list(zip(*[b[k] for k in (*keys, "_stretch")]))
-            ts = b[us].to_numpy()
-            opened = np.empty(len(b), dtype=np.int64)
-            starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]] + [len(ids)]
-            for lo, hi in zip(starts, starts[1:]):
-                at = held_open if ids[lo] == held_key else None
-                i = lo
-                while i < hi:
-                    if at is None or ts[i] >= at + span:
-                        at = ts[i]
-                    j = lo + int(np.searchsorted(ts[lo:hi], at + span, side="left"))
-                    opened[i:j] = at
-                    i = j
-                held_key, held_open = ids[lo], at
-            yield b.drop(columns=["_stretch", "_key"]).assign(opened=opened)
-
-    order = [*keys, "_stretch", us]
-    # Equal keys stay together; the extra hash only spreads a key's stretches.
-    return cut.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(scan, schema)
+    # One text per key, null parts told from empty ones.
+    key = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys])
+    rows = events.where(F.col(us).isNotNull()).withColumn("_key", key)
+    step = span * SEGMENT
+    times = rows.select("_key", F.col(us).cast("bigint").alias("_us")).distinct().withColumn("_seg", F.expr(f"(_us - pmod(_us, {step}L)) div {step}L"))
+    order = ["_key", "_seg", "_us"]
+    placed = cut_lineage(times.repartition("_key", "_seg").sortWithinPartitions(*order))
+    functions = placed.select(*order).mapInArrow(_steps(span), "_key string, _seg bigint, _breaks array<bigint>, _exits array<bigint>")
+    entries = functions.repartition("_key").sortWithinPartitions("_key", "_seg").mapInArrow(_entries, "_key string, _seg bigint, _x bigint")
+    known = placed.join(entries, ["_key", "_seg"]).select(*order, "_x").repartition("_key", "_seg").sortWithinPartitions(*order)
+    opened = known.mapInArrow(_marked(span), "_key string, _us bigint, opened bigint").select(F.col("_key").alias("_own"), F.col("_us").alias("_at"), "opened")
+    return rows.join(opened, (F.col("_key") == F.col("_own")) & (F.col(us) == F.col("_at"))).select(*events.columns, "opened")
 
 
 def first_per_ttl(events: DataFrame, keys: list[str], us: str, seq: str, seconds: int) -> DataFrame:
@@ -104,28 +183,24 @@ def tumbling_counts(events: DataFrame, key: str, ts: str = "ts", width: str = "6
 def api_quota(calls: DataFrame, key: str, us: str, seq: str, limit: int = C.API_MAX_REQUESTS, seconds: int = C.API_WINDOW_SECONDS) -> DataFrame:
     """Calls within the sliding window up to each call, remaining quota and reset time.
 
-    Each call serves as history of its own and the next time cell, so windows run per (key, cell). Two running counts give the
-    calls in a window: those up to the call less those before the window's start, for which each call adds a mark at that
-    time. The first call in the window is the next one after the mark. Both are running values, so a busy cell stays linear.
-    Calls that are equal in every column meet in one group, which gives a row for each of them.
+    One running count per key over its distinct times, with a mark at each time's window start: the calls in a window are those up to the call less
+    those before its mark, and the first of them is the call that the next number names. The running count cuts a busy key into slices, and what
+    is looked up in it has the time or the number in its key, so no task sees a key's calls. Calls at one time count alike, equal rows stay rows; a
+    null key is a key of its own; a call without a time has no window and null figures.
     """
     span = seconds * 1_000_000
-    cell = F.floor(F.col(us) / span)
-    spread = calls.withColumn("_own", cell).withColumn("_cell", F.explode(F.array(cell, cell + 1)))
-    kinds = F.when(cell_is_own := F.col("_cell") == F.col("_own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    both = spread.withColumn("_call", F.explode(kinds)).withColumn("_at", F.col(us) - F.when(F.col("_call") == 0, span).otherwise(0))
-    ahead = W.partitionBy(key, "_cell").orderBy("_at", "_call", us)
-    behind = W.partitionBy(key, "_cell").orderBy(F.desc("_at"), F.desc("_call"), F.desc(us))
-    called = F.when(F.col("_call") == 1, 1).otherwise(0)
-    counted = both.withColumn("_upto", F.sum(called).over(ahead)).withColumn(
-        "_next", F.last(F.when(F.col("_call") == 1, F.col(us)), ignorenulls=True).over(behind.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    mark = F.col("_call") == 0
-    one = counted.where(cell_is_own).groupBy(key, "_cell", *[c for c in calls.columns if c != key]).agg(
-        (F.max(F.when(~mark, F.col("_upto"))) - F.max(F.when(mark, F.col("_upto")))).alias("n"), F.max(F.when(mark, F.col("_next"))).alias("_first"),
-        F.count_if(mark).cast("int").alias("_calls"))
-    one = one.withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("_calls"))))
+    rows = calls.withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    times = cut_lineage(rows.where(F.col(us).isNotNull()).groupBy("_k", F.col(us).alias("_at")).agg(F.count("*").alias("_c")))
+    marks = times.select("_k", (F.col("_at") - span).alias("_at"), F.lit(0).cast("bigint").alias("_c"))
+    both = times.unionByName(marks).groupBy("_k", "_at").agg(F.sum("_c").alias("_c"))
+    line = cut_lineage(running_total(both, ["_k"], ["_at"], "_c", "_cum"))
+    ends = line.where("_c > 0").select("_k", F.col("_at").alias("_us"), "_cum", (F.col("_at") - span).alias("_from"))
+    starts = line.select("_k", F.col("_at").alias("_from"), (F.col("_cum") - F.col("_c")).alias("_before"))
+    numbered = line.where("_c > 0").select("_k", (F.col("_cum") - F.col("_c")).alias("_before"), F.col("_at").alias("_first"))
+    found = ends.join(starts, ["_k", "_from"]).join(numbered, ["_k", "_before"]).select("_k", F.col("_us").alias("_t"), (F.col("_cum") - F.col("_before")).alias("n"), "_first")
+    one = rows.join(found, (rows["_k"] == found["_k"]) & (F.col(us) == F.col("_t")), "left")
     return one.select(
-        *calls.columns, "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("n"), F.lit(0)).alias("remaining"),
+        *[rows[c] for c in calls.columns], "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("n"), F.lit(0)).alias("remaining"),
         (F.col("_first") + span).alias("reset_at"))
 
 

@@ -129,6 +129,34 @@ def test_anchored_windows_against_a_scan(spark):
     assert n == sum(max(0, c["count"] - 3) for c in LM.anchored_windows(df, ["k"], "us", 60).groupBy("k", "opened").count().collect())
 
 
+def test_windows_of_a_key_that_never_pauses(spark):
+    """Many segments of one key: random, regular (on the boundaries of windows and segments), with gaps of whole segments, before the epoch, repeated times."""
+    rnd, rows = random.Random(6), []
+    dense = [-9_000_000_000 + 1_000_000 * rnd.randrange(0, 14_000) for _ in range(6000)]
+    gapped = [t * 30_000_000 + (t // 50) * 20 * 3_840_000_000 for t in range(400)]
+    for key, times in (("dense", dense), ("regular", [t * 20_000_000 for t in range(2000)]), ("gapped", gapped), (None, [5, 5, 60_000_005]), ("", [7])):
+        rows += [(key, i, t) for i, t in enumerate(sorted(times))]
+    df = spark.createDataFrame([*rows, ("dense", 10**6, None)], "k string, seq long, us long")
+    got = {(r.k, r.seq): r.opened for r in LM.anchored_windows(df, ["k"], "us", 60).collect()}
+    for key in ("dense", "regular", "gapped", None, ""):
+        mine = [(s, t) for k, s, t in rows if k == key]
+        assert [got[key, s] for s, _ in mine] == windows([t for _, t in mine], 60_000_000)
+    assert len(got) == len(rows)
+
+
+def test_busy_key_is_cut_into_segments(spark):
+    """One key with all of 400,000 events is followed through a few hundred segments; every window holds a minute of it."""
+    df = spark.range(400_000).selectExpr("'k' AS k", "id AS seq", "id * 50000 AS us")
+    n = LM.anchored_windows(df, ["k"], "us", 60).groupBy("opened").count()
+    assert sorted((r.opened, r["count"]) for r in n.collect()) == [(k * 60_000_000, min(1200, 400_000 - 1200 * k)) for k in range(334)]
+
+
+def test_api_quota_of_calls_without_key_or_time(spark):
+    df = spark.createDataFrame([("k", 5, 1), (None, 5, 2), ("k", None, 3), ("", 6, 4), ("k", 3_600_000_006, 5)], "key string, us long, seq long")
+    got = {r.seq: (r.n, r.reset_at) for r in LM.api_quota(df, "key", "us", "seq", 3).collect()}
+    assert got == {1: (1, 3_600_000_005), 2: (1, 3_600_000_005), 3: (None, None), 4: (1, 3_600_000_006), 5: (1, 7_200_000_006)}
+
+
 def test_pr_urls(spark):
     df = spark.createDataFrame([("https://github.com/o/r/pull/12/files",), ("github.com/o/r/pulls/3",), ("https://gitlab.com/o/r/pull/1",)], "url string")
     assert [(r.owner, r.repo_name, r.number) for r in L.pr_url_parts(df).collect()] == [("o", "r", 12), ("o", "r", 3), (None, None, None)]
