@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from patchlight.catalog.base import CTES, query
+from patchlight.operators import findings as FI
 from patchlight.session import shared_folder
 from patchlight.sources import carriers as K
 from patchlight.streaming import events as E
@@ -37,9 +38,9 @@ def timed(spark, sf):
     return K.table(spark, sf, "events").select("event_id", "user_id", F.expr(US).alias("us"))
 
 
-def _chain(key: str, seconds: int) -> str:
+def _chain(key: str, seconds: int, us: str = "epoch_us(ts)", where: str = "true") -> str:
     return f"""SELECT event_id, k, us, opened FROM (
-WITH RECURSIVE e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
+WITH RECURSIVE e AS (SELECT event_id, {key} AS k, {us} AS us, row_number() OVER (PARTITION BY {key} ORDER BY {us}, event_id) AS rn FROM events WHERE {where}),
  w AS (SELECT event_id, k, us, rn, us AS opened FROM e WHERE rn = 1
   UNION ALL SELECT e.event_id, e.k, e.us, e.rn, CASE WHEN e.us >= w.opened + {seconds}::BIGINT * 1000000 THEN e.us ELSE w.opened END FROM w JOIN e ON e.k = w.k AND e.rn = w.rn + 1)
 SELECT * FROM w)"""
@@ -124,3 +125,50 @@ def _(spark, sf):
         F.col("value").alias("duration_ms"), (F.col("event_id") % 5).alias("issue_count"),
         F.when(F.col("event_type") == "error", "HIGH").otherwise("LOW").alias("risk_level"))
     return _run(spark, J.repo_stats(s), "complete").select("repo", "total_reviews", "total_issues_found", "avg_duration_ms", "n_high")
+
+
+#: The month of the events table played in three and a half hours, so that minutes hold several events of a key.
+FAST = 200
+FAST_US = f"({US}) div {FAST}"
+CTES["c_fastwin"] = _chain("user_id % 2", 60, f"epoch_us(ts) // {FAST}")
+
+
+@query("st_rate_limit_stream", "SELECT event_id, k AS installation_id, row_number() OVER (PARTITION BY k, opened ORDER BY us, event_id) > 20 AS limited FROM c_fastwin")
+def _(spark, sf):
+    s = _stream(spark, sf).select("event_id", (F.col("user_id") % 2).alias("installation_id"), F.timestamp_micros(F.expr(FAST_US)).alias("ts"))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    L.start_rate_limit(s, f"{base}/out", base, order="event_id", once=True).awaitTermination()
+    return spark.read.schema(s.schema.add("limited", "boolean")).parquet(f"{base}/out").select("event_id", "installation_id", "limited")
+
+
+#: The month in a week: a change's forty events take three quarters of an hour.
+BRISK = 4
+BRISK_US = f"({US}) div {BRISK}"
+_SHA = f"'c' || (event_id // 40) || '-' || (epoch_us(ts) // {BRISK} // 3600000000)"
+CTES["c_runs"] = f"""SELECT k AS sha, opened, min(us) AS us, min_by(event_id, (us, event_id)) AS event_id, min_by(event_id, (us, event_id)) // 40 AS pr_id FROM (
+{_chain(_SHA, 1200, f"epoch_us(ts) // {BRISK}", "event_type <> 'signup'")}) GROUP BY 1, 2"""
+
+
+@query("st_review_job", """SELECT pr_id, sha, job, jobs, issue_count, risk_level, conclusion, superseded FROM (
+SELECT *, (us, job) < max((us, job)) OVER (PARTITION BY pr_id) AS superseded FROM (
+ SELECT r.pr_id, r.sha, max(r.us) AS us, max_by(r.event_id, (r.us, r.event_id)) AS job, count(*) AS jobs, any_value(coalesce(d.n, 0)) AS issue_count,
+  any_value(CASE WHEN d.pr_id IS NULL THEN 'N/A' WHEN d.n_error > 0 THEN 'HIGH' WHEN d.n_warning > 0 THEN 'MEDIUM' ELSE 'LOW' END) AS risk_level,
+  any_value(CASE WHEN d.pr_id IS NULL THEN 'failure' WHEN d.n > 0 THEN 'action_required' ELSE 'success' END) AS conclusion
+ FROM c_runs r LEFT JOIN (SELECT p.pr_id, count(f.ord) AS n, count(*) FILTER (severity = 'ERROR') AS n_error, count(*) FILTER (severity = 'WARNING') AS n_warning
+  FROM c_prs p LEFT JOIN c_find f USING (pr_id) GROUP BY 1) d ON d.pr_id = r.pr_id GROUP BY 1, 2))""")
+def _(spark, sf):
+    """Jobs of all events but sign-ups; a change is forty events, its head commit is a new one each hour."""
+    us = F.expr(BRISK_US)
+    pr = F.expr("event_id div 40")
+    sha = F.concat(F.lit("c"), pr.cast("string"), F.lit("-"), F.expr(f"{BRISK_US} div 3600000000").cast("string"))
+    s = _stream(spark, sf).where("event_type <> 'signup'")
+    jobs = s.select(F.concat(F.lit("org/repo"), (pr % 8).cast("string")).alias("repo"), pr.alias("pr_id"), sha.alias("sha"), F.col("event_id").alias("seq"), F.timestamp_micros(us).alias("ts"))
+
+    def review(accepted):
+        asked = accepted.select("pr_id").distinct()
+        found = FI.decisions(K.prs(spark, sf).join(asked, "pr_id", "left_semi"), K.findings(spark, sf).join(asked, "pr_id", "left_semi"))
+        return found.select("pr_id", F.col("n").alias("issue_count"), "risk_level", F.lit(None).cast("string").alias("error"))
+
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    J.start_review_table(jobs, review, base, once=True).awaitTermination()
+    return J.reviews(spark, base).select("pr_id", "sha", "job", "jobs", "issue_count", "risk_level", "conclusion", "superseded")

@@ -1,5 +1,7 @@
+import datetime
 import json
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from patchlight.sources import landed as L
 from patchlight.streaming import events as E
 from patchlight.streaming import jobs as J
 from patchlight.streaming import limits as LM
+from patchlight.streaming import upsert as U
 
 PR = '{"action":"%s","pull_request":{"html_url":"https://github.com/o/r/pull/1"},"installation":{"id":7}}'
 
@@ -103,6 +106,69 @@ def test_review_job_writes_each_batch_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+JOBS = "repo string, pr_id long, sha string, seq long, ts timestamp"
+
+
+def _table_run(spark, jobs, base, review):
+    stream = spark.readStream.schema(JOBS).option("maxFilesPerTrigger", 1).parquet(jobs)
+    J.start_review_table(stream, review, base, once=True).awaitTermination()
+    return {(r.pr_id, r.sha): r for r in J.reviews(spark, base).collect()}
+
+
+def test_review_table_has_one_row_per_commit(spark, tmp_path):
+    """Four micro-batches: a sha sent twice, a held lock across batches, a new review after it, a newer commit, a failed change, null keys."""
+    at = lambda m: datetime.datetime(2024, 1, 1, 10, 0) + datetime.timedelta(minutes=m)
+    batches = [
+        [("r", 1, "a", 1, at(0)), ("r", 1, "a", 2, at(1)), ("r", 2, "x", 3, at(2)), (None, 4, None, 4, at(0))],
+        [("r", 1, "a", 5, at(19)), ("r", 1, "b", 6, at(5)), ("r", 9, "z", 7, at(5)), (None, 4, None, 8, at(3))],
+        [("r", 1, "a", 9, at(20)), ("r", 3, "x", 10, at(4)), ("other", 3, "x", 11, at(4)), ("r", 5, "w", 12, None)],
+        [("r", 2, "y", 13, at(50))],
+    ]
+    seen = []
+
+    def review(jobs):
+        seen.append(sorted(r.seq for r in jobs.collect()))
+        known = jobs.select("pr_id").distinct().where("pr_id < 9")
+        return known.selectExpr("pr_id", "pr_id % 2 AS issue_count", "'LOW' AS risk_level", "IF(pr_id = 4, 'timeout', NULL) AS error")
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, JOBS).coalesce(1).write.parquet(f"{tmp_path}/jobs{k}")
+    base = str(tmp_path / "base")
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(4):
+        part = next((tmp_path / f"jobs{k}").glob("part-*"))
+        (source / f"{k}.parquet").write_bytes(part.read_bytes())
+        got = _table_run(spark, str(source), base, review)
+    assert seen == [[1, 3, 4], [6, 7], [9, 11], [13]]
+    rows = {k: (r.job, r.jobs, r.issue_count, r.risk_level, r.conclusion, r.error, r.superseded) for k, r in got.items()}
+    assert rows == {
+        (1, "a"): (9, 2, 1, "LOW", "action_required", None, False), (1, "b"): (6, 1, 1, "LOW", "action_required", None, True),
+        (2, "x"): (3, 1, 0, "LOW", "success", None, True), (2, "y"): (13, 1, 0, "LOW", "success", None, False),
+        (3, "x"): (11, 1, 1, "LOW", "action_required", None, False), (4, None): (4, 1, 0, "N/A", "failure", "timeout", False),
+        (9, "z"): (7, 1, 0, "N/A", "failure", "no such change", False),
+    }
+    assert _table_run(spark, str(source), base, review) == got and len(seen) == 4
+
+
+def test_upsert_run_again_changes_nothing(spark, tmp_path):
+    """An epoch written twice, also after a part of it was lost, leaves the rows of one write; older versions go."""
+    path, total = str(tmp_path / "t"), lambda both: both.groupBy("k").agg(F.sum("n").alias("n"))
+    schema = spark.createDataFrame([], "k string, n long").schema
+    batches = [[("a", 1), ("b", 1)], [("a", 2), (None, 5)], [("a", 3), ("c", 1)]]
+    for epoch, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        for _ in range(2):
+            U.upsert(df, path, ["k"], epoch, total, 4)
+        shutil.rmtree(f"{path}/epoch={epoch}")
+        U.upsert(df, path, ["k"], epoch, total, 4)
+        U.forget(spark, path, schema, epoch)
+    assert {tuple(r) for r in U.read(spark, path, schema).collect()} == {("a", 6), ("b", 1), (None, 5), ("c", 1)}
+    assert {tuple(r) for r in U.read(spark, path, schema, before=2).collect()} >= {("a", 3), (None, 5)}
+    versions = spark.read.parquet(path).select("epoch", "bucket").distinct().groupBy("bucket").count()
+    assert max(r["count"] for r in versions.collect()) <= 2
+
+
 def windows(ts, span):
     out, at = [], None
     for t in ts:
