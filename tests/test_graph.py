@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from patchlight.operators import budget as B
@@ -41,6 +44,46 @@ def test_budget_break_goes_on_with_the_next_group(spark):
     assert got == {(1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 0, 0)}
 
 
+@pytest.mark.parametrize("cell", [1, 7, 20_000])
+def test_budget_break_against_a_scan(spark, cell):
+    """Cells of one group, of a few, and whole changes; free rows, groups that take nothing, budgets that run out in the middle."""
+    rnd = random.Random(cell)
+    rows, budgets, want = [], [], set()
+    for pr in range(12):
+        budget = rnd.choice([0, 5, 40, 200])
+        budgets.append((pr, budget))
+        rest, stop = budget, False
+        for g in range(rnd.randrange(1, 40)):
+            fits = True
+            for o in range(rnd.randrange(1, 6)):
+                t = rnd.choice([0, 1, 3, 3, 17, 60])
+                rows.append((pr, g, o, t))
+                fits = fits and not stop and t <= rest
+                if fits:
+                    want.add((pr, g, o))
+                    rest -= t
+            stop = stop or rest <= 0
+    rows = spark.createDataFrame(rows, "pr_id long, g long, o long, tokens long")
+    got = B.budget_break(rows, spark.createDataFrame(budgets, "pr_id long, budget long"), ["g"], ["o"], cell)
+    assert {(r.pr_id, r.g, r.o) for r in got.collect()} == want
+
+
+def test_budget_break_of_one_change_with_very_many_groups(spark):
+    rows = spark.range(120_000).selectExpr("1L AS pr_id", "id div 3 AS g", "id AS o", "id % 5 AS tokens")
+    got = B.budget_break(rows, spark.createDataFrame([(1, 3000)], "pr_id long, budget long"), ["g"], ["o"])
+    used, last = 0, 0
+    for g in range(40_000):
+        for k in range(3):
+            t = (3 * g + k) % 5
+            if used + t > 3000:
+                break
+            used, last = used + t, 3 * g + k
+        if used >= 3000:
+            break
+    got = got.agg(F.sum("tokens").alias("t"), F.max("o").alias("o")).first()
+    assert (got.t, got.o) == (used, last)
+
+
 def test_budget_skip_tries_later_items(spark):
     rows = spark.createDataFrame([(1, 0, 5, 10), (1, 1, 50, 10), (1, 2, 5, 10), (1, 3, 1, 10)], "pr_id long, ord int, tokens long, budget long")
     assert sorted(r.ord for r in B.budget_skip(rows).collect()) == [0, 2]
