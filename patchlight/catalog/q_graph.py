@@ -11,7 +11,9 @@ from patchlight.operators import diff as D
 from patchlight.operators import findings as O
 from patchlight.operators import graph as G
 from patchlight.operators import names as N
+from patchlight.operators import refresh as RF
 from patchlight.plans import review as R
+from patchlight.session import cut_lineage
 from patchlight.sources import carriers as K
 
 CTES["c_chnodes"] = """SELECT DISTINCT n.* FROM c_fnodes n JOIN c_clines l ON l.pr_id = n.pr_id AND l.file = n.file AND l.kind = 'add'
@@ -252,3 +254,29 @@ WHERE (n.repo, n.file) IN (SELECT (repo, file) FROM c_nodes WHERE id % 100 = 0)"
 def _(spark, sf):
     nodes = K.nodes(spark, sf)
     return G.stale_edges(K.edges(spark, sf), nodes, nodes.where("id % 100 = 0")).select("caller_id", "callee_id")
+
+
+#: The graph after an edit: files of every hundredth node lose some nodes, rename others, and call what they called from the nodes that are left.
+_EDITED = "(repo, file) IN (SELECT (repo, file) FROM c_nodes WHERE id % 100 = 0)"
+CTES["c_nodes2"] = f"""SELECT repo, id, file, CASE WHEN {_EDITED} AND id % 3 = 1 THEN name || '_v2' ELSE name END AS name FROM c_nodes
+ WHERE NOT ({_EDITED} AND id % 5 = 0)"""
+CTES["c_calls2"] = "SELECT c.* FROM c_calls c JOIN c_nodes2 n ON n.id = c.caller_id"
+CTES["c_imports2"] = f"SELECT * FROM c_imports WHERE NOT ({_EDITED} AND length(name) % 2 = 0)"
+_REBUILT = CTES["c_res"].replace("c_calls", "c_calls2").replace("c_nodes", "c_nodes2").replace("c_imports", "c_imports2")
+
+
+@query("inc_refresh_edges", f"SELECT caller_id, callee_name, callee_short_name, callee_id, resolution FROM ({_REBUILT})")
+def _(spark, sf):
+    """Edges after the edit, from the edges before it and the calls that the edit can have changed."""
+    old, imports = cut_lineage(K.nodes(spark, sf).select("repo", "file", "id", "name")), cut_lineage(K.imports(spark, sf))
+    calls = cut_lineage(K.raw_calls(spark, sf).join(old.select(F.col("id").alias("caller_id"), "repo", "file"), "caller_id").select(*RF.CALL))
+    edges = cut_lineage(G.resolve_calls(calls.drop("repo", "file"), old, imports))
+    changed = cut_lineage(old.where("id % 100 = 0").select("repo", "file").distinct())
+    mine = old.join(changed, ["repo", "file"], "left_semi").where("id % 5 <> 0")
+    fresh = mine.withColumn("name", F.when(F.col("id") % 3 == 1, F.concat("name", F.lit("_v2"))).otherwise(F.col("name"))).select(*old.columns)
+    fresh_calls = calls.join(fresh.select(F.col("id").alias("caller_id")), "caller_id", "left_semi").select(*RF.CALL)
+    fresh_imports = imports.join(changed, ["repo", "file"], "left_semi").where("length(name) % 2 = 1").select(*imports.columns)
+    nodes = cut_lineage(G.replace_rows(old, fresh, changed))
+    moved = RF.moved_names(old.join(changed, ["repo", "file"], "left_semi"), fresh)
+    now = RF.refresh_edges(edges, G.replace_rows(calls, fresh_calls, changed), nodes, G.replace_rows(imports, fresh_imports, changed), changed, moved)
+    return now.select("caller_id", "callee_name", "callee_short_name", "callee_id", "resolution")

@@ -184,8 +184,8 @@ def candidate_paths(base: Column, extensions: list[str]) -> Column:
     )
 
 
-def ts_imports(files: DataFrame, keys: list[str], extensions: list[str] = C.INDEX_EXTENSIONS) -> DataFrame:
-    """TS/JS local bindings of relative imports and re-exports, resolved to files that exist."""
+def ts_imports(files: DataFrame, keys: list[str], extensions: list[str] = C.INDEX_EXTENSIONS, all_files: DataFrame | None = None) -> DataFrame:
+    """TS/JS local bindings of relative imports and re-exports, resolved to files that exist (all_files, where files are some of them)."""
     path = keys[-1]
     def pairs(pattern: str) -> Column:
         return F.arrays_zip(
@@ -211,7 +211,7 @@ def ts_imports(files: DataFrame, keys: list[str], extensions: list[str] = C.INDE
     tried = based.where("_base is not null").select(
         *keys, "module", "name", F.posexplode(candidate_paths(F.col("_base"), extensions)).alias("_n", "_cand"))
     scope = [k for k in keys if k != path]
-    existing = files.select(*scope, F.col(path).alias("_cand"))
+    existing = (files if all_files is None else all_files).select(*scope, F.col(path).alias("_cand"))
     return (
         tried.join(existing, [*scope, "_cand"])
         .groupBy(*keys, "module", "name").agg(F.min_by("_cand", "_n").alias("source_file"))
