@@ -93,12 +93,18 @@ def hunks(spark, sf):
     return D.hunk_ranges(K.prs(spark, sf, True))
 
 
+def scored_tables(spark, sf):
+    """Issues, goldens and hunks as tables: scoring reads each several times, and here they are derived."""
+    issues = K.findings(spark, sf).select("pr_id", "ord", "file", "line", "title", "description", "impact_statement", "evidence", "severity")
+    return cut_lineage(issues), cut_lineage(K.expected(spark, sf)), cut_lineage(hunks(spark, sf))
+
+
 def pairs(spark, sf):
-    return S.issue_pairs(K.findings(spark, sf), K.expected(spark, sf), hunks(spark, sf))
+    return S.issue_pairs(*scored_tables(spark, sf))
 
 
 def scores(spark, sf):
-    return S.score_samples(K.prs(spark, sf).select("pr_id"), K.findings(spark, sf), K.expected(spark, sf), hunks(spark, sf))
+    return S.score_samples(K.prs(spark, sf).select("pr_id"), *scored_tables(spark, sf))
 
 
 def goldens(spark, sf):
@@ -161,7 +167,7 @@ def _(spark, sf):
 
 @query("sc_miss_reason", "SELECT e.pr_id, e.id, coalesce(r.reason, 'not_detected') AS reason FROM c_exp e LEFT JOIN c_reason r ON r.pr_id = e.pr_id AND r.expected_ord = e.ord")
 def _(spark, sf):
-    return S.miss_reasons(K.findings(spark, sf), K.expected(spark, sf), hunks(spark, sf)).select("pr_id", "id", "reason")
+    return S.miss_reasons(*scored_tables(spark, sf)).select("pr_id", "id", "reason")
 
 
 @query("match_constrained", "SELECT pr_id, array_to_string(list_sort(matched), ',') AS matched, duplicates FROM c_match")

@@ -115,7 +115,8 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("event_id") % n).alias("pr_id"),
     ).withColumn("doc_id", F.col("pr_id") * 4 + F.col("user_id") % 4)
     words = docs.select("doc_id", "source", F.split("text", "[\n ]").alias("words"))
-    j = ev.join(words, "doc_id")
+    # Where events are few, Spark would broadcast them and split a text once for each of its events instead of once.
+    j = ev.join(words.hint("merge"), "doc_id")
     word = F.element_at("words", (F.col("event_id") % F.size("words")).cast("int") + 1)
     return j.select(
         "pr_id", F.col("event_id").alias("ord"), doc_file().alias("file"),
