@@ -277,6 +277,38 @@ def _(spark, sf):
     return gated(spark, sf).select("pr_id", "file").intersect(blast_files)
 
 
+#: A reviewer per change and category; how its run ended hangs on its last finding.
+CTES["c_agents"] = """SELECT pr_id, category AS agent, list_position(['security', 'performance', 'quality'], category) AS place,
+ CASE max(ord) % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'format_error' ELSE 'success' END AS status, count(*) || ' findings' AS error_message FROM c_find GROUP BY pr_id, category"""
+CTES["c_failures"] = """SELECT a.pr_id, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') = 0 AND any_value(d.pr_id) IS NULL AS aborted,
+ string_agg(agent || '(' || status || ': ' || error_message || ')', '; ' ORDER BY place) FILTER (status <> 'success') AS notes
+FROM c_agents a LEFT JOIN (SELECT pr_id FROM c_shits UNION SELECT pr_id FROM c_vfind) d ON d.pr_id = a.pr_id GROUP BY a.pr_id"""
+
+
+def reviewers(spark, sf):
+    place = F.array_position(F.array(*[F.lit(c) for c in ("security", "performance", "quality")]), F.col("category"))
+    runs = K.findings(spark, sf).groupBy("pr_id", "category").agg(F.max("ord").alias("_last"), F.count("*").alias("_n"))
+    return runs.select(
+        "pr_id", F.col("category").alias("agent"), place.alias("place"),
+        F.when(F.col("_last") % 4 == 0, "timeout").when(F.col("_last") % 4 == 1, "format_error").otherwise("success").alias("status"),
+        F.concat(F.col("_n").cast("string"), F.lit(" findings")).alias("error_message"))
+
+
+@query("agents_failed", "SELECT pr_id, failed, aborted, CASE WHEN aborted THEN 'no reviewer succeeded: ' || notes END AS error FROM c_failures")
+def _(spark, sf):
+    found = CK.scan_findings(scan_hits(spark, sf), "security").select("pr_id").unionByName(check_findings(spark, sf).select("pr_id"))
+    return R.reviewer_failures(reviewers(spark, sf), found)
+
+
+@query("review_input", """SELECT source_no, pr_id, count(*) AS n FROM (
+ SELECT 0 AS source_no, f.pr_id FROM c_find f JOIN c_agents a ON a.pr_id = f.pr_id AND a.agent = f.category AND a.status = 'success'
+ UNION ALL SELECT 1, pr_id FROM c_shits UNION ALL SELECT 2, pr_id FROM c_vfind) GROUP BY 1, 2""")
+def _(spark, sf):
+    said = K.findings(spark, sf).withColumn("agent", F.col("category"))
+    joined, _fails = R.review_input(said, reviewers(spark, sf), CK.scan_findings(scan_hits(spark, sf), "security"), check_findings(spark, sf))
+    return joined.groupBy("source_no", "pr_id").agg(F.count("*").alias("n"))
+
+
 CTES["c_asm"] = """SELECT p.pr_id, p.title AS summary, len(p.files) AS files_changed, coalesce(b.n, 0) AS before_gate, coalesce(a.n, 0) AS after_gate,
  coalesce(a.e, 0) AS n_error, coalesce(a.w, 0) AS n_warning, coalesce(a.i, 0) AS n_info
 FROM c_prs p LEFT JOIN (SELECT pr_id, count(*) AS n FROM c_judged GROUP BY 1) b USING (pr_id)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.catalog import ctes as T
-from patchlight.catalog.base import CTES, query
+from patchlight.catalog.base import CTES, ORACLE, query
 from patchlight.catalog.q_diff import lines_of
 from patchlight.functions import columns as X
 from patchlight.operators import code as CD
@@ -136,10 +136,20 @@ def _(spark, sf):
 CTES["c_rows"] = "SELECT repo, file, unnest(string_split(content, chr(10))) AS r, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM c_files"
 
 
-@query("fn_calls")
+#: Functions as fn_functions finds them, and calls outside strings and comments with the last of the functions around them.
+CTES["c_fns"] = ORACLE["fn_functions"]
+_NO_CALL = ", ".join(f"'{n}'" for n in [*C.NOT_FUNCTIONS, "function", "def"])
+
+
+@query("fn_calls", rf"""SELECT c.repo, c.file, arg_max(f.name, (f.start_line, f.end_line)) AS caller_name, c.callee_name, string_split(c.callee_name, '.')[-1] AS callee_short_name, c.i AS line FROM (
+ SELECT DISTINCT repo, file, i, unnest(regexp_extract_all(q, '([A-Za-z_][\w.]*)\s*\(', 1)) AS callee_name,
+  list_concat(regexp_extract_all(q, '\bdef\s+(\w+)\s*\(', 1), regexp_extract_all(q, '\bfunction\b\s*\*?\s*(\w+)\s*\(', 1)) AS defined
+ FROM (SELECT repo, file, i, regexp_replace(CASE WHEN ends_with(file, '.py') THEN regexp_replace(r, '#.*$', '') ELSE r END, '"[^"]*"', '""', 'g') AS q FROM c_rows)) c
+JOIN c_fns f ON f.repo = c.repo AND f.file = c.file AND c.i BETWEEN f.start_line AND f.end_line
+WHERE NOT list_contains(defined, c.callee_name) AND c.callee_name NOT IN ({_NO_CALL}) GROUP BY ALL""")
 def _(spark, sf):
     files = K.source_files(spark, sf).select("repo", "file", "content")
-    return CD.calls(files, CD.functions(files))
+    return CD.calls(files, CD.functions(files)).select("repo", "file", "caller_name", "callee_name", "callee_short_name", F.col("line").cast("bigint").alias("line"))
 
 
 @query("fn_finding_text", f"SELECT ord, {T.FTEXT} AS text, (coalesce(title, '') || chr(10) || coalesce(description, '') || chr(10) || coalesce(impact_statement, 'None') || chr(10) || coalesce(array_to_string(evidence, chr(10)), '')) AS scored FROM c_find")

@@ -51,6 +51,29 @@ def judge(findings: DataFrame, import_checks: DataFrame | None = None, export_ch
     return O.keep_severity(O.reduce_noise(O.recategorize(kept), min_confidence), severity)
 
 
+def reviewer_failures(outcomes: DataFrame, deterministic: DataFrame) -> DataFrame:
+    """pr_id, failed, aborted, error for changes that a reviewer ran on; outcomes: pr_id, place, agent, status, error_message.
+
+    A change is aborted when none of its reviewers succeeded and neither scanner nor checks found anything (deterministic: pr_id); with such findings the
+    review goes on with them alone. Reviewers of a change are a handful, and their notes stand in the order of their places.
+    """
+    bad = F.col("status") != "success"
+    note = F.concat("agent", F.lit("("), "status", F.lit(": "), F.coalesce("error_message", F.lit("")), F.lit(")"))
+    per = outcomes.groupBy("pr_id").agg(
+        F.count_if(bad).alias("failed"), F.count_if(~bad).alias("_ok"), F.sort_array(F.collect_list(F.when(bad, F.struct("place", note.alias("note"))))).alias("_notes"))
+    found = deterministic.select("pr_id").distinct().withColumn("_found", F.lit(True))
+    joined = per.join(found, "pr_id", "left").withColumn("aborted", (F.col("_ok") == 0) & F.col("_found").isNull())
+    notes = F.array_join(F.transform("_notes", lambda n: n["note"]), "; ")
+    return joined.select("pr_id", "failed", "aborted", F.when(F.col("aborted"), F.concat(F.lit("no reviewer succeeded: "), notes)).alias("error"))
+
+
+def review_input(findings: DataFrame, outcomes: DataFrame, scanner: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the judge gets, and reviewer_failures. findings: with pr_id and agent, from reviewers; only those of reviewers that succeeded count."""
+    fails = reviewer_failures(outcomes, scanner.select("pr_id").unionByName(checks.select("pr_id")))
+    good = findings.join(outcomes.where("status = 'success'").select("pr_id", "agent").distinct(), ["pr_id", "agent"], "left_semi")
+    return union_sources(good, scanner, checks), fails
+
+
 def impact_findings(pairs: DataFrame, reason: Column) -> DataFrame:
     """(finding, caller) pairs with a reason become findings at the caller, one step less severe."""
     return pairs.where(reason.isNotNull() & (reason != "")).select(

@@ -147,9 +147,9 @@ def bench_run(payloads: DataFrame, text: str = "payload") -> DataFrame:
 
 
 def write_reviews(reviews: DataFrame, path: str) -> None:
-    """One JSON payload per change, partitioned by run."""
-    reviews.select("run_id", F.to_json(F.struct(*[c for c in reviews.columns if c != "run_id"])).alias("value")).write.mode(
-        "append").partitionBy("run_id").text(path)
+    """One JSON payload per change, partitioned by run. A run that is written again replaces its results; other runs stay."""
+    payload = reviews.select("run_id", F.to_json(F.struct(*[c for c in reviews.columns if c != "run_id"])).alias("value"))
+    payload.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").text(path)
 
 
 def dataset_items(samples: DataFrame, expected: DataFrame) -> DataFrame:

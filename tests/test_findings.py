@@ -111,3 +111,28 @@ def test_decisions_cover_changes_without_findings(spark):
     rows = [finding(0, pr_id=1), finding(1, pr_id=2, severity="WARNING"), finding(2, pr_id=3, severity="INFO")]
     got = {r.pr_id: (r.merge_decision, r.final_decision, r.risk_level) for r in O.decisions(prs, table(spark, rows)).collect()}
     assert got == {1: ("REQUEST_CHANGES", "REQUEST_CHANGES", "HIGH"), 2: ("COMMENT", "COMMENT", "MEDIUM"), 3: ("APPROVE", "COMMENT", "LOW"), 4: ("APPROVE", "APPROVE", "LOW")}
+
+
+def test_review_without_a_reviewer_that_succeeded(spark):
+    from patchlight.plans import review as R
+
+    outcomes = spark.createDataFrame(
+        [(1, 1, "security", "timeout", "t"), (1, 0, "quality", "format_error", None), (2, 0, "quality", "timeout", "t"), (3, 0, "quality", "success", None), (3, 1, "security", "timeout", "x")],
+        "pr_id long, place int, agent string, status string, error_message string")
+    scanner = spark.createDataFrame([(2, "s"), (9, "s")], "pr_id long, title string")
+    checks = spark.createDataFrame([(3, "c")], "pr_id long, title string")
+    said = spark.createDataFrame([(1, "quality", "lost"), (3, "quality", "kept"), (3, "security", "lost")], "pr_id long, agent string, title string")
+    joined, fails = R.review_input(said, outcomes, scanner, checks)
+    assert {(r.pr_id, r.failed, r.aborted, r.error) for r in fails.collect()} == {
+        (1, 2, True, "no reviewer succeeded: quality(format_error: ); security(timeout: t)"), (2, 1, False, None), (3, 1, False, None)}
+    assert {(r.source_no, r.pr_id, r.title) for r in joined.collect()} == {(0, 3, "kept"), (1, 2, "s"), (1, 9, "s"), (2, 3, "c")}
+
+
+def test_reviews_of_a_run_written_again_replace_it(spark, tmp_path):
+    from patchlight.sources import landed as L
+
+    rows = lambda run, n: spark.createDataFrame([(run, k, "x") for k in range(n)], "run_id string, pr_id long, title string")
+    for run, n in (("a", 3), ("b", 2), ("a", 4)):
+        L.write_reviews(rows(run, n), str(tmp_path / "out"))
+    got = spark.read.text(str(tmp_path / "out")).groupBy("run_id").count()
+    assert {(r.run_id, r["count"]) for r in got.collect()} == {("a", 4), ("b", 2)}
