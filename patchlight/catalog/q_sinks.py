@@ -37,9 +37,9 @@ def _(spark, sf):
     return O.review_comments_raw(K.findings(spark, sf))
 
 
-@query("rpt_inline_body", """SELECT ord, CASE severity WHEN 'ERROR' THEN '**[blocking]** 🔴' WHEN 'WARNING' THEN '**[non-blocking]** 🟡' ELSE '**[nitpick]** ℹ️' END || ' **' || title || '**' || chr(10) || chr(10) || description
- || CASE WHEN length(impact_type) > 0 THEN chr(10) || chr(10) || '影响类型: `' || impact_type || '`' ELSE '' END
- || CASE WHEN length(impact_statement) > 0 THEN chr(10) || chr(10) || '具体后果: ' || impact_statement ELSE '' END AS body FROM c_find""")
+@query("rpt_inline_body", f"""SELECT ord, CASE severity WHEN 'ERROR' THEN '**[blocking]** 🔴' WHEN 'WARNING' THEN '**[non-blocking]** 🟡' ELSE '**[nitpick]** ℹ️' END || ' **' || title || '**' || chr(10) || chr(10) || description
+ || CASE WHEN length(impact_type) > 0 THEN chr(10) || chr(10) || '{C.INLINE_IMPACT}`' || impact_type || '`' ELSE '' END
+ || CASE WHEN length(impact_statement) > 0 THEN chr(10) || chr(10) || '{C.INLINE_CONSEQUENCE}' || impact_statement ELSE '' END AS body FROM c_find""")
 def _(spark, sf):
     return K.findings(spark, sf).select("ord", O.inline_body().alias("body"))
 
@@ -110,7 +110,13 @@ def _(spark, sf):
     return R.score_markdown(s, S.totals(s))
 
 
-@query("rpt_review_md")
+@query("rpt_review_md", """SELECT pr_id AS id, 0 AS part, 0 AS idx, concat_ws(chr(10), '# ' || pr_id, '', 'PR: ' || url, 'Summary: ' || title,
+ 'Risk: ' || CASE WHEN n_error > 0 THEN 'HIGH' WHEN n_warning > 0 THEN 'MEDIUM' ELSE 'LOW' END,
+ 'Recommendation: ' || CASE WHEN n = 0 THEN 'APPROVE' WHEN n_error > 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END, 'Issues: ' || n, '', '## Findings',
+ CASE WHEN n = 0 THEN chr(10) || 'No findings.' END) AS text FROM c_decide JOIN c_prs USING (pr_id)
+UNION ALL SELECT pr_id, 1, ord // 7, concat_ws(chr(10), '### ' || (ord // 7) || '. ' || coalesce(title, ''), '- severity: ' || coalesce(severity, ''),
+ '- file: ' || coalesce(file, '') || ':' || coalesce(line::VARCHAR, ''), '- confidence: ' || coalesce(confidence::VARCHAR, ''),
+ '- description: ' || coalesce(description, ''), '- evidence: ' || coalesce(array_to_string(evidence, ', '), ''), '- human_label: TODO', '- label_reason: TODO', '') FROM c_gate""")
 def _(spark, sf):
     idx = F.expr("ord div 7")
     issues = gated(spark, sf).select(F.col("pr_id").alias("id"), "ord", idx.alias("idx"), *[c for c in O.finding_row() if c != "token_cost"])
@@ -119,11 +125,11 @@ def _(spark, sf):
     return R.review_markdown(res.select("id", "url"), res.drop("url"), issues)
 
 
-@query("rpt_review_body", """SELECT f.pr_id, 1 AS part, f.ord, '| ' || CASE severity WHEN 'ERROR' THEN '**[blocking]** 🔴' WHEN 'WARNING' THEN '**[non-blocking]** 🟡' ELSE '**[nitpick]** ℹ️' END || ' | `' || f.file || '` | ' || title || ' |' AS text
+@query("rpt_review_body", f"""SELECT f.pr_id, 1 AS part, f.ord, '| ' || CASE severity WHEN 'ERROR' THEN '**[blocking]** 🔴' WHEN 'WARNING' THEN '**[non-blocking]** 🟡' ELSE '**[nitpick]** ℹ️' END || ' | `' || f.file || '` | ' || title || ' |' AS text
 FROM c_gate f LEFT JOIN c_clines m ON m.pr_id = f.pr_id AND m.file = f.file AND m.new_line = f.line AND m.kind = 'add' WHERE m.position IS NULL
-UNION ALL SELECT p.pr_id, 0, 0, '## Review' || chr(10) || chr(10) || '**风险等级**: ' || CASE WHEN n_error > 0 THEN 'HIGH' WHEN n_warning > 0 THEN 'MEDIUM' ELSE 'LOW' END || chr(10) || chr(10) || '**总结**: ' || title || chr(10)
+UNION ALL SELECT p.pr_id, 0, 0, '## Review' || chr(10) || chr(10) || '{C.REVIEW_RISK}' || CASE WHEN n_error > 0 THEN 'HIGH' WHEN n_warning > 0 THEN 'MEDIUM' ELSE 'LOW' END || chr(10) || chr(10) || '{C.REVIEW_SUMMARY}' || title || chr(10)
  || CASE WHEN EXISTS (SELECT 1 FROM c_gate f LEFT JOIN c_clines m ON m.pr_id = f.pr_id AND m.file = f.file AND m.new_line = f.line AND m.kind = 'add' WHERE f.pr_id = p.pr_id AND m.position IS NULL)
-   THEN chr(10) || '## 未定位问题' || chr(10) || '| 严重程度 | 文件 | 问题 |' || chr(10) || '|----------|------|------|' ELSE '' END FROM c_prs p JOIN c_decide USING (pr_id)""")
+   THEN chr(10) || '{C.REVIEW_UNPLACED}' ELSE '' END FROM c_prs p JOIN c_decide USING (pr_id)""")
 def _(spark, sf):
     prs = K.prs(spark, sf)
     add, rem = D.diff_stats(F.col("diff"))

@@ -21,7 +21,7 @@ def package_checks(refs: DataFrame, deps: DataFrame, manifests: DataFrame) -> Da
     status = F.when(F.col("_has").isNull(), "unknown").when(F.col("section").isNotNull(), "pass").otherwise("fail")
     detail = (
         F.when(F.col("_has").isNull(), "package.json not found").when(F.col("section").isNotNull(), F.col("section"))
-        .otherwise(F.concat("_package", F.lit(" not declared in package.json")))
+        .otherwise(F.concat("_package", F.lit(C.CHECK_UNDECLARED)))
     )
     return joined.withColumn("status", status).withColumn("detail", detail).withColumn(
         "target_file", F.lit(None).cast("string")).drop("_package", "section", "_has")
@@ -46,7 +46,7 @@ def relative_targets(pairs: DataFrame, repo_files: DataFrame) -> DataFrame:
         "repo", "file", "module", "target_file",
         F.when(F.col("_out"), "unknown").when(hit, "pass").otherwise("fail").alias("status"),
         F.when(F.col("_out"), "relative import resolves outside repository").when(hit, F.col("target_file"))
-        .otherwise(F.concat("module", F.lit(" not found from "), "file")).alias("detail"))
+        .otherwise(F.concat("module", F.lit(C.CHECK_NOT_FOUND), "file")).alias("detail"))
 
 
 def alias_targets(pairs: DataFrame, rules: DataFrame, repo_files: DataFrame) -> DataFrame:
@@ -79,9 +79,9 @@ def alias_targets(pairs: DataFrame, rules: DataFrame, repo_files: DataFrame) ->
     hit = F.col("target_file").isNotNull()
     status = F.when(F.col("_unset") | F.col("_out"), "unknown").when(hit, "pass").otherwise("fail")
     detail = (
-        F.when(F.col("_unset"), F.concat(F.lit("path alias for "), "module", F.lit(" is not configured")))
+        F.when(F.col("_unset"), F.concat(F.lit(C.CHECK_ALIAS), "module", F.lit(C.CHECK_UNSET)))
         .when(F.col("_out"), "path alias baseUrl resolves outside repository").when(hit, F.col("target_file"))
-        .otherwise(F.concat("module", F.lit(" not found from "), "file"))
+        .otherwise(F.concat("module", F.lit(C.CHECK_NOT_FOUND), "file"))
     )
     return found.select("repo", "file", "module", F.when(status == "pass", F.col("target_file")).alias("target_file"),
                         status.alias("status"), detail.alias("detail"))
@@ -125,7 +125,7 @@ def export_checks(symbols: DataFrame, exports: DataFrame, rules: DataFrame, repo
     detail = (
         F.when(~resolved, F.col("detail")).when(F.col("_named"), "named export found")
         .when(F.col("_star"), "export * re-export requires recursive resolution")
-        .otherwise(F.concat("symbol", F.lit(" is not exported by "), "target_file"))
+        .otherwise(F.concat("symbol", F.lit(C.CHECK_NOT_EXPORTED), "target_file"))
     )
     return joined.select(
         *symbols.columns, F.when(status == "pass", F.col("target_file")).alias("target_file"),

@@ -288,13 +288,15 @@ def inline_split(findings: DataFrame, positions: DataFrame) -> DataFrame:
     ).drop("map_position")
 
 
-def inline_body() -> Column:
+def inline_body(suggestion: Column | None = None) -> Column:
+    """Text of a comment at a line; lines for what a finding does not have are left out."""
+    def line(label: str, value: Column, mark: str = "") -> Column:
+        return F.when(F.length(value) > 0, F.concat(F.lit("\n\n" + label + mark), value, F.lit(mark))).otherwise("")
+
     return F.concat(
         X.inline_label(F.col("severity")), F.lit(" **"), F.col("title"), F.lit("**\n\n"), F.col("description"),
-        F.when(F.length("impact_type") > 0, F.concat(F.lit("\n\n影响类型: `"), F.col("impact_type"), F.lit("`")))
-        .otherwise(""),
-        F.when(F.length("impact_statement") > 0, F.concat(F.lit("\n\n具体后果: "), F.col("impact_statement")))
-        .otherwise(""),
+        line(C.INLINE_IMPACT, F.col("impact_type"), "`"), line(C.INLINE_CONSEQUENCE, F.col("impact_statement")),
+        F.lit("") if suggestion is None else line(C.INLINE_SUGGESTION, suggestion),
     )
 
 

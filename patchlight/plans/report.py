@@ -6,12 +6,15 @@ findings thus never becomes one cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlight import constants as C
 from patchlight.functions import columns as X
 
-HEAD, ITEM, TAIL = 0, 1, 2
+HEAD, ITEM = 0, 1
+#: Parts of a review body that has a walkthrough.
+WALK, OPEN = 1, 2
 
 
 def _s(c: str):
@@ -52,28 +55,35 @@ def score_markdown(scores: DataFrame, totals: DataFrame) -> DataFrame:
     return head.unionByName(rows)
 
 
-def review_body(summary: DataFrame, coverage: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Blocks of a posted review: header, coverage note of large changes, rows of unplaced findings.
+def _coverage_note(first: int = 5) -> Column:
+    """What a reader of a large change's review must know: how much of it was read, and what was left out."""
+    n = lambda c: F.col(c).cast("string")
+    more = F.when(F.col("skipped_mechanical") > first, F.concat(F.lit(" and "), (F.col("skipped_mechanical") - first).cast("string"), F.lit(" more"))).otherwise("")
+    paths = F.array_join(F.transform("skipped_first", lambda p: F.concat(F.lit("`"), p, F.lit("`"))), ", ")
+    left_out = F.when(F.col("skipped_mechanical") > 0, F.concat(F.lit("\n> Left out as mechanical edits: "), paths, more)).otherwise("")
+    read = F.concat(F.lit("\n> Large change: "), n("reviewed"), F.lit(" of "), n("total"), F.lit(" files were read ("), n("changed_lines"), F.lit(" changed lines). Smaller changes get a full review."))
+    return F.when(F.col("is_large_pr"), F.concat(read, left_out)).otherwise("")
+
+
+def review_body(summary: DataFrame, coverage: DataFrame, fallback: DataFrame, walkthrough: DataFrame | None = None) -> DataFrame:
+    """Blocks of a posted review: header, coverage note of large changes, walkthrough, rows of unplaced findings.
 
     summary: pr_id, risk_level, summary, changed_lines. coverage: pr_id, total, reviewed, is_large_pr,
-    skipped_first (at most five paths), skipped_mechanical (count). fallback: pr_id, ord, severity, file, title.
+    skipped_first (at most five paths), skipped_mechanical (count). fallback: pr_id, ord, severity, file, title. walkthrough: pr_id, ord, file, note; its
+    rows stand in part WALK, and the heading of unplaced findings is a block of its own after them.
     """
-    skipped = F.when(
-        F.col("skipped_mechanical") > 0,
-        F.concat(F.lit("\n> 跳过文件："), F.array_join(F.transform("skipped_first", lambda p: F.concat(F.lit("`"), p, F.lit("`"))), "、"),
-                 F.when(F.col("skipped_mechanical") > 5, F.concat(F.lit(" 等 "), F.col("skipped_mechanical").cast("string"), F.lit(" 个文件"))).otherwise(""),
-                 F.lit("（全为格式化/重命名等机械改动）"))).otherwise("")
-    note = F.when(
-        F.col("is_large_pr"),
-        F.concat(F.lit("\n> ⚠️ **大 PR 提示**：本 PR 包含 "), F.col("total").cast("string"), F.lit(" 个文件 / "), F.col("changed_lines").cast("string"),
-                 F.lit(" 行改动，超过建议上限。\n> AI 审查覆盖不完整，建议拆分后重新提交。\n>\n> 📊 **覆盖范围**：审查了 "), F.col("reviewed").cast("string"),
-                 F.lit("/"), F.col("total").cast("string"), F.lit(" 个文件"), skipped)).otherwise("")
     any_open = fallback.select("pr_id").distinct().withColumn("_open", F.lit(True))
+    unplaced = F.lit("\n" + C.REVIEW_UNPLACED)
+    below = F.when(F.col("_open"), unplaced).otherwise("") if walkthrough is None else F.lit("")
     head = summary.join(coverage, "pr_id", "left").join(any_open, "pr_id", "left").select(
         "pr_id", F.lit(HEAD).alias("part"), F.lit(0).cast("bigint").alias("ord"),
-        F.concat(F.lit("## Review\n\n**风险等级**: "), "risk_level", F.lit("\n\n**总结**: "), "summary", F.lit("\n"), F.coalesce(note, F.lit("")),
-                 F.when(F.col("_open"), "\n## 未定位问题\n| 严重程度 | 文件 | 问题 |\n|----------|------|------|").otherwise("")).alias("text"))
+        F.concat(F.lit("## Review\n\n" + C.REVIEW_RISK), "risk_level", F.lit("\n\n" + C.REVIEW_SUMMARY), "summary", F.lit("\n"), F.coalesce(_coverage_note(), F.lit("")), below).alias("text"))
+    first = ITEM if walkthrough is None else OPEN
     rows = fallback.select(
-        "pr_id", F.lit(ITEM).alias("part"), "ord",
+        "pr_id", F.lit(first).alias("part"), "ord",
         F.concat(F.lit("| "), X.inline_label(F.col("severity")), F.lit(" | `"), "file", F.lit("` | "), "title", F.lit(" |")).alias("text"))
-    return head.unionByName(rows)
+    if walkthrough is None:
+        return head.unionByName(rows)
+    block = lambda df, part, text: df.select("pr_id").distinct().select("pr_id", F.lit(part).alias("part"), F.lit(-1).cast("bigint").alias("ord"), text.alias("text"))
+    walk = walkthrough.select("pr_id", F.lit(WALK).alias("part"), "ord", F.concat(F.lit("| `"), "file", F.lit("` | "), "note", F.lit(" |")).alias("text"))
+    return head.unionByName(block(walkthrough, WALK, F.lit("\n" + C.REVIEW_WALKTHROUGH))).unionByName(walk).unionByName(block(fallback, OPEN, unplaced)).unionByName(rows)

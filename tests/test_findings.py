@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from patchlight import constants as C
 from patchlight.operators import diff as D
 from patchlight.operators import findings as O
 from patchlight.operators.similar import salted_first, similar_sets
@@ -136,3 +137,29 @@ def test_reviews_of_a_run_written_again_replace_it(spark, tmp_path):
         L.write_reviews(rows(run, n), str(tmp_path / "out"))
     got = spark.read.text(str(tmp_path / "out")).groupBy("run_id").count()
     assert {(r.run_id, r["count"]) for r in got.collect()} == {("a", 4), ("b", 2)}
+
+
+def test_posted_review_of_a_large_change(spark):
+    from patchlight.plans import report as RP
+
+    summary = spark.createDataFrame([(1, "HIGH", "s", 900), (2, "LOW", "t", 3)], "pr_id long, risk_level string, summary string, changed_lines long")
+    coverage = spark.createDataFrame([(1, 40, 30, True, ["a", "b", "c", "d", "e"], 7), (2, 1, 1, False, None, 0)],
+                                     "pr_id long, total long, reviewed long, is_large_pr boolean, skipped_first array<string>, skipped_mechanical long")
+    fallback = spark.createDataFrame([(1, 5, "ERROR", "f.py", "boom")], "pr_id long, ord long, severity string, file string, title string")
+    walk = spark.createDataFrame([(1, 0, "f.py", "adds f"), (1, 1, "g.py", "drops g")], "pr_id long, ord long, file string, note string")
+    text = lambda df, pr: "\n".join(r.text for r in df.where(F.col("pr_id") == pr).orderBy("part", "ord").collect())
+    plain, whole = RP.review_body(summary, coverage, fallback), RP.review_body(summary, coverage, fallback, walk)
+    assert "30 of 40 files were read (900 changed lines)" in text(plain, 1) and "`a`, `b`, `c`, `d`, `e` and 2 more" in text(plain, 1)
+    assert text(plain, 2) == text(whole, 2) and "Large" not in text(plain, 2)
+    lines = text(whole, 1).split("\n")
+    assert lines.index("| `f.py` | adds f |") < lines.index("| `g.py` | drops g |") < lines.index("| **[blocking]** 🔴 | `f.py` | boom |")
+    added = ["| `f.py` | adds f |", "| `g.py` | drops g |", *C.REVIEW_WALKTHROUGH.split("\n")]
+    assert [x for x in lines if x and x not in added] == [x for x in text(plain, 1).split("\n") if x]
+
+
+def test_comment_with_a_suggestion(spark):
+    row = spark.createDataFrame([("ERROR", "t", "d", None, "", "use x"), ("INFO", "t", "d", "perf", "slow", None)],
+                                "severity string, title string, description string, impact_type string, impact_statement string, fix string")
+    got = [r.b for r in row.select(O.inline_body(F.col("fix")).alias("b")).collect()]
+    assert got[0].endswith("d\n\n" + C.INLINE_SUGGESTION + "use x") and C.INLINE_IMPACT not in got[0]
+    assert got[1].endswith("d\n\n" + C.INLINE_IMPACT + "`perf`\n\n" + C.INLINE_CONSEQUENCE + "slow")
