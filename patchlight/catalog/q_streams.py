@@ -145,7 +145,7 @@ def _(spark, sf):
 BRISK = 4
 BRISK_US = f"({US}) div {BRISK}"
 _SHA = f"'c' || (event_id // 40) || '-' || (epoch_us(ts) // {BRISK} // 3600000000)"
-CTES["c_runs"] = f"""SELECT k AS sha, opened, min(us) AS us, min_by(event_id, (us, event_id)) AS event_id, min_by(event_id, (us, event_id)) // 40 AS pr_id FROM (
+CTES["c_jobruns"] = f"""SELECT k AS sha, opened, min(us) AS us, min_by(event_id, (us, event_id)) AS event_id, min_by(event_id, (us, event_id)) // 40 AS pr_id FROM (
 {_chain(_SHA, 1200, f"epoch_us(ts) // {BRISK}", "event_type <> 'signup'")}) GROUP BY 1, 2"""
 
 
@@ -154,7 +154,7 @@ SELECT *, (us, job) < max((us, job)) OVER (PARTITION BY pr_id) AS superseded FRO
  SELECT r.pr_id, r.sha, max(r.us) AS us, max_by(r.event_id, (r.us, r.event_id)) AS job, count(*) AS jobs, any_value(coalesce(d.n, 0)) AS issue_count,
   any_value(CASE WHEN d.pr_id IS NULL THEN 'N/A' WHEN d.n_error > 0 THEN 'HIGH' WHEN d.n_warning > 0 THEN 'MEDIUM' ELSE 'LOW' END) AS risk_level,
   any_value(CASE WHEN d.pr_id IS NULL THEN 'failure' WHEN d.n > 0 THEN 'action_required' ELSE 'success' END) AS conclusion
- FROM c_runs r LEFT JOIN (SELECT p.pr_id, count(f.ord) AS n, count(*) FILTER (severity = 'ERROR') AS n_error, count(*) FILTER (severity = 'WARNING') AS n_warning
+ FROM c_jobruns r LEFT JOIN (SELECT p.pr_id, count(f.ord) AS n, count(*) FILTER (severity = 'ERROR') AS n_error, count(*) FILTER (severity = 'WARNING') AS n_warning
   FROM c_prs p LEFT JOIN c_find f USING (pr_id) GROUP BY 1) d ON d.pr_id = r.pr_id GROUP BY 1, 2))""")
 def _(spark, sf):
     """Jobs of all events but sign-ups; a change is forty events, its head commit is a new one each hour."""
