@@ -1,13 +1,19 @@
 """Functions and calls of source files, from lines, indents and braces.
 
-A source file is one cell of at most 500 KB; the arrays built per file are bounded by that.
+A source file is one cell of at most `MAX_SOURCE_BYTES` (readers leave out longer ones); the arrays built per file are bounded by that.
+Rows are marked by column expressions. Where a function ends and which function holds a row comes from one pass over a file's rows each,
+so no file is shuffled and no row meets every function of its file.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from patchlight import constants as C
 from patchlight.functions import columns as X
@@ -55,71 +61,134 @@ def quiet_rows(content: Column, lang: Column) -> Column:
     return F.when(lang == "python", cleaned(PY_QUIET)).when(lang.isin("javascript", "typescript"), cleaned(JS_QUIET)).otherwise(F.split(content, "\n"))
 
 
+#: Level of a row at which no function ends.
+NEVER = 2**31 - 1
+ROW_NUMBERS = ArrayType(IntegerType())
+
+
+def next_at_most(levels: np.ndarray, rows: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """For each asked row (ascending), the first later row whose level is at most its limit; the number of rows where there is none.
+
+    One pass from the last row back. It keeps the rows that are lower than all rows between them and here, nearest last, so their levels
+    ascend and a limit is found by bisection.
+    """
+    out = np.full(len(rows), len(levels), np.int32)
+    kept_level: list[int] = []
+    kept_row: list[int] = []
+    level, ask = levels.tolist(), len(rows) - 1
+    for i in range(len(level) - 1, -1, -1):
+        while ask >= 0 and rows[ask] == i:
+            at = bisect_right(kept_level, limits[ask])
+            if at:
+                out[ask] = kept_row[at - 1]
+            ask -= 1
+        while kept_level and kept_level[-1] >= level[i]:
+            kept_level.pop()
+            kept_row.pop()
+        kept_level.append(level[i])
+        kept_row.append(i)
+    return out
+
+
+@F.pandas_udf(ROW_NUMBERS)
+def indent_ends(levels: pd.Series, solid: pd.Series, starts: pd.Series) -> pd.Series:
+    """Last row of each def: the last of the rows in solid before the next row indented no deeper."""
+    def one(lv, so, at):
+        if lv is None or at is None:
+            return None
+        stop = next_at_most(lv, at, lv[at])
+        return so[np.searchsorted(so, stop) - 1]
+
+    return pd.Series([one(*x) for x in zip(levels, solid, starts, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ROW_NUMBERS)
+def brace_ends(deltas: pd.Series, starts: pd.Series) -> pd.Series:
+    """Last row of each function: where the brace depth is back at what it was before; its own row where that opens nothing."""
+    def one(d, at):
+        if d is None or at is None:
+            return None
+        depth = np.cumsum(d, dtype=np.int64)
+        end = np.minimum(next_at_most(depth, at, depth[at] - d[at]), len(d) - 1)
+        return np.where(d[at] > 0, end, at).astype(np.int32)
+
+    return pd.Series([one(*x) for x in zip(deltas, starts, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ROW_NUMBERS)
+def innermost(starts: pd.Series, ends: pd.Series, n_rows: pd.Series) -> pd.Series:
+    """For each row of a file, which span holds it, the last of them; spans (rows counted from 1) ascend. -1 where there is none."""
+    def one(a, b, n):
+        owner = np.full(int(n), -1, np.int32)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            owner[i - 1 : j] = k
+        return owner
+
+    return pd.Series([one(*x) for x in zip(starts, ends, n_rows, strict=True)], dtype=object)
+
+
 def functions(files: DataFrame) -> DataFrame:
     """repo, file, name, start_line, end_line, code; files: repo, file, content.
 
     Python: a function ends before the next code line indented no deeper than its def. Brace
     languages: at the line where the brace depth falls back. Brackets, indents and names in strings and comments
-    do not count. Same names in a file: the last wins.
+    do not count. Same names in a file: the last wins. A file is one row; one without content has no functions.
     """
-    rows = files.withColumn("lang", language(F.col("file"))).select(
+    rows = files.withColumn("lang", language(F.col("file"))).where("lang IS NOT NULL AND content IS NOT NULL").select(
         "repo", "file", "lang", F.split("content", "\n").alias("rows"), quiet_rows(F.col("content"), F.col("lang")).alias("quiet"))
-    py = rows.where("lang = 'python'").withColumn(
-        "meta",
-        F.transform("quiet", lambda x, i: F.struct(
-            i.alias("i"), F.length(F.regexp_extract(x, r"^([ \t]*)", 1)).alias("ind"),
-            ((F.trim(x) == "") | F.trim(x).rlike(r"^[)\]}]")).alias("skip"), (F.trim(x) == "").alias("blank"),
-            F.regexp_extract(x, PY_START, 2).alias("name"))),
-    ).select("repo", "file", "rows", "meta", F.explode(F.filter("meta", lambda m: m["name"] != "")).alias("d"))
-    py = py.withColumn(
-        "stop",
-        F.coalesce(
-            F.try_element_at(F.filter("meta", lambda m: (m["i"] > F.col("d.i")) & ~m["skip"] & (m["ind"] <= F.col("d.ind"))), F.lit(1))["i"],
-            F.size("rows")),
-    ).withColumn(
-        "end",
-        F.array_max(F.transform(F.filter("meta", lambda m: (m["i"] >= F.col("d.i")) & (m["i"] < F.col("stop")) & ~m["blank"]), lambda m: m["i"])),
-    ).select("repo", "file", "rows", F.col("d.name").alias("name"), F.col("d.i").alias("s"), F.col("end").alias("e"))
-
-    js_lines = rows.where("lang in ('javascript', 'typescript')").select(
-        "repo", "file", F.posexplode(F.arrays_zip("rows", "quiet")).alias("i", "both")).select("repo", "file", "i", F.col("both.quiet").alias("x"), F.col("both.rows").alias("row"))
-    depth = W.partitionBy("repo", "file").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    opened = F.regexp_count("x", F.lit(r"\{")) - F.regexp_count("x", F.lit(r"\}"))
-    js_lines = js_lines.withColumn("delta", opened).withColumn("after", F.sum("delta").over(depth))
-    named = F.coalesce(F.nullif(F.regexp_extract("x", JS_NAMED_START, 1), F.lit("")),
-                       F.nullif(F.when(~F.regexp_extract("x", JS_METHOD_START, 1).isin([*C.NOT_FUNCTIONS, "function"]),
-                                       F.regexp_extract("x", JS_METHOD_START, 1)), F.lit("")),
-                       F.when(F.col("x").rlike(JS_ANONYMOUS), F.lit("<anonymous>")))
-    per_file = js_lines.groupBy("repo", "file").agg(
-        F.sort_array(F.collect_list(F.struct("i", "after", "delta", "row", named.alias("name")))).alias("ls"))
-    js = per_file.select("repo", "file", "ls", F.explode(F.filter("ls", lambda m: m["name"].isNotNull())).alias("d")).withColumn(
-        "end",
-        F.when(
-            F.col("d.delta") > 0,
-            F.coalesce(
-                F.try_element_at(F.filter("ls", lambda m: (m["i"] > F.col("d.i")) & (m["after"] <= F.col("d.after") - F.col("d.delta"))), F.lit(1))["i"],
-                F.size("ls") - 1)).otherwise(F.col("d.i")),
-    ).select("repo", "file", F.transform("ls", lambda m: m["row"]).alias("rows"), F.col("d.name").alias("name"),
-             F.col("d.i").alias("s"), F.col("end").alias("e"))
-    found = py.unionByName(js).select(
-        "repo", "file", "name", (F.col("s") + 1).alias("start_line"), (F.col("e") + 1).alias("end_line"),
-        F.left(F.array_join(F.slice("rows", F.col("s") + 1, F.col("e") - F.col("s") + 1), "\n"), F.lit(C.CODE_CHARS)).alias("code"),
-    )
-    return found.groupBy("repo", "file", "name").agg(F.max_by(F.struct("start_line", "end_line", "code"), "start_line").alias("f")).select(
-        F.xxhash64("repo", "file", "name").alias("id"), "repo", "file", "name", "f.start_line", "f.end_line", "f.code")
+    is_py = F.col("lang") == "python"
+
+    def where_true(marks: Column) -> Column:
+        return F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+
+    py = rows.where(is_py).select(
+        "repo", "file", "rows",
+        F.transform("quiet", lambda x: F.when((F.trim(x) == "") | F.trim(x).rlike(r"^[)\]}]"), F.lit(NEVER)).otherwise(
+            F.length(F.regexp_extract(x, r"^([ \t]*)", 1)))).alias("levels"),
+        where_true(F.transform("quiet", lambda x: F.trim(x) != "")).alias("solid"),
+        F.transform("quiet", lambda x: F.regexp_extract(x, PY_START, 2)).alias("names"),
+    ).withColumn("starts", where_true(F.transform("names", lambda n: n != ""))).where(F.size("starts") > 0)
+    py = py.withColumn("ends", indent_ends("levels", "solid", "starts"))
+
+    def js_name(x: Column) -> Column:
+        method = F.regexp_extract(x, JS_METHOD_START, 1)
+        return F.coalesce(
+            F.nullif(F.regexp_extract(x, JS_NAMED_START, 1), F.lit("")),
+            F.nullif(F.when(~method.isin([*C.NOT_FUNCTIONS, "function"]), method), F.lit("")),
+            F.when(x.rlike(JS_ANONYMOUS), F.lit("<anonymous>")))
+
+    js = rows.where(~is_py).select(
+        "repo", "file", "rows",
+        F.transform("quiet", lambda x: F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}"))).alias("deltas"),
+        F.transform("quiet", js_name).alias("names"),
+    ).withColumn("starts", where_true(F.transform("names", lambda n: n.isNotNull()))).where(F.size("starts") > 0)
+    js = js.withColumn("ends", brace_ends("deltas", "starts"))
+
+    cols = ["repo", "file", "rows", "names", "starts", "ends"]
+    spans = F.sort_array(F.zip_with("starts", "ends", lambda s, e: F.struct(F.get("names", s).alias("name"), s.alias("s"), e.alias("e"))))
+    found = py.select(*cols).unionByName(js.select(*cols)).select("repo", "file", "rows", spans.alias("spans"))
+    last = F.filter("spans", lambda d, i: F.coalesce(F.get("spans", i + 1)["name"] != d["name"], F.lit(True)))
+    # CODE_CHARS + 1 rows hold at least CODE_CHARS characters.
+    return found.select("repo", "file", F.inline(F.transform(last, lambda d: F.struct(
+        d["name"].alias("name"), (d["s"] + 1).alias("start_line"), (d["e"] + 1).alias("end_line"),
+        F.left(F.array_join(F.slice("rows", d["s"] + 1, F.least(d["e"] - d["s"], F.lit(C.CODE_CHARS)) + 1), "\n"), F.lit(C.CODE_CHARS)).alias("code"),
+    )))).select(F.xxhash64("repo", "file", "name").alias("id"), "repo", "file", "name", "start_line", "end_line", "code")
 
 
 def calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Calls outside strings and comments with their innermost enclosing function. Every function of a file is in one small array."""
-    spans = nodes.groupBy("repo", "file").agg(F.collect_list(F.struct("start_line", "end_line", "id", "name")).alias("fs"))
-    rows = files.join(spans, ["repo", "file"]).select(
-        "repo", "file", "fs", F.posexplode(quiet_rows(F.col("content"), language(F.col("file")))).alias("i", "x"))
-    inner = F.array_max(F.filter("fs", lambda f: (f["start_line"] <= F.col("i") + 1) & (f["end_line"] >= F.col("i") + 1)))
+    spans = nodes.groupBy("repo", "file").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", "name"))).alias("fs"))
+    rows = files.where("content IS NOT NULL").join(spans, ["repo", "file"]).select(
+        "repo", "file", "fs", quiet_rows(F.col("content"), language(F.col("file"))).alias("quiet"))
+    owner = innermost(F.col("fs.start_line"), F.col("fs.end_line"), F.size("quiet"))
+    rows = rows.withColumn("owner", owner).select("repo", "file", F.posexplode(F.zip_with(
+        "quiet", "owner", lambda x, k: F.struct(x.alias("x"), F.when(k >= 0, F.get("fs", k)).alias("f")))).alias("i", "r"),
+    ).select("repo", "file", "i", "r.*").where("f IS NOT NULL")
     defined = F.concat(
         F.regexp_extract_all("x", F.lit(r"\bdef\s+(\w+)\s*\("), F.lit(1)), F.regexp_extract_all("x", F.lit(JS_NAMED_START), F.lit(1)),
         F.regexp_extract_all("x", F.lit(JS_METHOD_START), F.lit(1)))
-    return rows.select("repo", "file", "i", inner.alias("f"), F.explode(F.array_except(
+    return rows.select("repo", "file", "i", "f", F.explode(F.array_except(
         F.regexp_extract_all("x", F.lit(CALL), F.lit(1)), F.concat(defined, F.array(*[F.lit(n) for n in [*C.NOT_FUNCTIONS, "function", "def"]])))).alias("callee_name")
-    ).where("f is not null").select(
+    ).select(
         "repo", "file", F.col("f.id").alias("caller_id"), F.col("f.name").alias("caller_name"), "callee_name",
         F.substring_index("callee_name", ".", -1).alias("callee_short_name"), (F.col("i") + 1).alias("line"))

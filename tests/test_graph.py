@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,66 @@ def test_strings_and_comments_do_not_end_functions(spark):
     assert next(r.code for r in fns.collect() if r.name == "e").startswith('function e(a) {\n  const s = "}";')
 
 
+def test_next_at_most_against_a_scan():
+    rnd = random.Random(5)
+    for n in (1, 2, 9, 200):
+        levels = np.array([rnd.randrange(-4, 6) for _ in range(n)])
+        rows = np.array(sorted(rnd.sample(range(n), rnd.randrange(0, n + 1))), dtype=int)
+        limits = np.array([rnd.randrange(-5, 6) for _ in rows], dtype=int)
+        want = [next((j for j in range(r + 1, n) if levels[j] <= m), n) for r, m in zip(rows, limits)]
+        assert CD.next_at_most(levels, rows, limits).tolist() == want
+
+
+def test_extents_and_owners_against_a_scan(spark):
+    """Random indents, braces that never close or close too often, names that repeat, rows in no function, missing contents."""
+    rnd = random.Random(11)
+    py, js = [], []
+    for f in range(25):
+        py.append((f"{f}.py", [" " * rnd.randrange(0, 4) + rnd.choice([f"def f{rnd.randrange(6)}(x):", "g(1)", "", ")", "y = 2"]) for _ in range(rnd.randrange(1, 40))]))
+        js.append((f"{f}.ts", [rnd.choice([f"function f{rnd.randrange(6)}(a) {{", "}", "h(2);", "", "if (x) {", "} }", "k.m(() => 1)"]) for _ in range(rnd.randrange(1, 40))]))
+    want = set()
+    for file, rows in py:
+        for i, r in enumerate(rows):
+            if r.strip().startswith("def "):
+                ind = len(r) - len(r.lstrip())
+                stop = next((j for j in range(i + 1, len(rows)) if rows[j].strip() not in ("", ")") and len(rows[j]) - len(rows[j].lstrip()) <= ind), len(rows))
+                name = r.split("(")[0].split()[-1]
+                want = {w for w in want if w[:2] != (file, name)} | {(file, name, i + 1, 1 + max(j for j in range(i, stop) if rows[j].strip()))}
+    for file, rows in js:
+        delta = [r.count("{") - r.count("}") for r in rows]
+        for i, r in enumerate(rows):
+            name = r.split("(")[0].split()[-1] if r.startswith("function") else "<anonymous>" if "=>" in r else None
+            if name:
+                before = sum(delta[:i])
+                end = next((j for j in range(i + 1, len(rows)) if sum(delta[: j + 1]) <= before), len(rows) - 1) if delta[i] > 0 else i
+                want = {w for w in want if w[:2] != (file, name)} | {(file, name, i + 1, end + 1)}
+    files = spark.createDataFrame([("r", f, "\n".join(rows)) for f, rows in py + js] + [("r", "none.py", None), ("r", "notes.md", "def f(x):")],
+                                  "repo string, file string, content string")
+    nodes = CD.functions(files)
+    assert {(r.file, r.name, r.start_line, r.end_line) for r in nodes.collect()} == want
+    made = {"g": "g", "h": "h", "k.m": "m"}
+    expected = set()
+    for file, rows in py + js:
+        for i, r in enumerate(rows, 1):
+            around = [w for w in want if w[0] == file and w[2] <= i <= w[3]]
+            for call, short in made.items():
+                if around and r.strip().startswith(call + "("):
+                    expected.add((file, max(around, key=lambda w: w[2])[1], call, short, i))
+    got = CD.calls(files, nodes).collect()
+    assert {(r.file, r.caller_name, r.callee_name, r.callee_short_name, r.line) for r in got} == expected and len(got) == len(expected)
+
+
+def test_a_large_source_file_is_one_pass(spark):
+    """20,000 rows and 5,000 functions of one file, none of whose braces close: no row meets every function."""
+    text = "\n".join(f"function f{i}(a) {{\n g{i}();\n\n" for i in range(5_000))
+    files = spark.createDataFrame([("r", "a.ts", text), ("r", "a.py", "\n".join(f"def p{i}(a):\n    q{i}(a)\n\n" for i in range(5_000)))], "repo string, file string, content string")
+    nodes = CD.functions(files)
+    assert nodes.groupBy("file").agg(F.count("*").alias("n"), F.min("end_line").alias("e")).orderBy("file").collect() == [("a.py", 5_000, 2), ("a.ts", 5_000, 20_000)]
+    own = CD.calls(files, nodes).where("substring(caller_name, 2) = substring(callee_name, 2)")
+    assert own.count() == 10_000
+    assert "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+
+
 def test_js_functions_exports_and_imports(spark):
     files = spark.createDataFrame([("r", "s/a.ts", JS), ("r", "s/lib/index.ts", ""), ("r", "t/b.ts", "import { m } from '../../out'")], "repo string, file string, content string")
     fns = {(r.name, r.start_line, r.end_line) for r in CD.functions(files.where("file = 's/a.ts'")).collect()}
