@@ -10,7 +10,9 @@ from patchlight.catalog.base import CTES, query
 from patchlight.catalog.q_diff import page_paths
 from patchlight.operators import code as CD
 from patchlight.operators import diff as D
+from patchlight.session import new_folder
 from patchlight.sources import carriers as K
+from patchlight.sources import checkouts as CO
 from patchlight.sources import landed as L
 
 
@@ -24,8 +26,9 @@ def _(spark, sf):
             F.size(F.filter(F.split("chunk", "\n"), lambda x: x.startswith("+") & ~x.startswith("+++ b/"))).alias("additions"),
             F.lit(0).alias("deletions"), F.lit("modified").alias("status"), F.col("chunk").alias("patch")).alias("f"))
     detail = chunks.groupBy("pr_id").agg(F.collect_list("f").alias("files_detail"))  # four files per change
-    landed = prs.join(detail, "pr_id").select("repo", F.col("pr_id").alias("number"), "files_detail")
-    return L.pr_files(landed).select("repo", "number", "filename", F.col("additions").cast("bigint").alias("additions"), "status")
+    folder = new_folder(spark, "prs")
+    prs.join(detail, "pr_id").select("repo", F.col("pr_id").alias("number"), "title", "files_detail").write.option("compression", "gzip").json(folder)
+    return L.pr_files(L.read_prs(spark, folder)).select("repo", "number", "filename", F.col("additions").cast("bigint").alias("additions"), "status")
 
 
 @query("src_pr_meta", """SELECT pr_id, title, coalesce(author_name, 'unknown') AS author, base_branch, head_branch, commits, len(files) AS changed_files, array_to_string(files, ',') AS files FROM c_prs""")
@@ -72,6 +75,34 @@ def _(spark, sf):
     return sized.where(CD.reviewed_source(F.col("file"), F.col("n") * 200)).select("file", "n")
 
 
+@query("src_checkout", rf"""SELECT repo, file, n AS length, sha FROM (SELECT 'org/' || regexp_extract(url, '//([^/]+)/', 1) AS repo, CASE WHEN page_id % 7 = 3 THEN 'pkg' || page_id || '/__init__.py'
+ ELSE (['', 'vendor/', 'a/node_modules/', 'docs/', 'src/dist2/'])[(page_id % 5) + 1] || regexp_extract(url, '//([^/]+)/', 1) || '/' || (['test_', '', 'x_', ''])[(page_id % 4) + 1]
+ || regexp_extract(url, '/([a-z]+)/', 1) || page_id || (['.py', '.test.ts', '.md', '.lock', '.tsx', '_test.py', '.json', '.css', '.spec.js'])[(page_id % 9) + 1] END AS file,
+ strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS sha FROM pages)
+WHERE {_DIRS} AND regexp_extract(string_split(file, '/')[-1], '^.+(\.[^.]+)$', 1) IN {T.in_list(list(C.LANGUAGE_OF_SUFFIX))} AND n <= {C.MAX_SOURCE_BYTES}
+ AND NOT {T.any_word("string_split(file, '/')[-1]", C.SOURCE_SKIP_PATTERNS)}""")
+def _(spark, sf):
+    """Pages written as the files of one repository per host, listed, and read again."""
+    p = F.col("page_id")
+    pages = K.table(spark, sf, "pages").select("page_id", F.concat(F.lit("org/"), F.regexp_extract("url", "//([^/]+)/", 1)).alias("repo"), F.col("html").alias("content"))
+    files = page_paths(spark, sf).select("page_id", F.when(p % 7 == 3, F.concat(F.lit("pkg"), p.cast("string"), F.lit("/__init__.py"))).otherwise(F.col("file")).alias("file"))
+    root = new_folder(spark, "checkouts")
+    CO.write_checkouts(pages.join(files, "page_id"), root)
+    return CO.with_content(CO.list_checkouts(spark, root, levels=2), root).select("repo", "file", "length", F.sha2("content", 256).alias("sha"))
+
+
+@query("src_golden", """SELECT 's' || pr_id AS sample_id, id, file, line_start, line_end, title_keywords[1] AS keyword, len(evidence_keywords) AS n_evidence, description, severity
+FROM (SELECT * EXCLUDE (evidence_keywords), coalesce(evidence_keywords, []) AS evidence_keywords FROM c_exp)""")
+def _(spark, sf):
+    """Expected findings written as YAML lists of samples, and read again."""
+    finding = F.struct("ord", "id", "file", F.when(F.col("line_start").isNotNull(), F.array("line_start", "line_end")).alias("line_range"), "title_keywords", "evidence_keywords", "description", "severity")
+    samples = K.expected(spark, sf).groupBy("pr_id").agg(F.sort_array(F.collect_list(finding)).alias("expected_findings"))  # four documents per change
+    folder = new_folder(spark, "golden")
+    samples.select(F.concat(F.lit("- "), F.to_json(F.struct(F.concat(F.lit("s"), F.col("pr_id").cast("string")).alias("id"), "expected_findings")))).write.option("maxRecordsPerFile", 10_000).text(folder)
+    return L.golden_expected(L.read_golden(spark, folder)).select(
+        "sample_id", "id", "file", "line_start", "line_end", F.get("title_keywords", F.lit(0)).alias("keyword"), F.size("evidence_keywords").cast("bigint").alias("n_evidence"), "description", "severity")
+
+
 @query("src_scan_results", """SELECT ord AS report, 'r.' || title AS check_id, file AS path, coalesce(line, 0) AS start_line, coalesce(line, 0) AS end_line, severity FROM c_find""")
 def _(spark, sf):
     f = K.findings(spark, sf)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own in the shared one, for tables and files that a job writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 

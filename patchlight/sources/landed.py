@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlight.operators.code import reviewed_source
+from patchlight.sources.checkouts import list_checkouts, with_content
 
 PR_SCHEMA = (
     "repo string, number bigint, title string, description string, diff string, files array<string>, additions bigint, deletions bigint,"
@@ -71,12 +71,8 @@ def synthetic_context(samples: DataFrame) -> DataFrame:
 
 
 def read_repo_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """Source files of a checkout; folder, suffix and size filters run before contents are read."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel = F.regexp_replace("path", "^(?:file:)?/*" + base.lstrip("/") + "/", "")
-    return raw.where(reviewed_source(rel, F.col("length"))).select(
-        F.lit(repo).alias("repo"), rel.alias("file"), F.decode("content", "UTF-8").alias("content"))
+    """Source files of one checkout; folder, suffix and size filters run on the listing, before contents are read."""
+    return with_content(list_checkouts(spark, root, levels=0), root).select(F.lit(repo).alias("repo"), "file", "content")
 
 
 def read_scan_results(spark: SparkSession, path: str) -> DataFrame:
@@ -93,14 +89,21 @@ def scan_rows(reports: DataFrame) -> DataFrame:
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """YAML lists of samples as one JSON document per sample; parquet is canonical afterwards."""
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def samples(text: bytes) -> list:
         import json
 
-        import yaml
+        try:
+            return json.loads(text)  # JSON is YAML, and quicker to read.
+        except ValueError:
+            import yaml
+
+            return yaml.safe_load(text) or []
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
 
         for b in batches:
-            rows = [(p, i, json.dumps(s, ensure_ascii=False, default=str))
-                    for p, text in zip(b["path"], b["content"]) for i, s in enumerate(yaml.safe_load(text) or [])]
+            rows = [(p, i, json.dumps(s, ensure_ascii=False, default=str)) for p, text in zip(b["path"], b["content"]) for i, s in enumerate(samples(text))]
             yield pd.DataFrame(rows, columns=["path", "ord", "sample"])
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -3,9 +3,13 @@ import json
 import random
 import shutil
 
+from pyspark.sql import datasource as DS
 from pyspark.sql import functions as F
 
+from patchlight import constants as C
+from patchlight.operators import code as CD
 from patchlight.operators import replies as RP
+from patchlight.sources import checkouts as CO
 from patchlight.sources import importers as I
 from patchlight.sources import landed as L
 from patchlight.streaming import events as E
@@ -229,16 +233,44 @@ def test_pr_urls(spark):
 
 
 def test_repo_files_and_golden_yaml(spark, tmp_path):
-    for p in ("src/a.py", "src/test_b.py", "node_modules/c.js", ".hidden/d.py", "e.md", "web/f.tsx"):
+    for p in ("src/a.py", "src/test_b.py", "node_modules/c.js", ".hidden/d.py", "e.md", "web/f.tsx", "src/__init__.py"):
         (tmp_path / "repo" / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "repo" / p).write_text("x = 1")
-    assert {r.file for r in L.read_repo_files(spark, str(tmp_path / "repo"), "r").collect()} == {"src/a.py", "web/f.tsx"}
+    assert {r.file for r in L.read_repo_files(spark, str(tmp_path / "repo"), "r").collect()} == {"src/a.py", "web/f.tsx", "src/__init__.py"}
     (tmp_path / "g.yaml").write_text("- id: s1\n  url: u\n  expected_findings:\n  - {id: e1, file: a.py, line_range: [3, 4], title_keywords: [x]}\n  - {id: e2, description: d}\n- id: s2\n  url: v\n")
     golden = L.read_golden(spark, str(tmp_path / "g.yaml"))
     assert golden.count() == 2
     assert {(r.sample_id, r.id, r.line_start) for r in L.golden_expected(golden).collect()} == {("s1", "e1", 3), ("s1", "e2", None)}
 
 
+def test_listing_has_the_rules_of_the_column_function(spark):
+    names = ["a.py", ".py", "a.", "py", "a.b.ts", "test_a.py", "a_test.py", "a.spec.js", "__init__.py", "x.PY", "a.tsx", "noise.md"]
+    folders = ["", "src/", "vendor/", "src/.git/", "a/dist/b/", "distance/", "build/", "_own/"]
+    rows = [(f + n, size) for f in folders for n in names for size in (0, C.MAX_SOURCE_BYTES, C.MAX_SOURCE_BYTES + 1)]
+    df = spark.createDataFrame(rows, "file string, length long")
+    assert {tuple(r) for r in df.where(CD.reviewed_source(F.col("file"), F.col("length"))).collect()} == {r for r in rows if CO.is_reviewed(*r)}
+
+
+def test_checkouts_are_listed_filtered_and_then_read(spark, tmp_path):
+    root, sizes = f"file://{tmp_path}/co", {"a": 3, "b": 40}
+    files = [(f"o/r{k}", f"{d}/{n}.py", n * size) for k in range(3) for d in ("src", "vendor") for n, size in sizes.items()]
+    files += [("o/r1", "pkg/__init__.py", ""), ("o/r1", "pkg/null.py", None), ("o/r2", "x.md", "m")]
+    df = spark.createDataFrame(files, "repo string, file string, content string")
+    assert CO.write_checkouts(df, root) == CO.write_checkouts(df, root) == len(files)
+    want = {(r, f, len(c or ""), c or "") for r, f, c in files if f.endswith(".py") and not f.startswith("vendor")}
+    listing = CO.list_checkouts(spark, root, levels=2)
+    assert {tuple(r) for r in CO.with_content(listing, root).collect()} == want and listing.count() == len(want)
+    some = listing.where("repo <> 'o/r0' AND length <= 3 AND file LIKE 'src/%'")
+    kept = {tuple(r) for r in CO.with_content(some, root).collect()}
+    assert kept == {w for w in want if w[0] != "o/r0" and w[2] <= 3 and w[1].startswith("src/")} and kept
+    reader = CO.CheckoutReader({"path": root, "levels": "2"})
+    asked = [DS.Not(DS.EqualTo(("repo",), "o/r0")), DS.LessThanOrEqual(("length",), 3), DS.StringStartsWith(("file",), "src/"), DS.EqualTo(("file", "x"), 1)]
+    assert list(reader.pushFilters(asked)) == asked[3:] and [p.repos for p in reader.partitions()] == [["o/r1"], ["o/r2"]]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
+    (tmp_path / "empty").mkdir()
+    assert CO.with_content(CO.list_checkouts(spark, str(tmp_path / "empty")), str(tmp_path / "empty")).count() == 0
+
+
 def test_written_reviews_are_partitioned(spark, tmp_path):
     L.write_reviews(spark.createDataFrame([(1, "LOW", "run1"), (2, "HIGH", "run2")], "pr_id long, risk string, run_id string"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "run_id=run1").is_dir() and spark.read.text(str(tmp_path / "out")).count() == 2
