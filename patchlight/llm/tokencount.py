@@ -7,8 +7,10 @@ piece count of the path that reached it. Rules that must hold for exact counts:
 with a strictly better score); a character that is no piece of its own may pass as unknown at the worst score less 10; unknown
 characters in a row fall back to their bytes together, and a run that is just the unknown piece's own text is one token.
 
-Segments repeat, so each task keeps counts of up to `CACHE` distinct ones. The vocabulary (one file of fixed size) travels with
-the function. Null and empty texts have 0 tokens; repeated rows are rows of their own.
+Segments repeat, so each task keeps counts of segments of up to `LONG` characters, `CACHE` characters of them at most. The search holds the last
+`BLOCK` positions of a segment, of which a piece can reach back only its own length, so a text of many megabytes without a space takes no more
+than a short one beside the text itself. The vocabulary (one file of fixed size) travels with the function. Null and empty texts have 0 tokens;
+repeated rows are rows of their own; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 400_000
+CACHE, LONG = 8_000_000, 200
+BLOCK = 4_096
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -55,12 +58,14 @@ def counter(vocabulary: Vocabulary) -> Callable[[str], int]:
             automaton.add_word(piece, (len(piece), score, i == vocabulary.unknown))
     automaton.make_automaton()
     low = min(vocabulary.scores) - UNKNOWN_PENALTY
+    longest = max(map(len, vocabulary.pieces))
     to_bytes = vocabulary.byte_fallback
 
     def count(segment: str) -> int:
-        n = len(segment)
-        score, done = [0.0] * (n + 1), [0] * (n + 1)
-        run, alone = [0] * (n + 1), [False] * (n + 1)
+        n, base = len(segment), 0
+        size = min(n, max(BLOCK, 2 * longest)) + 1
+        score, done = [0.0] * size, [0] * size
+        run, alone = [0] * size, [False] * size
 
         def closed(at: int) -> int:
             return done[at] + ((1 if alone[at] or not to_bytes else run[at]) if run[at] else 0)
@@ -71,18 +76,27 @@ def counter(vocabulary: Vocabulary) -> Callable[[str], int]:
             done[end] = done[start]
 
         def settle(end: int, found: list) -> None:
+            nonlocal base
+            end -= base
+            if end == size:
+                # The last positions that a piece can reach back to move to the front.
+                for kept in (score, done, run, alone):
+                    kept[:longest] = kept[end - longest :]
+                run[longest:], alone[longest:] = [0] * (size - longest), [False] * (size - longest)
+                base += end - longest
+                end = longest
             best, start, as_unknown, single = None, 0, False, False
-            for size, value, is_unknown in found:
-                single |= size == 1
-                candidate = score[end - size] + value
+            for length, value, is_unknown in found:
+                single |= length == 1
+                candidate = score[end - length] + value
                 if best is None or candidate > best:
-                    best, start, as_unknown = candidate, end - size, is_unknown
+                    best, start, as_unknown = candidate, end - length, is_unknown
             piece = as_unknown
             if not single and (best is None or score[end - 1] + low > best):
                 best, start, as_unknown, piece = score[end - 1] + low, end - 1, True, False
             score[end] = best
             if as_unknown:
-                unknown(end, start, segment[start:end], piece)
+                unknown(end, start, segment[base + start : base + end], piece)
             else:
                 done[end] = closed(start) + 1
 
@@ -97,22 +111,26 @@ def counter(vocabulary: Vocabulary) -> Callable[[str], int]:
             at += 1
             settle(at, found)
             found = []
-        return closed(n)
+        return closed(n - base)
 
     return count
 
 
 class Counts(dict):
-    """Counts of segments seen, worked out on first sight and forgotten when there are too many."""
+    """Counts of segments seen, worked out on first sight; long ones are not kept, and all are forgotten when they are too many."""
 
     def __init__(self, count: Callable[[str], int]):
         super().__init__()
-        self.count = count
+        self.count, self.held = count, 0
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[part] = self.count(MARK + part)
+        value = self.count(MARK + part)
+        if len(part) <= LONG:
+            self.held += len(part) + 1
+            if self.held > CACHE:
+                self.clear()
+                self.held = len(part) + 1
+            self[part] = value
         return value
 
 

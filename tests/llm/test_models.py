@@ -112,3 +112,45 @@ def test_training_on_counts_holds_no_full_matrix_of_logs():
     finally:
         tracemalloc.stop()
         toxicity.ROUNDS = rounds
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_token_counts_of_long_segments(fallback):
+    """Segments without a space, longer than a block, unknown runs over its border: the library's counts and a bounded search."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    v = tokencount.read_vocabulary()
+    v = tokencount.Vocabulary(v.pieces, v.scores, v.unknown, fallback)
+    lib = Tokenizer(models.Unigram(list(zip(v.pieces, v.scores, strict=True)), unk_id=v.unknown, byte_fallback=fallback))
+    lib.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    rnd = random.Random(3)
+    alphabet = "abcdeiorstnlu" * 3 + "的是不\U0001f600\u0e99\u1abe=;{}"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (4_094, 4_095, 4_096, 4_097, 4_200, 8_190, 20_000)]
+    texts += ["a" * 9_000, "\u1abe" * 9_000, "x" * 4_000 + "\u1abe" * 300 + "y" * 4_000, " ".join(["ab" * 3_000] * 2)]
+    counts = tokencount.Counts(tokencount.counter(v))
+    assert [tokencount.tokens(t, counts) for t in texts] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert all(len(k) <= tokencount.LONG for k in counts)
+    long = "thequickbrownfox" * 20_000
+    tracemalloc.start()
+    tokencount.tokens(long, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+
+
+def test_token_cache_is_bounded_by_its_characters(monkeypatch):
+    monkeypatch.setattr(tokencount, "CACHE", 50)
+    counts = tokencount.Counts(len)
+    assert [counts["w" * (i % 20)] for i in range(300)] == [1 + i % 20 for i in range(300)]
+    assert sum(len(k) + 1 for k in counts) == counts.held <= 50
+
+
+def test_token_counts_of_repeated_rows_and_no_rows(spark):
+    v = tokencount.read_vocabulary()
+    rows = [(1, "same words"), (1, "same words"), (None, "same words"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.n_tokens for r in tokencount.count_tokens(df, v).collect()]
+    assert len(got) == 5 and got[0] == got[1] == got[2] > 0 and got[3:] == [0, 0]
+    assert tokencount.count_tokens(df.limit(0), v).count() == 0
