@@ -2,7 +2,7 @@
 
 Texts are cut into tokens (letters, digits, bytes above 127; a point or comma between digits belongs to a number). Numbers, names
 (tokens that begin with a capital) and units after a number become typed placeholders; other tokens stay, lower-cased. A window of
-`WINDOW` tokens (the whole item, where it has fewer but at least `SHORTEST`) is keyed twice: by its placeholders and words, and by
+`WINDOW` tokens (the whole item, where it has fewer) is keyed twice: by its placeholders and words, and by
 its case-folded words alone. A hit by words is a copy in whatever letter case. Document windows with a template key of the benchmark
 are checked for slot consistency: two slots hold equal values in the document exactly where they
 do in the item, so a question whose numbers and names were swapped one for one is caught, while the same words around values
@@ -11,7 +11,8 @@ that do not correspond are not. Windows with fewer than `LITERAL` plain words sa
 The benchmark's keys are held in every task only in slices of about `SLICE` windows (16 bytes each); a larger
 benchmark takes one pass over the documents per slice. Documents are never shuffled; only hits are.
 
-Items and texts that are null, or too short for a window, match nothing. Items with the same windows are all reported. Repeated ids are
+Items and texts that are null or hold no token match nothing; an item of few tokens is found wherever they follow each other, so a benchmark
+of single words marks many documents. Items with the same windows are all reported. Repeated ids are
 one document. Result: doc_id, item_id, n_windows (windows of the item found), n_item_windows, verbatim (some window has the same words, case aside).
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from patchlight.llm.kernels import LOWER, U64, grams, hashes, mix, slices, texts, words
 
-WINDOW, SHORTEST, LITERAL = 13, 8, 6
+WINDOW, LITERAL = 13, 6
 SLICE = 1_000_000
 UNITS = (
     "mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month "
@@ -112,9 +113,8 @@ def pattern(raw: np.ndarray, slot: np.ndarray, starts: np.ndarray, n: int) -> np
 
 
 def _lengths(of: np.ndarray, n: int) -> np.ndarray:
-    """The window length of each text: WINDOW, or its own token count, or 0 where it is too short."""
-    size = np.bincount(of, minlength=n)
-    return np.where(size < SHORTEST, 0, np.minimum(size, WINDOW))
+    """The window length of each text: WINDOW, or its own token count."""
+    return np.minimum(np.bincount(of, minlength=n), WINDOW)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:

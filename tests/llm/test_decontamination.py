@@ -79,6 +79,13 @@ def test_copies_in_another_letter_case_are_found(spark):
     assert {d for d, _ in _found(spark, texts, [(1, ITEM.upper())])} == {0, 1, 2}
 
 
+def test_short_items_are_found_as_whole_sequences(spark):
+    texts = ["they ask Why is it so? and go on", "why is IT so", "why is it, so", "why it is so", "Paris", "in Paris, 1999.", "1999", "...", None, "so"]
+    got = _found(spark, texts, [(1, "Why is it so"), (2, "paris"), (3, "1999"), (4, "..."), (5, ""), (6, "is it never so")])
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2), (5, 2), (5, 3), (6, 3)}
+    assert all(v == (1, 1, True) for v in got.values())
+
+
 def test_folding_keeps_the_tokens():
     import sys
 
