@@ -298,7 +298,8 @@ def set_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         (F.col("comp") != F.col("comp_a")) & _fit("n", "k", "n_a", "k_a", percent) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("key")))
     )
     more = settled(_verified(across.select("a", F.col("key").alias("b")).distinct(), sets, percent))
-    return found if more.isEmpty() else components(links.union(more))
+    # What is known goes on as stars; only links between components are new.
+    return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
