@@ -185,14 +185,14 @@ def scan_hits(results: DataFrame, added: DataFrame) -> DataFrame:
     """Scanner rows whose range touches an added line; line and evidence are the first such line.
 
     results: pr_id, ord, check_id, path, start_line, end_line, message, severity. The range test is
-    a residual of an equi-join on 64-line buckets.
+    a residual of an equi-join on 64-line buckets. Added lines are read twice, so they are written once.
     """
     end = F.when(F.col("end_line") >= F.col("start_line"), F.col("end_line")).otherwise(F.col("start_line"))
     clean = results.where("start_line > 0").withColumn("end_line", end)
     uniq = clean.groupBy("pr_id", "path", "start_line", "end_line", "check_id").agg(
         F.min_by(F.struct("ord", "message", "severity"), "ord").alias("r")
     ).select("pr_id", F.col("path").alias("file"), "start_line", "end_line", "check_id", "r.ord", "r.message", "r.severity")
-    points = added.select("pr_id", "file", "line", "text", F.floor(F.col("line") / SCAN_BUCKET).alias("_b"))
+    points = cut_lineage(added.select("pr_id", "file", "line", "text", F.floor(F.col("line") / SCAN_BUCKET).alias("_b")))
     spans = occupied_buckets(uniq, points, ["pr_id", "file"], "start_line", "end_line", SCAN_BUCKET)
     first = (
         spans.join(points, ["pr_id", "file", "_b"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
