@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,27 +87,67 @@ def scan_rows(reports: DataFrame) -> DataFrame:
         F.coalesce("r.extra.severity", F.lit("WARNING")).alias("severity"))
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """YAML lists of samples as one JSON document per sample; parquet is canonical afterwards."""
-    def samples(text: bytes) -> list:
+def sample_reader(chunk: int = 1000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (path, ord, sample) of whole files (path, content), `chunk` at a time. A YAML list is composed item by item, so a file costs its text and one
+    sample, not the tree of all its samples; anchors hold across items."""
+    def samples(text: bytes) -> Iterator:
         import json
 
         try:
-            return json.loads(text)  # JSON is YAML, and quicker to read.
+            found = json.loads(text)  # JSON is YAML, and quicker to read.
         except ValueError:
-            import yaml
-
-            return yaml.safe_load(text) or []
+            pass
+        else:
+            yield from found
+            return
+        import yaml
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loader = yaml.SafeLoader(text)
+        try:
+            loader.get_event()
+            if loader.check_event(yaml.StreamEndEvent):
+                return
+            loader.get_event()
+            if not loader.check_event(yaml.SequenceStartEvent):
+                yield from loader.construct_document(loader.compose_node(None, None)) or []
+            else:
+                loader.get_event()
+                while not loader.check_event(yaml.SequenceEndEvent):
+                    yield loader.construct_document(loader.compose_node(None, None))
+                loader.get_event()
+            loader.get_event()
+            if not loader.check_event(yaml.StreamEndEvent):
+                raise ValueError("a file of samples holds one document")
+        finally:
+            loader.dispose()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        for b in batches:
-            rows = [(p, i, json.dumps(s, ensure_ascii=False, default=str)) for p, text in zip(b["path"], b["content"]) for i, s in enumerate(samples(text))]
-            yield pd.DataFrame(rows, columns=["path", "ord", "sample"])
+        import pyarrow as pa
+
+        def out(path: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
+            columns = [pa.array([path] * len(rows), pa.string()), pa.array([i for i, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["path", "ord", "sample"])
 
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                rows = []
+                for i, s in enumerate(samples(content.as_py())):
+                    rows.append((i, json.dumps(s, ensure_ascii=False, default=str)))
+                    if len(rows) == chunk:
+                        yield out(path.as_py(), rows)
+                        rows = []
+                if rows:
+                    yield out(path.as_py(), rows)
+
+    return parse
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """YAML lists of samples as one JSON document per sample; parquet is canonical afterwards."""
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(parse, "path string, ord bigint, sample string")
+    return raw.mapInArrow(sample_reader(), "path string, ord bigint, sample string")
 
 
 def golden_expected(golden: DataFrame) -> DataFrame:
