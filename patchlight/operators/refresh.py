@@ -51,7 +51,7 @@ def index(files: DataFrame) -> State:
     nodes = cut_lineage(CD.functions(files).select(*FILE, "id", "name", "start_line", "end_line", "code"))
     calls = cut_lineage(CD.calls(files, nodes).select(*CALL).distinct())
     imports = cut_lineage(_imports(files, files))
-    return State(_hashes(files), nodes, calls, imports, resolve_calls(calls.drop("repo", "file"), nodes, imports)).cut()
+    return State(_hashes(files), nodes, calls, imports, resolve_calls(calls, nodes, imports)).cut()
 
 
 def moved_names(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -61,26 +61,28 @@ def moved_names(old: DataFrame, new: DataFrame) -> DataFrame:
     return gone.union(new.select(*shape).exceptAll(old.select(*shape))).select("repo", "name").distinct()
 
 
-def refresh_edges(edges: DataFrame, calls: DataFrame, nodes: DataFrame, imports: DataFrame, touched: DataFrame, moved: DataFrame) -> DataFrame:
+def refresh_edges(edges: DataFrame, calls: DataFrame, nodes: DataFrame, imports: DataFrame, touched: DataFrame, moved: DataFrame, tasks: int | None = None) -> DataFrame:
     """Edges of the new calls, nodes and imports.
 
-    touched (repo, file): files whose calls or imports may differ; moved (repo, name): see moved_names. edges are those before.
+    touched (repo, file): files whose calls or imports may differ; moved (repo, name): see moved_names. edges are those before; calls are distinct.
+    tasks: see resolve_calls.
     """
     touched, moved = touched.select(*FILE).distinct(), moved.select("repo", "name").distinct()
-    full, short = moved.withColumnRenamed("name", "callee_name"), moved.withColumnRenamed("name", "callee_short_name")
-    asked = calls.join(touched, FILE, "left_semi").unionByName(calls.join(full, ["repo", "callee_name"], "left_semi").select(*CALL)).unionByName(
-        calls.join(short, ["repo", "callee_short_name"], "left_semi").select(*CALL))
-    asked = cut_lineage(asked.select(*CALL).distinct())
-    # Only nodes of names that are asked for, and the callers themselves; only imports of the files asked.
+    # One look at each call, however many of the three say that it is asked.
+    told = calls.select(*CALL).join(touched.withColumn("_t", F.lit(True)), FILE, "left")
+    for name in ("callee_name", "callee_short_name"):
+        told = told.join(moved.select("repo", F.col("name").alias(name), F.lit(True).alias(f"_{name}")), ["repo", name], "left")
+    asked = cut_lineage(told.where(F.coalesce("_t", "_callee_name", "_callee_short_name")).select(*CALL))
+    # Only nodes of names that are asked for; only imports of the files asked.
     names = asked.select("repo", F.explode(F.array("callee_name", "callee_short_name")).alias("name")).distinct()
     few = nodes.join(names, ["repo", "name"], "left_semi").select("repo", "file", "id", "name")
-    callers = nodes.join(asked.select(F.col("caller_id").alias("id")).distinct(), "id", "left_semi").select("repo", "file", "id", "name")
     bound = imports.join(asked.select(*FILE).distinct(), FILE, "left_semi")
-    fresh = resolve_calls(asked.drop("repo", "file"), few.union(callers).distinct(), bound)
-    # What stays: edges of calls that are still there and were not asked.
-    key = ["caller_id", "callee_name", "callee_short_name"]
-    still = calls.join(asked.select(*key), key, "left_anti").select(*key).distinct()
-    return edges.join(still, key, "left_semi").unionByName(fresh)
+    fresh = resolve_calls(asked, few, bound, tasks)
+    # What stays: edges of callers in files that were not touched, to names that did not move; their calls are what they were.
+    for name in ("callee_name", "callee_short_name"):
+        edges = edges.join(moved.withColumnRenamed("name", name), ["repo", name], "left_anti")
+    whole = nodes.join(touched, FILE, "left_anti").select(F.col("id").alias("caller_id"))
+    return edges.join(whole, "caller_id", "left_semi").select(*fresh.columns).unionByName(fresh)
 
 
 def refresh(state: State, files: DataFrame) -> State:
