@@ -11,7 +11,6 @@ next, so no task holds a key's rows. dedup_stream and rate_limit_stream are for
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +39,8 @@ def _new(table: pa.Table) -> np.ndarray:
     return np.append(True, other | (seg[1:] != seg[:-1]))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted batches cut anew, so that the rows of a (key, segment) stay together, with where each starts; what is held back is one of them."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        new = _new(table)
-        cut = int(np.flatnonzero(new)[-1]) if len(new) else 0
-        if cut:
-            yield table.slice(0, cut).combine_chunks(), new[:cut]
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks(), _new(held)
+def _group(table: pa.Table, row: int) -> tuple[str, int]:
+    return table["_key"][row].as_py(), table["_seg"][row].as_py()
 
 
 def _followers(new: np.ndarray, us: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +54,25 @@ def _followers(new: np.ndarray, us: np.ndarray, span: int) -> tuple[np.ndarray,
 
 
 def _steps(span: int):
-    """A segment's step function: for breaks b[i] (its events in the first span), where windows that open at the first event at or after x > b[i - 1] end."""
+    """A segment's step function: for breaks b[i] (its events in the first span), where windows that open at the first event at or after x > b[i - 1] end.
+
+    A segment may be as long as its key is busy, so its function is carried from batch to batch: exits that a batch holds events after go on in it,
+    and steps that end alike become one. Its rows are not held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, new in _whole(batches):
-            us = table["_us"].to_numpy()
-            after, of = _followers(new, us, span)
+        group, breaks, exits, passed = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+        def made(done: list) -> pa.RecordBatch:
+            columns = [pa.array([g[k] for g, _, _ in done], t) for k, t in ((0, pa.string()), (1, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array([d[k] for d in done], pa.list_(pa.int64())) for k in (1, 2)]], ["_key", "_seg", "_breaks", "_exits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table, done = pa.Table.from_batches([batch]), []
+            new, us, seg = _new(table), table["_us"].to_numpy(), table["_seg"].to_numpy()
+            after, _ = _followers(new, us, span)
             # The last window of the chain that starts at each row, by pointer doubling.
             last = np.append(np.where(after < len(us), after, np.arange(len(us))), len(us))
             while (last[last] != last).any():
@@ -78,18 +80,26 @@ def _steps(span: int):
             ends = us[last[:-1]] + span
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(us))
-            seg = table["_seg"].to_numpy()
-            early = us < seg * (span * SEGMENT) + span
-            breaks, exits = [], []
-            for i, j in zip(head.tolist(), tail.tolist(), strict=True):
-                # Events in the first span, and the first one after it; steps that end alike are one.
-                m = min(i + int(np.searchsorted(~early[i:j], True)) + 1, j)
-                keep = np.append(ends[i + 1 : m] != ends[i : m - 1], True)
-                breaks.append(us[i:m][keep])
-                exits.append(ends[i:m][keep])
             first = table.take(pa.array(head))
-            columns = [first["_key"].combine_chunks(), first["_seg"].combine_chunks(), pa.array(breaks, pa.list_(pa.int64())), pa.array(exits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "_seg", "_breaks", "_exits"])
+            early = us < seg * (span * SEGMENT) + span
+            for of, i, j in zip(zip(first["_key"].to_pylist(), first["_seg"].to_pylist(), strict=True), head.tolist(), tail.tolist(), strict=True):
+                if of != group:
+                    if group is not None:
+                        done.append((group, breaks, exits))
+                    group, breaks, exits, passed = of, us[:0], us[:0], False
+                at = i + np.searchsorted(us[i:j], exits)
+                exits = np.where(at < j, ends[np.minimum(at, j - 1)], exits)
+                if not passed:
+                    # Events in the first span, and the first one after it.
+                    m = i + int(np.searchsorted(~early[i:j], True)) + 1
+                    passed, m = m <= j, min(m, j)
+                    breaks, exits = np.append(breaks, us[i:m]), np.append(exits, ends[i:m])
+                keep = np.append(exits[1:] != exits[:-1], True)
+                breaks, exits = breaks[keep], exits[keep]
+            if done:
+                yield made(done)
+        if group is not None:
+            yield made([(group, breaks, exits)])
 
     return run
 
@@ -99,12 +109,13 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, x = None, None
     for batch in batches:
         out = []
-        for k, breaks, exits in zip(batch["_key"].to_pylist(), batch["_breaks"].to_pylist(), batch["_exits"].to_pylist(), strict=True):
+        for i, k in enumerate(batch["_key"].to_pylist()):
             if k != key:
                 key, x = k, FIRST
             out.append(x)
-            at = bisect_left(breaks, x)
-            x = exits[at] if at < len(breaks) else x
+            breaks, exits = (batch[c][i].values.to_numpy() for c in ("_breaks", "_exits"))
+            at = int(np.searchsorted(breaks, x))
+            x = int(exits[at]) if at < len(breaks) else x
         yield pa.RecordBatch.from_arrays([batch["_key"], batch["_seg"], pa.array(out, pa.int64())], ["_key", "_seg", "_x"])
 
 
@@ -113,11 +124,17 @@ FIRST = -(2**62)
 
 
 def _marked(span: int):
-    """opened for every distinct time of a segment whose x is known."""
+    """opened for every distinct time of a segment whose x is known. A segment that goes on in the next batch does so with the x that it has then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, new in _whole(batches):
-            us, x = table["_us"].to_numpy(), table["_x"].to_numpy()
+        group, then = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            new, us, x = _new(table), table["_us"].to_numpy(), table["_x"].to_numpy()
+            if _group(table, 0) == group:
+                x = np.where(np.cumsum(new) == 1, then, x)
             after, of = _followers(new, us, span)
             late = us >= x
             opens = np.zeros(len(us) + 1, bool)
@@ -131,6 +148,7 @@ def _marked(span: int):
             row = np.maximum.accumulate(np.where(opens[:-1], np.arange(len(us)), -1))
             own = (row >= 0) & (of[np.maximum(row, 0)] == of)
             opened = np.where(own, us[np.maximum(row, 0)], x - span)
+            group, then = _group(table, -1), int(opened[-1]) + span
             yield pa.RecordBatch.from_arrays([table["_key"].combine_chunks(), table["_us"].combine_chunks(), pa.array(opened)], ["_key", "_us", "opened"])
 
     return run
@@ -140,7 +158,7 @@ def anchored_windows(events: DataFrame, keys: list[str], us: str, seconds: int)
     """Adds opened: the start of the window an event falls in, windows opening at the first event
     after the last one closed. us is the event time in microseconds; events without one are left out.
 
-    A null key is a key of its own. The work is on distinct times of a key, in segments; a segment's times are one task's, so is the list of a
+    A null key is a key of its own. The work is on distinct times of a key, in segments; a segment's times are one task's, which holds a batch of them; so is the list of a
     key's segments, of which one number is carried.
     """
     span = seconds * 1_000_000
