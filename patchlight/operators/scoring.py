@@ -15,6 +15,8 @@ from patchlight.session import cut_lineage
 HUNK_BUCKET = 64
 #: Pairs of issues and goldens in one file up to which all of them are tested.
 DIRECT_PAIRS = 10_000
+#: Rows of a table up to which every task may hold it, so that issues are joined with it where they lie.
+HELD_ROWS = 50_000
 
 
 def severity_ok(issue: Column, expected: Column) -> Column:
@@ -25,9 +27,9 @@ def severity_ok(issue: Column, expected: Column) -> Column:
 def hunk_index(points: DataFrame, hunks: DataFrame) -> DataFrame:
     """First hunk holding a line, with one line of slack: points (pr_id, file, line) -> hunk.
 
-    Equi-join on 64-line buckets with the range as residual.
+    Equi-join on 64-line buckets with the range as residual. Points are compared once; two joins read them.
     """
-    asked = points.select("pr_id", "file", "line").where("line is not null").distinct().withColumn(
+    asked = cut_lineage(points.select("pr_id", "file", "line").where("line is not null").distinct()).withColumn(
         "_b", F.floor(F.col("line") / HUNK_BUCKET))
     spans = hunks.select("pr_id", "file", "hunk", (F.col("start_line") - 1).alias("lo"), (F.col("end_line") + 1).alias("hi"))
     spans = occupied_buckets(spans, asked, ["pr_id", "file"], "lo", "hi", HUNK_BUCKET)
@@ -37,18 +39,29 @@ def hunk_index(points: DataFrame, hunks: DataFrame) -> DataFrame:
     )
 
 
-def with_hunks(issues: DataFrame, expected: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """issue_hunk on issues; golden_hunk and has_hunks on expected.
+def _held(df: DataFrame) -> DataFrame:
+    """A table by a checkpoint, to be joined with issues: handed to every task if it has few rows. Their number is counted, since a checkpoint keeps the
+    sizes that were guessed for its plan."""
+    return F.broadcast(df) if df.count() <= HELD_ROWS else df
+
+
+def counted_lines(issues: DataFrame) -> DataFrame:
+    """pr_id, file, line, n: how many issues a line has. Who asks for places or numbers of issues reads this and not all issues again."""
+    return cut_lineage(issues.groupBy("pr_id", "file", "line").agg(F.count("*").alias("n")))
+
+
+def with_hunks(issues: DataFrame, expected: DataFrame, hunks: DataFrame, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """issue_hunk on issues; golden_hunk and has_hunks on expected. lines: pr_id, file and line of the issues, where they are known.
 
     A golden range whose first line lies in hunk 0 takes the hunk of its last line; scores compare
     with published ones only under this rule.
     """
-    points = issues.select("pr_id", "file", "line").unionByName(
+    points = (issues if lines is None else lines).select("pr_id", "file", "line").unionByName(
         expected.select("pr_id", "file", F.col("line_start").alias("line"))
     ).unionByName(expected.select("pr_id", "file", F.col("line_end").alias("line")))
     at = cut_lineage(hunk_index(points, hunks))
     files = hunks.select("pr_id", "file", F.lit(True).alias("_h")).distinct()
-    left = issues.join(at.withColumnRenamed("hunk", "issue_hunk"), ["pr_id", "file", "line"], "left")
+    left = issues.join(_held(at.withColumnRenamed("hunk", "issue_hunk")), ["pr_id", "file", "line"], "left")
     s = at.select("pr_id", "file", F.col("line").alias("line_start"), F.col("hunk").alias("_hs"))
     e = at.select("pr_id", "file", F.col("line").alias("line_end"), F.col("hunk").alias("_he"))
     right = (
@@ -88,23 +101,30 @@ def _said_pairs(issues: DataFrame, goldens: DataFrame) -> DataFrame:
     return said.unionByName(issues.select(*file, "issue_ord").join(any_text, file).select(*file, "issue_ord", "expected_ord"))
 
 
-def issue_pairs(issues: DataFrame, expected: DataFrame, hunks: DataFrame, direct: int = DIRECT_PAIRS) -> DataFrame:
-    """Flagged (issue, golden) pairs of the same file: is_match, is_review, reason.
+def _says(keywords: str) -> Column:
+    """A list of lower-cased keywords asks for nothing, or one of them stands in _text, which is lower-cased too."""
+    return (F.coalesce(F.size(keywords), F.lit(0)) <= 0) | F.exists(keywords, lambda k: F.col("_text").contains(k))
 
-    A pair is flagged for its place or for its text. In a file with at most `direct` pairs all are tested; in a larger one the pairs come from two
+
+def issue_pairs(issues: DataFrame, expected: DataFrame, hunks: DataFrame, direct: int = DIRECT_PAIRS, lines: DataFrame | None = None) -> DataFrame:
+    """Flagged (issue, golden) pairs of the same file: is_match, is_review, reason. lines: counted_lines of the issues, where they are known.
+
+    Issues in files without a golden have no pair and go before their hunks are looked up. A pair is flagged for its place or for its text. In a file with at most `direct` pairs all are tested; in a larger one the pairs come from two
     searches, by place (hunks or line buckets) and by an index of the keywords, so nothing but what they find is built.
     """
-    left, right = with_hunks(issues, expected, hunks)
+    file = ["pr_id", "file"]
+    goldens = cut_lineage(expected.groupBy(*file).agg(F.count("*").alias("_g")))
+    lines = (counted_lines(issues) if lines is None else lines).join(goldens, file)
+    left, right = with_hunks(issues.join(_held(goldens.select(*file)), file, "left_semi"), expected, hunks, lines)
     i = left.select("pr_id", "file", F.col("ord").alias("issue_ord"), "line", F.col("severity").alias("issue_severity"),
                     F.lower(X.issue_text()).alias("_text"), "issue_hunk")
-    g = right.select("pr_id", "file", F.col("ord").alias("expected_ord"), F.col("id").alias("expected_id"), "line_start", "line_end",
-                     "title_keywords", "evidence_keywords", F.col("severity").alias("expected_severity"), "golden_hunk", "has_hunks")
-    file = ["pr_id", "file"]
-    many = issues.groupBy(*file).agg(F.count("*").alias("_i")).join(expected.groupBy(*file).agg(F.count("*").alias("_g")), file)
-    large = cut_lineage(many.where(F.col("_i") * F.col("_g") > direct).select(*file))
-    text_ok = X.any_keyword(F.col("_text"), F.col("title_keywords")) | X.any_keyword(F.col("_text"), F.col("evidence_keywords"))
+    lowered = [F.transform(k, F.lower).alias(k) for k in ("title_keywords", "evidence_keywords")]
+    g = cut_lineage(right.select("pr_id", "file", F.col("ord").alias("expected_ord"), F.col("id").alias("expected_id"), "line_start", "line_end",
+                                 *lowered, F.col("severity").alias("expected_severity"), "golden_hunk", "has_hunks"))
+    large = cut_lineage(lines.groupBy(*file, "_g").agg(F.sum("n").alias("_i")).where(F.col("_i") * F.col("_g") > direct).select(*file))
+    text_ok = _says("title_keywords") | _says("evidence_keywords")
     if large.isEmpty():
-        return _flags(i.join(g, file).withColumn("_t", text_ok))
+        return _flags(i.join(_held(g), file).withColumn("_t", text_ok))
     few = i.join(large, file, "left_anti").join(g, file).withColumn("_t", text_ok).drop("_text", "title_keywords", "evidence_keywords")
     i, g = cut_lineage(i.join(large, file, "left_semi")), cut_lineage(g.join(large, file, "left_semi"))
     found = _near_pairs(i, g).withColumn("_t", F.lit(False)).unionByName(_said_pairs(i, g).withColumn("_t", F.lit(True)))
@@ -130,7 +150,7 @@ def _flags(pairs: DataFrame) -> DataFrame:
     sev = severity_ok(F.col("issue_severity"), F.col("expected_severity"))
     flags = (
         pairs.withColumn("_n", near).withColumn("_b", broad)
-        .where(F.col("_t") | F.col("_n") | F.col("_b"))
+        .where(F.col("_n") | F.col("_b") | F.col("_t"))
         .withColumn("is_match", line_ok & F.col("_t") & sev)
         .withColumn("is_review", F.col("_n") | F.col("_t"))
     )
@@ -152,7 +172,9 @@ def score_samples(samples: DataFrame, issues: DataFrame, expected: DataFrame, hu
 
     samples has pr_id and may have error.
     """
-    pairs = cut_lineage(issue_pairs(issues, expected, hunks))
+    lines = counted_lines(issues)
+    pairs = issue_pairs(issues, expected, hunks, lines=lines)
+    pairs = cut_lineage(pairs.select("pr_id", "issue_ord", "expected_ord", "is_match", "is_review", "reason"))
     match = cut_lineage(match_constrained(pairs))
     taken = match.select("pr_id", F.explode("matched").alias("expected_ord"))
     matched_issues = pairs.where("is_match").select("pr_id", "issue_ord").distinct()
@@ -161,7 +183,7 @@ def score_samples(samples: DataFrame, issues: DataFrame, expected: DataFrame, hu
     first = loose.groupBy("pr_id", "issue_ord").agg(F.min("expected_ord").alias("expected_ord"))
     review = first.groupBy("pr_id").agg(F.countDistinct("expected_ord").alias("review_count"), F.count("*").alias("reviewed_issues"))
     hit_issues = matched_issues.groupBy("pr_id").agg(F.count("*").alias("matched_issue_count"))
-    n_issues = issues.groupBy("pr_id").agg(F.count("*").alias("issue_total"))
+    n_issues = lines.groupBy("pr_id").agg(F.sum("n").alias("issue_total"))
     n_expected = expected.groupBy("pr_id").agg(F.count("*").alias("expected_total"))
     reasons = pairs.where("reason is not null").groupBy("pr_id", "expected_ord").agg(F.min_by("reason", "issue_ord").alias("reason"))
     misses = expected.select("pr_id", F.col("ord").alias("expected_ord")).join(taken, ["pr_id", "expected_ord"], "left_anti").join(

@@ -129,6 +129,23 @@ def test_large_file_makes_no_product(spark):
     assert pairs.where("is_match AND issue_ord = expected_ord").count() == pairs.count() == 3000
 
 
+def test_scoring_reads_issues_twice(spark, monkeypatch):
+    """Once for the numbers of issues by line, once for the pairs; whether tables are handed to every task or dealt changes nothing."""
+    issues, golds, hunks = _pair_tables(spark, random.Random(9), 120, 30)
+    samples = spark.range(3).select(F.col("id").alias("pr_id"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = S.score_samples(samples, issues.mapInArrow(counted, ISSUE), golds, hunks).collect()
+    assert read.value == 2 * 120
+    monkeypatch.setattr(S, "HELD_ROWS", 0)
+    assert sorted(S.score_samples(samples, issues, golds, hunks).collect()) == sorted(got) and sum(r.issue_total for r in got) == 120
+
+
 def test_best_confidence_against_a_row_by_row_model(spark):
     rnd = random.Random(2)
     rows, want = [], set()
